@@ -1,8 +1,10 @@
 """The operators' registered queries and their SQL."""
 
+from voicelake.llm.bpe import op3_bpe
 from voicelake.llm.mixing import OP1_SQL, op1_mix
+from voicelake.llm.neardup import op9_neardup
 from voicelake.llm.quality import op6_quality
 from voicelake.llm.sharding import op5_shards
 
-QUERIES = {"op1_mix": op1_mix, "op5_shards": op5_shards, "op6_quality": op6_quality}
+QUERIES = {"op1_mix": op1_mix, "op3_bpe": op3_bpe, "op5_shards": op5_shards, "op6_quality": op6_quality, "op9_neardup": op9_neardup}
 SQL = {"op1_mix": OP1_SQL}
