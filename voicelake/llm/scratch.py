@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,19 @@ class Scratch:
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that are broadcast at most, some 50 MB in memory; beyond that both sides are exchanged.
+BROADCAST_KEYS = 1_000_000
+
+
+def matching(wide: DataFrame, few: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """``wide`` joined to ``few`` on a key, moving only the wide rows that have a partner where those keys are few.
+
+    The count decides: up to BROADCAST_KEYS keys are broadcast to drop the
+    other rows before the exchange; more take part in the plain join alone.
+    """
+    keys = few.select(F.col(key).alias("_key")).distinct()
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        wide = wide.join(F.broadcast(keys), F.col(key) == F.col("_key"), "left_semi")
+    return wide.join(few, key)
