@@ -1,22 +1,23 @@
 """Removal of long repeated byte strings by distributed prefix doubling.
 
-Prefix doubling names the prefix of growing length at each position, and goes
-on only with positions whose name is not unique. Here a name is a 64-bit
-fingerprint in place of a dense rank, so that a name of twice the length needs
-no exchange of its own, and three lengths are named:
-
-1. ``ANCHOR`` bytes, at sparse positions: the smallest fingerprint inside each
-   200-byte window. Windows next to each other mostly share that anchor and
-   form a run. Equal windows have equal anchors, so runs with a unique anchor
-   are past.
-2. The whole string that a run's windows cover. Where it is not unique, all
-   windows of the run repeat.
-3. 200 bytes, as the pair of the 100-byte names at offsets 0 and 100, at every
-   position of the runs that are still open: one run for each different string
-   of an anchor that has several.
-
-Rows that move are runs and open positions, never all positions: naming every
-byte would move 16 bytes and more for each byte of text and round.
+Prefix doubling names the string of growing length at each position, and goes
+on only where a name is not unique. Here a name is a 64-bit fingerprint in
+place of a dense rank, so that a longer name needs no exchange of its own, and
+positions move in runs. Two names belong to a run of 200-byte windows: that of
+a core, which all its windows contain, and that of the whole string which they
+cover. A run with a unique core is past; one whose whole string is not unique
+repeats entirely; of the rest, one run for each different string goes on to
+the next length, split finer:
+
+1. cores of ``ANCHOR`` bytes: the smallest fingerprint inside each window.
+   Windows next to each other mostly share it and form a run; equal windows
+   have equal anchors at equal offsets.
+2. cores of 193 bytes: runs are split into cells of 8 windows, by their
+   distance from the anchor.
+3. single windows, named by the pair of the names of their two halves.
+
+So the rows that move are runs and open positions, never all positions: naming
+every byte would move 16 bytes and more for each byte of text and round.
 
 Defined results: a null text is empty; texts under 200 bytes lose nothing;
 rows equal in id and text are different places, so they repeat each other;
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from voicelake.llm.hashing import Ranges, mix
 from voicelake.llm.scratch import Scratch, matching
 
-WINDOW, ANCHOR = 200, 50
+WINDOW, ANCHOR, CELL = 200, 50, 8
 #: Windows that are worked on at once; bounds a task's memory for texts of any length.
 BLOCK = 1 << 20
 _MASK = np.uint64((1 << 28) - 1)
@@ -69,11 +70,23 @@ def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
 
 
-def window_names(data: np.ndarray, start: int, end: int) -> np.ndarray:
-    """Names of the windows start..end: from the names of their two halves."""
-    half = Ranges(data[start : end - 1 + WINDOW]).fixed(WINDOW // 2)
-    count = end - start
-    return mix(half[:count] * np.uint64(5) + half[WINDOW // 2 : WINDOW // 2 + count]).view(np.int64)
+def cells(data: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A run split by distance from its anchor: core name, name of the whole string, first window, end."""
+    ranges = Ranges(data[start : end + WINDOW - 1])
+    anchor = int(np.argmin(ranges.fixed(ANCHOR)[: WINDOW - ANCHOR + 1] & ~_MASK))
+    cell = (anchor - np.arange(end - start)) // CELL
+    first = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1))
+    last = np.append(first[1:], end - start)
+    core = anchor - CELL * cell[first]
+    return ranges.hashes(core, core + (WINDOW - CELL + 1)).view(np.int64), ranges.hashes(first, last + (WINDOW - 1)).view(np.int64), first + start, last + start
+
+
+def windows(data: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The single windows of a run; core and whole string are the window."""
+    half = Ranges(data[start : end + WINDOW - 1]).fixed(WINDOW // 2)
+    name = mix(half[: end - start] * np.uint64(5) + half[WINDOW // 2 : WINDOW // 2 + end - start]).view(np.int64)
+    place = np.arange(start, end)
+    return name, name, place, place + 1
 
 
 def removed(n_bytes: int, starts: list[int], ends: list[int]) -> np.ndarray:
@@ -113,14 +126,15 @@ def _unpacked(packed) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def _name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for uid, packed, open_runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            data = np.frombuffer(_unpacked(packed), np.uint8)
-            names = [window_names(data, r["s"], r["e"]) for r in open_runs]
-            places = [np.arange(r["s"], r["e"], dtype=np.int32) for r in open_runs]
-            name = np.concatenate(names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), uid, np.int64)), pa.array(name), pa.array(np.concatenate(places))], names=["uid", "w", "s"])
+def _splitter(split):
+    def name_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, packed, open_runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                data = np.frombuffer(_unpacked(packed), np.uint8)
+                a, u, s, e = (np.concatenate(x) for x in zip(*(split(data, r["s"], r["e"]) for r in open_runs), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), uid, np.int64)), pa.array(a), pa.array(u), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["uid", "a", "u", "s", "e"])
+
+    return name_parts
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,23 +157,30 @@ def _named(docs: DataFrame, uid: Column, scratch: Scratch) -> DataFrame:
     return scratch.table(columns.mapInArrow(_name_runs, schema), "named")
 
 
+def _level(rows: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(uid, core a, whole u, s, e) -> runs that repeat entirely (uid, s, e); runs to be split (uid, open)."""
+    twice = scratch.table(rows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a"), f"twice-{name}")
+    alive = scratch.table(rows.join(twice, "a"), f"alive-{name}")
+    strings = scratch.table(alive.groupBy("u").agg(F.min("a").alias("a"), F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "s", "e")).alias("first")), f"strings-{name}")
+    full = alive.join(scratch.table(strings.filter("n > 1").select("u"), f"full-{name}"), "u").select("uid", "s", "e")
+    several = scratch.table(strings.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a"), f"several-{name}")
+    asked = strings.join(several, "a").select("first.*").groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("open"))
+    return full, scratch.table(asked, f"asked-{name}")
+
+
 def _cuts(named: DataFrame, scratch: Scratch) -> DataFrame:
     """uid, n_removed, n_spans, sha256 and text of the documents that lose bytes."""
-    rows = named.select("uid", F.inline("runs"))
-    twice = scratch.table(rows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a"), "anchors")
-    alive = scratch.table(rows.join(twice, "a"), "alive")
-    strings = scratch.table(alive.groupBy("u").agg(F.min("a").alias("a"), F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "s", "e")).alias("first")), "strings")
-    several = scratch.table(strings.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("a"), "several")
-    asked = strings.join(several, "a").select("first.*").groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("open"))
-    asked = scratch.table(asked, "asked")
-    windows = matching(named.select("uid", "packed"), asked, "uid", scratch).select("uid", "packed", "open").mapInArrow(_name_windows, "uid long, w long, s int")
-    windows = scratch.table(windows, "windows")
-    again = scratch.table(windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w"), "again")
-    single = windows.join(again, "w").select("uid", "s", (F.col("s") + 1).alias("e"))
-    full = alive.join(scratch.table(strings.filter("n > 1").select("u"), "full"), "u").select("uid", "s", "e")
-    covered = full.unionByName(single).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("covered"))
+    schema = "uid long, a long, u long, s int, e int"
+    texts = named.select("uid", "packed")
+    long_runs, asked = _level(named.select("uid", F.inline("runs")), scratch, "runs")
+    parts = matching(texts, asked, "uid", scratch).select("uid", "packed", "open").mapInArrow(_splitter(cells), schema)
+    some_cells, asked = _level(scratch.table(parts, "cells"), scratch, "cells")
+    parts = scratch.table(matching(texts, asked, "uid", scratch).select("uid", "packed", "open").mapInArrow(_splitter(windows), schema), "windows")
+    again = scratch.table(parts.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u"), "again")
+    single = parts.join(again, "u").select("uid", "s", "e")
+    covered = long_runs.unionByName(some_cells).unionByName(single).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("covered"))
     covered = scratch.table(covered, "covered")
-    return matching(named.select("uid", "packed"), covered, "uid", scratch).select("uid", "packed", "covered").mapInArrow(_cut, "uid long, n_removed long, n_spans long, sha256 string, cut_text string")
+    return matching(texts, covered, "uid", scratch).select("uid", "packed", "covered").mapInArrow(_cut, "uid long, n_removed long, n_spans long, sha256 string, cut_text string")
 
 
 def repeat_report(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
