@@ -1,11 +1,12 @@
 """The operators' registered queries and their SQL."""
 
 from voicelake.llm.bpe import op3_bpe
+from voicelake.llm.fingerprint import op2_fingerprints
 from voicelake.llm.mixing import OP1_SQL, op1_mix
 from voicelake.llm.neardup import op9_neardup
 from voicelake.llm.quality import op6_quality
 from voicelake.llm.sharding import op5_shards
 from voicelake.llm.suffixdedup import op7_repeats
 
-QUERIES = {"op1_mix": op1_mix, "op3_bpe": op3_bpe, "op5_shards": op5_shards, "op6_quality": op6_quality, "op7_repeats": op7_repeats, "op9_neardup": op9_neardup}
+QUERIES = {"op1_mix": op1_mix, "op2_fingerprints": op2_fingerprints, "op3_bpe": op3_bpe, "op5_shards": op5_shards, "op6_quality": op6_quality, "op7_repeats": op7_repeats, "op9_neardup": op9_neardup}
 SQL = {"op1_mix": OP1_SQL}
