@@ -9,10 +9,12 @@ where that is high. Candidates that pass the estimate with a wide margin are
 confirmed on their full sets.
 
 A band's members are not paired with each other. First each is held against
-the band's smallest id, and links make components. Then only pairs that lie in
-different components are left: in each band the members outside its largest
-component are held against the others. So no pair of one band goes untested
-unless both sides are linked already.
+the band's smallest id, and links make components. Bands that still hold
+several components tie their members into families. Of a family, the members
+outside its largest component are the queries, held against all its members in
+blocks of at most ``BLOCK`` sets a side; a block counts intersections over its
+inverted sets and returns one link for a query and component. So every pair of
+one band is tested unless both sides are linked already.
 
 With 32 bands of 5 samples a pair at similarity 0.8 shares no band with
 probability 3e-6, one at 0.9 with 1e-12.
@@ -35,10 +37,11 @@ from pyspark.sql import functions as F
 
 from voicelake.llm.components import components
 from voicelake.llm.hashing import mix, word_hashes
-from voicelake.llm.scratch import Scratch
+from voicelake.llm.scratch import Scratch, matching
 
 BANDS, ROWS, BITS = 32, 5, 512
 SAMPLES = BANDS * ROWS
+BLOCK = 2000
 #: Estimated similarity that a candidate must reach: five standard deviations below 0.8.
 LEAST_ESTIMATE = 0.64
 
@@ -132,8 +135,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: S
     small, large = F.least("one_n", "two_n"), F.greatest("one_n", "two_n")
     likely = paired.filter((100 * small >= 80 * large) & (_differing("one_sketch", "two_sketch") <= most_bits(LEAST_ESTIMATE))).select("one", "two")
     likely = scratch.table(likely.distinct(), f"likely-{name}")
-    ids = likely.select(F.explode(F.array("one", "two")).alias("id")).distinct()
-    texts = _narrow(docs).join(scratch.table(ids, f"ids-{name}"), F.col("doc_id") == F.col("id")).select("id", "text")
+    ids = scratch.table(likely.select(F.explode(F.array("one", "two")).alias("id")).distinct(), f"ids-{name}")
+    texts = matching(_narrow(docs).withColumnRenamed("doc_id", "id"), ids, "id", scratch).select("id", "text")
     sets = scratch.table(texts.mapInArrow(_sets, "id long, members array<bigint>"), f"sets-{name}")
     one, two = sets.select(F.col("id").alias("one"), F.col("members").alias("one_set")), sets.select(F.col("id").alias("two"), F.col("members").alias("two_set"))
     checked = likely.join(one, "one").join(two, "two").select("one", "two", "one_set", "two_set").mapInArrow(_ratio_holds, "one long, two long")
@@ -147,6 +150,53 @@ def _differing(a: str, b: str) -> Column:
     return bits
 
 
+def _held_against(table: pa.Table) -> pa.Table:
+    """Links between the queries and the members of one block: one a query and component of members."""
+    asks = table.column("asks").to_numpy(zero_copy_only=False)
+    ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
+    sets = [x.values.to_numpy() for x in table.column("members")]
+    members = np.flatnonzero(~asks)
+    sizes = np.array([len(sets[k]) for k in members], np.int64)
+    values, owners = np.concatenate([sets[k] for k in members] or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    one, two = [], []
+    for q in np.flatnonzero(asks):
+        low, high = np.searchsorted(values, sets[q], "left"), np.searchsorted(values, sets[q], "right")
+        length = high - low
+        at = np.arange(length.sum()) + np.repeat(low - np.concatenate(([0], np.cumsum(length)[:-1])), length)
+        shared = np.bincount(owners[at], minlength=len(members))
+        linked = members[(100 * shared >= 80 * (len(sets[q]) + sizes - shared)) & (labels[members] != labels[q])]
+        for k in linked[np.unique(labels[linked], return_index=True)[1]]:
+            one.append(ids[q])
+            two.append(ids[k])
+    return pa.table({"one": pa.array(one, pa.int64()), "two": pa.array(two, pa.int64())})
+
+
+def _between_components(shared: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between different components inside a band, found family by family."""
+    labelled = shared.join(found, F.col("id") == F.col("node"), "left").select("key", "head", "id", F.coalesce("component", "id").alias("label"))
+    labelled = scratch.table(labelled, "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high AND n > 2").select("key")
+    open_bands = scratch.table(labelled.join(scratch.table(mixed, "mixed"), "key"), "open")
+    ties = open_bands.filter("id <> head").select(F.col("head").alias("one"), F.col("id").alias("two")).distinct()
+    family = components(ties, scratch, "families").withColumnRenamed("component", "family")
+    nodes = scratch.table(open_bands.select("id", "label").distinct().join(family, F.col("id") == F.col("node")).select("id", "label", "family"), "nodes")
+    sizes = nodes.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    mains = sizes.groupBy("family").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("inside"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mains = scratch.table(mains.select("family", "main", blocks(F.col("all")).alias("columns"), blocks(F.col("all") - F.col("inside")).alias("rows")), "mains")
+    placed = nodes.join(mains, "family")
+    spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
+    all_of = lambda n: F.sequence(F.lit(0), n - 1)
+    members = placed.filter("rows > 0").withColumn("row", F.explode(all_of(F.col("rows")))).withColumn("column", spread(F.col("columns"), 1)).withColumn("asks", F.lit(False))
+    queries = placed.filter("label <> main").withColumn("column", F.explode(all_of(F.col("columns")))).withColumn("row", spread(F.col("rows"), 2)).withColumn("asks", F.lit(True))
+    dealt = members.select("family", "row", "column", "asks", "id", "label").unionByName(queries.select("family", "row", "column", "asks", "id", "label"))
+    sets = matching(_narrow(docs).withColumnRenamed("doc_id", "id"), nodes.select("id"), "id", scratch).select("id", "text").mapInArrow(_sets, "id long, members array<bigint>")
+    full = dealt.join(scratch.table(sets, "family-sets"), "id").select("family", "row", "column", "asks", "id", "label", "members")
+    return scratch.table(full.groupBy("family", "row", "column").applyInArrow(_held_against, "one long, two long"), "links-second")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     scratch = Scratch(docs.sparkSession, "neardup")
@@ -163,19 +213,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _confirmed(first, docs, classes, scratch, "first")
     found = components(links, scratch, "first")
 
-    labelled = shared.select("key", "id", "head").join(found, F.col("id") == F.col("node"), "left").select("key", "id", "head", F.coalesce("component", "id").alias("label"))
-    labelled = scratch.table(labelled, "labelled")
-    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels")).filter("labels > 1 AND all > 2")
-    open_bands = scratch.table(labelled.join(scratch.table(main.select("key", "main"), "main"), "key"), "open")
-    outside = open_bands.filter("label <> main").select("key", F.col("id").alias("asked"), F.col("label").alias("asked_label"))
-    rest = open_bands.join(outside, "key").filter("label <> asked_label AND (label = main OR id < asked) AND id <> head AND asked <> head")
-    second = rest.select(F.least("id", "asked").alias("one"), F.greatest("id", "asked").alias("two")).distinct()
-    second = scratch.table(second, "second")
-    if not second.isEmpty():
-        more = _confirmed(second, docs, classes, scratch, "second")
-        if not more.isEmpty():
-            found = components(links.unionByName(more), scratch, "all")
+    more = _between_components(shared, found, docs, scratch)
+    if not more.isEmpty():
+        found = components(links.unionByName(more), scratch, "all")
 
     labels = scratch.table(owners.join(found, F.col("id") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "id").alias("component")), "labels")
     joined = signed.select("doc_id", "n_shingles", "f1", "f2").join(labels, ["f1", "f2"], "left")
