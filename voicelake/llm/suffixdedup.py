@@ -194,13 +194,14 @@ def repeat_report(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """The documents without their repeated bytes, with their own columns; those with nothing left go."""
+    """The documents without their repeated bytes, with their own columns (n_chars follows the text); those with nothing left go."""
     scratch = Scratch(docs.sparkSession, "suffixdedup")
     rows = scratch.table(docs.withColumn("_uid", F.monotonically_increasing_id()), "rows")
     named = _named(rows, F.col("_uid"), scratch)
     cuts = scratch.table(_cuts(named, scratch).select(F.col("uid").alias("_cut_uid"), "cut_text"), "cuts")
     joined = rows.join(cuts, F.col("_uid") == F.col("_cut_uid"), "left").filter("cut_text IS NULL OR cut_text <> ''")
-    own = [F.coalesce("cut_text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    size = F.when(F.col("cut_text").isNotNull(), F.char_length("cut_text")).otherwise(F.col("n_chars")).cast("long") if "n_chars" in docs.columns else None
+    own = [F.coalesce("cut_text", "text").alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return joined.select(*own)
 
 
