@@ -1,4 +1,4 @@
 """All queries over the given tables, with their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from voicelake.plans import audio, bench, live, messages, segments, telemetry, transcripts  # noqa: F401
+from voicelake.plans.registry import QUERIES, SQL  # noqa: F401
