@@ -197,9 +197,9 @@ def _between_components(shared: DataFrame, found: DataFrame, docs: DataFrame, sc
     return scratch.table(full.groupBy("family", "row", "column").applyInArrow(_held_against, "one long, two long"), "links-second")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    scratch = Scratch(docs.sparkSession, "neardup")
+    scratch = scratch or Scratch(docs.sparkSession, "neardup")
     signed = scratch.table(_narrow(docs).mapInArrow(_sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<bigint>, sketch array<bigint>"), "signed")
     some = signed.filter("doc_id IS NOT NULL AND f1 IS NOT NULL")
     owners = scratch.table(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id")), "owners")
@@ -225,7 +225,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that are kept, one of each component, with their own columns."""
-    verdicts = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    scratch = Scratch(docs.sparkSession, "neardup")
+    verdicts = scratch.table(near_duplicates(docs, scratch).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    scratch.drop_all(keep="gone")
     return docs.join(verdicts, docs["doc_id"] == verdicts["_gone"], "left_anti")
 
 

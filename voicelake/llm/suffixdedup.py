@@ -180,6 +180,8 @@ def _cuts(named: DataFrame, scratch: Scratch) -> DataFrame:
     single = parts.join(again, "u").select("uid", "s", "e")
     covered = long_runs.unionByName(some_cells).unionByName(single).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("covered"))
     covered = scratch.table(covered, "covered")
+    for name in ("cells", "windows", "again", *(f"{kind}-{level}" for kind in ("twice", "alive", "strings", "full", "several", "asked") for level in ("runs", "cells"))):
+        scratch.drop(name)
     return matching(texts, covered, "uid", scratch).select("uid", "packed", "covered").mapInArrow(_cut, "uid long, n_removed long, n_spans long, sha256 string, cut_text string")
 
 
@@ -196,10 +198,15 @@ def repeat_report(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """The documents without their repeated bytes, with their own columns (n_chars follows the text); those with nothing left go."""
     scratch = Scratch(docs.sparkSession, "suffixdedup")
-    rows = scratch.table(docs.withColumn("_uid", F.monotonically_increasing_id()), "rows")
-    named = _named(rows, F.col("_uid"), scratch)
-    cuts = scratch.table(_cuts(named, scratch).select(F.col("uid").alias("_cut_uid"), "cut_text"), "cuts")
-    joined = rows.join(cuts, F.col("_uid") == F.col("_cut_uid"), "left").filter("cut_text IS NULL OR cut_text <> ''")
+    named = _named(docs, F.monotonically_increasing_id(), scratch)
+    cuts = scratch.table(_cuts(named, scratch).select("uid", "cut_text"), "cuts")
+    # rows that are equal in id and text are cut alike, so these two say which text is meant
+    marks = named.select("uid", F.col("doc_id").alias("_cut_id"), F.col("whole_sha256").alias("_cut_sha"))
+    cut = scratch.table(marks.join(cuts, "uid").select("_cut_id", "_cut_sha", "cut_text").dropDuplicates(["_cut_id", "_cut_sha"]), "cut")
+    for name in ("named", "covered", "cuts"):
+        scratch.drop(name)
+    same = docs["doc_id"].cast("bigint").eqNullSafe(cut["_cut_id"]) & (F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256) == cut["_cut_sha"])
+    joined = docs.join(cut, same, "left").filter("cut_text IS NULL OR cut_text <> ''")
     size = F.when(F.col("cut_text").isNotNull(), F.char_length("cut_text")).otherwise(F.col("n_chars")).cast("long") if "n_chars" in docs.columns else None
     own = [F.coalesce("cut_text", "text").alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return joined.select(*own)
