@@ -110,3 +110,21 @@ def test_tables(spark, tmp_path):
     assert next((tmp_path / "csv").glob("part*")).read_text().splitlines()[0] == "a,b"
     doc = json.loads(tables.manifest(spark.createDataFrame([("s2", 1.23456789), ("s1", 2.0)], "sample_id string, duration_s double"), "d").first()[0])
     assert [s["sample_id"] for s in doc["samples"]] == ["s1", "s2"] and doc["samples"][1]["duration_s"] == 1.234568
+
+
+def test_normalize_corpus(spark):
+    from voicelake.operators.resample import normalize_corpus
+
+    stereo = [float(x) for k in range(4800) for x in (0.1, 0.3)]
+    df = spark.createDataFrame([(1, 0, stereo)], "id long, start_frame long, samples array<double>")
+    out = normalize_corpus(df, "id", (48000, 2), (16000, 1)).first()["samples"]
+    assert len(out) == 1600 and abs(out[800] - 0.2) < 0.01
+    assert len(normalize_corpus(df, "id", (48000, 2), (48000, 2)).first()["samples"]) == 9600
+
+
+def test_corpus_must_be_full(spark):
+    from voicelake.operators.bench import require_full, select_corpus
+
+    rows = spark.createDataFrame([(i, 5.0 if i < 9 else 9.0) for i in range(30)], "id long, s double")
+    with pytest.raises(ValueError, match="short"):
+        require_full(select_corpus(rows, "s", "id", 7, 12))

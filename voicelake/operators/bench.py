@@ -50,3 +50,12 @@ def union_runs(*runs: DataFrame) -> DataFrame:
     for run in runs[1:]:
         out = out.unionByName(run, allowMissingColumns=True)
     return out
+
+
+def require_full(selected: DataFrame, n: int = 10) -> DataFrame:
+    """The selection of ``select_corpus`` if each category has its n rows; else ValueError. Reads at most 2 n rows."""
+    found = {r["category"]: r["count"] for r in selected.groupBy("category").count().collect()}
+    short = [c for c in ("short", "medium") if found.get(c, 0) < n]
+    if short:
+        raise ValueError(f"fewer than {n} rows: {', '.join(short)}")
+    return selected

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voicelake.functions import pcm
+
 #: Zero crossings of the windowed sinc on each side.
 REACH = 24
 
@@ -58,3 +60,16 @@ def resample_bandlimited(chunks: DataFrame, key: str, source: int, target: int)
 
     kind = dict(chunks.dtypes)[key]
     return edges.mapInPandas(run, f"{key} {kind}, start_frame long, samples array<float>")
+
+
+def normalize_corpus(chunks: DataFrame, key: str, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """(rate, channels) to (rate, channels): mixdown, resample and upmix, each only where the formats differ.
+
+    start_frame counts frames at the source's rate before and at the target's after.
+    """
+    out = chunks.select(key, "start_frame", "samples")
+    if source[1] == 2 and (target[1] == 1 or source[0] != target[0]):
+        out = out.withColumn("samples", pcm.mixdown_stereo(F.col("samples")))
+    mono = source[1] == 1 or source[0] != target[0] or target[1] == 1
+    out = resample_bandlimited(out, key, source[0], target[0])
+    return out.withColumn("samples", pcm.upmix_mono(F.col("samples"))) if mono and target[1] == 2 else out
