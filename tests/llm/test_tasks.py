@@ -198,7 +198,7 @@ def test_toxicity(spark, none, labels):
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/?x", '<title>T &amp; U</title><script>x<p></script><p>Hi <b>there</b>&lt;</p><!-- c --><a href="/l">L</a>'), (2, None, None)], "page_id long, url string, html string")
     rows = {(r["page_id"], r["kind"]): r for r in warc.derivatives(warc.responses(pages)).collect()}
-    assert rows[1, "conversion"]["block"] == "T & U\n \nHi there<\n L".replace("\n \n", "\n") and "outlink: /l" in rows[1, "metadata"]["block"]
+    assert rows[1, "conversion"]["block"] == "T & U\nHi there<\nL" and "outlink: /l" in rows[1, "metadata"]["block"]
     assert rows[1, "conversion"]["refers_to"] == rows[1, "metadata"]["refers_to"] != rows[1, "conversion"]["record_id"]
     assert rows[1, "metadata"]["block_digest"] == "sha256:" + hashlib.sha256(rows[1, "metadata"]["block"].encode()).hexdigest()
     assert rows[2, "conversion"]["block"] == ""
