@@ -17,11 +17,11 @@ def character_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Edits between word sequences: each distinct word of the pair becomes one code point, then characters are compared."""
+    """Edits between word sequences: each distinct word of the pair becomes one code point above the surrogates, then characters are compared."""
     a, b = F.split(reference, " "), F.split(hypothesis, " ")
-    known = F.array_distinct(F.concat(a, b))
-    as_points = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x4E00), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(as_points(a), as_points(b))
+    as_points = lambda words, known: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32")), "")
+    # as a lambda's argument the distinct words are gathered once a pair, not once a word
+    return F.get(F.transform(F.array(F.array_distinct(F.concat(a, b))), lambda known: F.levenshtein(as_points(a, known), as_points(b, known))), F.lit(0))
 
 
 def word_error_rate(pairs: DataFrame, reference: str, hypothesis: str, by: list[str]) -> DataFrame:

@@ -62,9 +62,10 @@ q AS (SELECT *, levenshtein(a, b) AS d FROM p WHERE b IS NOT NULL)"""
 
 
 def _pairs(spark, sf_dir):
+    """Each turn with the one after it, whole texts; PAIRS, the SQL twin, still compares the first 200 characters alone."""
     following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     paired = table(spark, sf_dir, "conversations").withColumn("next", following).filter("next IS NOT NULL")
-    return paired.select("conv_id", "turn", "role", F.substring(ascii_text(F.col("text")), 1, 200).alias("a"), F.substring(ascii_text(F.col("next")), 1, 200).alias("b"))
+    return paired.select("conv_id", "turn", "role", ascii_text(F.col("text")).alias("a"), ascii_text(F.col("next")).alias("b"))
 
 
 @query(f"WITH {PAIRS} SELECT role, count(*) AS pairs, round(avg(1 - d / greatest(len(a), len(b), 1)), 6) AS mean_agreement, round(min(1 - d / greatest(len(a), len(b), 1)), 6) AS least_agreement FROM q GROUP BY role")
