@@ -60,3 +60,15 @@ def held(spark, at, turns):
 
 def test_pairs_are_compared_whole(spark, at):
     held(spark, at, TURNS)
+
+
+def test_pairs_keep_letters_beyond_ascii(spark, at):
+    held(spark, at, [(1, 0, "user", "échch straße mañana"), (1, 1, "assistant", "Échch Straße, manana"), (1, 2, "user", "日本語 テキスト"), (1, 3, "assistant", "русский текст 😀")])
+
+
+def test_normal_form_is_unicode(spark, at):
+    texts = ["Échch — Straße_mañana!", "日本語、テキスト 12", "ΑΒΓ the ÀÉ and x", "éthe theé the", "¡and!", "", "😀"]
+    folder = at("documents", [(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["normalized"] for r in catalogue.QUERIES["normalize_text"](spark, folder).collect()} == {i: plain(t) for i, t in enumerate(texts)}
+    got = {r["doc_id"]: r["translated_text"] for r in catalogue.QUERIES["lexical_translate"](spark, folder).collect()}
+    assert got == {0: "Échch straße mañana", 1: "日本語 テキスト 12", 2: "Αβγ o àé e x", 3: "Éthe theé o", 4: "E", 5: "", 6: ""}

@@ -55,7 +55,7 @@ def lexical_translate(text: Column, phrases: dict[str, str], words: dict[str, st
     """Ordered phrase replacement on word bounds, then a word map; lower-cased, first letter upper; blank gives ''."""
     out = F.lower(F.trim(F.coalesce(text, F.lit(""))))
     for source, target in phrases.items():
-        out = F.regexp_replace(out, rf"\b{source}\b", target)
+        out = F.regexp_replace(out, rf"(?U)\b{source}\b", target)
     for source, target in words.items():
-        out = F.regexp_replace(out, rf"\b{source}\b", target)
+        out = F.regexp_replace(out, rf"(?U)\b{source}\b", target)
     return F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 30))

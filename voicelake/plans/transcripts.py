@@ -10,14 +10,10 @@ from voicelake.plans.registry import query, table
 PHRASES = {"of the": "do", "is the": "é o"}
 WORDS = {"the": "o", "and": "e", "with": "com", "that": "que"}
 
+#: The SQL twins' normal form: it drops what is not ASCII, while the queries below keep all letters and digits.
 ASCII = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 
 
-def ascii_text(column):
-    """Normalised text of the ASCII part, on which every engine agrees."""
-    return T.normalize_text(F.regexp_replace(F.lower(column), r"[^\x00-\x7F]", ""))
-
-
 CLAUSES = r"""
 tokens AS (SELECT conv_id, turn, [x FOR x IN string_split_regex(text, '\s+') IF x <> ''] AS ws FROM conversations),
 marked AS (SELECT conv_id, turn, list_reduce(list_prepend({'done': []::VARCHAR[], 'open': []::VARCHAR[], 'w': ''}, list_transform(ws, lambda w: {'done': []::VARCHAR[], 'open': []::VARCHAR[], 'w': w})), lambda a, b:
@@ -42,7 +38,7 @@ def clause_plan(spark, sf_dir):
 
 @query(f"SELECT doc_id, {ASCII.format('text')} AS normalized FROM documents")
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", ascii_text(F.col("text")).alias("normalized"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("normalized"))
 
 
 def _translate_sql(column: str) -> str:
@@ -54,7 +50,7 @@ def _translate_sql(column: str) -> str:
 @query(f"WITH t AS (SELECT doc_id, {_translate_sql(ASCII.format('text'))} AS x FROM documents WHERE lang = 'en') SELECT doc_id, upper(x[1]) || x[2:] AS translated_text FROM t")
 def lexical_translate(spark, sf_dir):
     english = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return english.select("doc_id", T.lexical_translate(ascii_text(F.col("text")), PHRASES, WORDS).alias("translated_text"))
+    return english.select("doc_id", T.lexical_translate(T.normalize_text(F.col("text")), PHRASES, WORDS).alias("translated_text"))
 
 
 PAIRS = f"""p AS (SELECT conv_id, turn, role, left({ASCII.format('text')}, 200) AS a, left({ASCII.format('lead(text) OVER (PARTITION BY conv_id ORDER BY turn)')}, 200) AS b FROM conversations),
@@ -62,10 +58,10 @@ q AS (SELECT *, levenshtein(a, b) AS d FROM p WHERE b IS NOT NULL)"""
 
 
 def _pairs(spark, sf_dir):
-    """Each turn with the one after it, whole texts; PAIRS, the SQL twin, still compares the first 200 characters alone."""
+    """Each turn with the one after it, whole texts; PAIRS, the SQL twin, still compares the first 200 ASCII characters alone."""
     following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     paired = table(spark, sf_dir, "conversations").withColumn("next", following).filter("next IS NOT NULL")
-    return paired.select("conv_id", "turn", "role", ascii_text(F.col("text")).alias("a"), ascii_text(F.col("next")).alias("b"))
+    return paired.select("conv_id", "turn", "role", T.normalize_text(F.col("text")).alias("a"), T.normalize_text(F.col("next")).alias("b"))
 
 
 @query(f"WITH {PAIRS} SELECT role, count(*) AS pairs, round(avg(1 - d / greatest(len(a), len(b), 1)), 6) AS mean_agreement, round(min(1 - d / greatest(len(a), len(b), 1)), 6) AS least_agreement FROM q GROUP BY role")
