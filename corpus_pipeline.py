@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from voicelake.llm import bpe, mixing, neardup, quality, suffixdedup
 from voicelake.llm.scratch import Scratch
 
+#: Words a shingle; two, as in op9_neardup, would drop documents that are much less alike.
+SHINGLE_WORDS = 5
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -14,8 +17,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return neardup.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates, by shingles of SHINGLE_WORDS words."""
+    return neardup.drop_near_duplicates(docs, SHINGLE_WORDS)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """MinHash near-duplicates with odd sketches.
 
-Texts become sets of hashed two-word shingles. Equal sets are one class, whose
-smallest id represents it. MinHash samples of a class are grouped into bands;
+Texts become sets of hashed shingles, of two words in op9_neardup and of five
+in the pipeline. Equal sets are one class, whose smallest id represents it. MinHash samples of a class are grouped into bands;
 classes that share a band are candidates. The same samples are folded into a
 parity bitmap (odd sketch): the number of bits in which two bitmaps differ
 estimates how many samples differ, and with it the similarity, most precisely
@@ -52,12 +52,15 @@ _PLACE = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
 _BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """Sorted distinct hashes of the two-word shingles; A-Z are lower-cased, other letters stay."""
+def shingle_set(text: str, width: int = 2) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of ``width`` words, a shorter text being one; A-Z are lower-cased, other letters stay."""
     words = word_hashes(text.encode("utf-8", "surrogatepass").lower())
-    if len(words) < 2:
-        return mix(words ^ np.uint64(0x5851F42D4C957F2D))
-    return np.unique(mix(words[:-1] * np.uint64(3) + mix(words[1:])))
+    long = min(width, len(words))
+    places = len(words) - long + 1
+    found = words[:places]
+    for k in range(1, long):
+        found = mix(found * np.uint64(3) + mix(words[k : k + places]))
+    return np.unique(found if long == width else mix(found ^ np.uint64(0x5851F42D4C957F2D)))
 
 
 def samples(shingles: np.ndarray) -> np.ndarray:
@@ -88,11 +91,11 @@ def most_bits(similarity: float) -> int:
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, sizes, prints, keys, maps = batch.column(0), [], [], [], []
         for text in batch.column(1):
-            found = shingle_set(text.as_py() or "")
+            found = shingle_set(text.as_py() or "", width)
             sizes.append(len(found))
             if len(found):
                 least = samples(found)
@@ -107,9 +110,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))], schema=_SIGNED)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [shingle_set(text.as_py() or "").view(np.int64) for text in batch.column(1)]
+        found = [shingle_set(text.as_py() or "", width).view(np.int64) for text in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "members"])
 
 
@@ -128,7 +131,7 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str, width: int) -> DataFrame:
     """The candidate pairs (one, two) of class ids that are links."""
     sides = [classes.select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "sketch")]) for side in ("one", "two")]
     paired = pairs.join(sides[0], F.col("one") == F.col("one_id")).join(sides[1], F.col("two") == F.col("two_id"))
@@ -137,7 +140,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: S
     likely = scratch.table(likely.distinct(), f"likely-{name}")
     ids = scratch.table(likely.select(F.explode(F.array("one", "two")).alias("id")).distinct(), f"ids-{name}")
     texts = matching(_narrow(docs).withColumnRenamed("doc_id", "id"), ids, "id", scratch).select("id", "text")
-    sets = scratch.table(texts.mapInArrow(_sets, "id long, members array<bigint>"), f"sets-{name}")
+    sets = scratch.table(texts.mapInArrow(lambda batches: _sets(batches, width), "id long, members array<bigint>"), f"sets-{name}")
     one, two = sets.select(F.col("id").alias("one"), F.col("members").alias("one_set")), sets.select(F.col("id").alias("two"), F.col("members").alias("two_set"))
     checked = likely.join(one, "one").join(two, "two").select("one", "two", "one_set", "two_set").mapInArrow(_ratio_holds, "one long, two long")
     return scratch.table(checked, f"links-{name}")
@@ -173,7 +176,7 @@ def _held_against(table: pa.Table) -> pa.Table:
     return pa.table({"one": pa.array(one, pa.int64()), "two": pa.array(two, pa.int64())})
 
 
-def _between_components(shared: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _between_components(shared: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scratch, width: int) -> DataFrame:
     """Links between different components inside a band, found family by family."""
     labelled = shared.join(found, F.col("id") == F.col("node"), "left").select("key", "head", "id", F.coalesce("component", "id").alias("label"))
     labelled = scratch.table(labelled, "labelled")
@@ -192,15 +195,15 @@ def _between_components(shared: DataFrame, found: DataFrame, docs: DataFrame, sc
     members = placed.filter("rows > 0").withColumn("row", F.explode(all_of(F.col("rows")))).withColumn("column", spread(F.col("columns"), 1)).withColumn("asks", F.lit(False))
     queries = placed.filter("label <> main").withColumn("column", F.explode(all_of(F.col("columns")))).withColumn("row", spread(F.col("rows"), 2)).withColumn("asks", F.lit(True))
     dealt = members.select("family", "row", "column", "asks", "id", "label").unionByName(queries.select("family", "row", "column", "asks", "id", "label"))
-    sets = matching(_narrow(docs).withColumnRenamed("doc_id", "id"), nodes.select("id"), "id", scratch).select("id", "text").mapInArrow(_sets, "id long, members array<bigint>")
+    sets = matching(_narrow(docs).withColumnRenamed("doc_id", "id"), nodes.select("id"), "id", scratch).select("id", "text").mapInArrow(lambda batches: _sets(batches, width), "id long, members array<bigint>")
     full = dealt.join(scratch.table(sets, "family-sets"), "id").select("family", "row", "column", "asks", "id", "label", "members")
     return scratch.table(full.groupBy("family", "row", "column").applyInArrow(_held_against, "one long, two long"), "links-second")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, width: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     scratch = scratch or Scratch(docs.sparkSession, "neardup")
-    signed = scratch.table(_narrow(docs).mapInArrow(_sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<bigint>, sketch array<bigint>"), "signed")
+    signed = scratch.table(_narrow(docs).mapInArrow(lambda batches: _sign(batches, width), "doc_id long, n_shingles long, f1 long, f2 long, bands array<bigint>, sketch array<bigint>"), "signed")
     some = signed.filter("doc_id IS NOT NULL AND f1 IS NOT NULL")
     owners = scratch.table(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id")), "owners")
     own = some.join(owners.withColumnRenamed("id", "doc_id"), ["f1", "f2", "doc_id"], "left_semi")
@@ -210,10 +213,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     heads = scratch.table(members.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").select("key", "head"), "heads")
     shared = scratch.table(members.join(heads, "key"), "shared")
     first = shared.filter("id <> head").select(F.col("head").alias("one"), F.col("id").alias("two")).distinct()
-    links = _confirmed(first, docs, classes, scratch, "first")
+    links = _confirmed(first, docs, classes, scratch, "first", width)
     found = components(links, scratch, "first")
 
-    more = _between_components(shared, found, docs, scratch)
+    more = _between_components(shared, found, docs, scratch, width)
     if not more.isEmpty():
         found = components(links.unionByName(more), scratch, "all")
 
@@ -223,10 +226,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
     """The documents that are kept, one of each component, with their own columns."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    verdicts = scratch.table(near_duplicates(docs, scratch).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    verdicts = scratch.table(near_duplicates(docs, scratch, width).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     scratch.drop_all(keep="gone")
     return docs.join(verdicts, docs["doc_id"] == verdicts["_gone"], "left_anti")
 
