@@ -6,7 +6,9 @@ record id, keep its target and date, name its payload digest, and carry a
 digest of their own block. Record ids are name-based, so reruns agree.
 
 Plain text: comments, scripts, styles and tags go, block ends become line
-breaks, character references are resolved, blanks are folded.
+breaks, all numeric and HTML5 named character references are resolved, blanks
+are folded. Outlinks are the href of every ``a`` outside of comments and
+scripts, in any case, place and quoting; title and outlinks are resolved too.
 
 Defined results: a null url or html is empty; a response with no text gives
 records with empty blocks; repeated rows give repeated records; null ids pass
@@ -15,12 +17,17 @@ through; an empty table gives an empty result; further columns are dropped.
 
 from __future__ import annotations
 
+import re
+from html import unescape
+from html.entities import html5
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Captures made from bare pages carry one date; a capture table brings its own.
 UNDATED = "1970-01-01T00:00:00Z"
-#: Character references that are resolved, ampersand last.
+#: The SQL twin's character references, ampersand last; the operator resolves all of HTML5.
 REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
@@ -35,15 +42,64 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block, 256))
 
 
-def plain_text(html: Column) -> Column:
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    text = F.regexp_replace(text, r"(?i)</?(p|div|li|ul|ol|h[1-6]|br|tr|table|article|nav|title|section|header|footer)(\s[^>]*)?/?>", "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    for name, value in REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(value))
-    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+_TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)>|<(?:[!?]|/(?!>))[^>]*>|</>", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+_RAW = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in ("script", "style", "title", "textarea")}
+_BREAKS = frozenset("p div li ul ol h1 h2 h3 h4 h5 h6 br tr table article nav title section header footer".split())
+_IN_VALUE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*)[;=]?")
+
+
+def _resolved(text: str) -> str:
+    return unescape(text).replace("\xa0", " ") if "&" in text else text
+
+
+def _unquoted(value: str) -> str:
+    """An attribute's value; a reference without a semicolon counts only where neither = nor a letter follows, as in browsers."""
+    if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
+        value = value[1:-1]
+    found = lambda m: unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
+    return _IN_VALUE.sub(found, value) if "&" in value else value
+
+
+def parsed(html: str) -> tuple[str, list[str], str]:
+    """Title, outlinks and plain text of a page."""
+    title, links, out, at = None, [], [], 0
+    while tag := _TAG.search(html, at):
+        out.append(_resolved(html[at : tag.start()]))
+        at, name = tag.end(), (tag[2] or "").lower()
+        if not name:
+            out.append(" " if tag[0].startswith("<!--") else "")
+            continue
+        if name in _BREAKS:
+            out.append("\n")
+        if tag[1]:
+            continue
+        if name == "a":
+            href = next((value for key, value in _ATTRIBUTE.findall(tag[3]) if key.lower() == "href"), None)
+            if href is not None:
+                links.append(re.sub(r"[\t\r\n]", "", _unquoted(href)))
+        elif name in _RAW and (end := _RAW[name].search(html, at)):
+            inside = html[at : end.start()]
+            if name in ("script", "style"):
+                out.append(" ")
+                at = end.end()
+            else:  # references count in here, tags do not
+                title = _resolved(inside) if name == "title" and title is None else title
+                out.append(_resolved(inside))
+                at = end.start()
+    out.append(_resolved(html[at:]))
+    text = re.sub(r"[ \t\r\f]+", " ", "".join(out))
+    return re.sub(r"[ \t\r\n\f]+", " ", title or "").strip(" "), links, re.sub(r" ?\n[ \n]*", "\n", text).strip(" \n")
+
+
+_PARSED = "struct<title:string,links:array<string>,text:string>"
+
+
+def _pages(payload: pa.Array) -> pa.Array:
+    found = [parsed(html.as_py() or "") for html in payload]
+    kinds = (pa.string(), pa.list_(pa.string()), pa.string())
+    columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+    return pa.StructArray.from_arrays(columns, ["title", "links", "text"])
 
 
 def responses(pages: DataFrame) -> DataFrame:
@@ -55,10 +111,11 @@ def responses(pages: DataFrame) -> DataFrame:
 
 def derivatives(captures: DataFrame) -> DataFrame:
     """Two rows a response: page_id, kind, record_id, refers_to, target, date, source_headers, payload_digest, block_digest, block_bytes, block."""
-    links = F.regexp_extract_all("payload", F.lit(r'<a href="([^"]*)"'), F.lit(1))
-    title = F.regexp_extract("payload", r"(?s)<title>(.*?)</title>", 1)
-    metadata = F.concat(F.lit("title: "), title, F.lit("\nlinks: "), F.size(links), F.lit("\n"), F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit("\n"))), ""))
-    both = F.explode(F.array(F.struct(F.lit("metadata").alias("kind"), metadata.alias("block")), F.struct(F.lit("conversion").alias("kind"), plain_text(F.col("payload")).alias("block"))))
+    page = F.arrow_udf(_pages, _PARSED)("payload")
+    captures = captures.withColumn("_page", page)
+    links, text = F.col("_page.links"), F.col("_page.text")
+    metadata = F.concat(F.lit("title: "), F.col("_page.title"), F.lit("\nlinks: "), F.size(links), F.lit("\n"), F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit("\n"))), ""))
+    both = F.explode(F.array(F.struct(F.lit("metadata").alias("kind"), metadata.alias("block")), F.struct(F.lit("conversion").alias("kind"), text.alias("block"))))
     rows = captures.withColumn("_d", both)
     return rows.select(
         "page_id", F.col("_d.kind").alias("kind"), record_id(F.col("_d.kind"), F.col("record_id")).alias("record_id"), F.col("record_id").alias("refers_to"), "target", "date",
