@@ -1,5 +1,6 @@
 """BPE, chat, repeats, toxicity, near-duplicates and WARC against plain versions."""
 
+import gzip
 import hashlib
 import itertools
 import random
@@ -202,5 +203,25 @@ def test_warc(spark, tmp_path):
     assert rows[1, "conversion"]["refers_to"] == rows[1, "metadata"]["refers_to"] != rows[1, "conversion"]["record_id"]
     assert rows[1, "metadata"]["block_digest"] == "sha256:" + hashlib.sha256(rows[1, "metadata"]["block"].encode()).hexdigest()
     assert rows[2, "conversion"]["block"] == ""
-    warc.write_warc(warc.derivatives(warc.responses(pages)), str(tmp_path / "w"))
+    derived = warc.derivatives(warc.responses(pages.unionByName(pages.limit(1))))
+    warc.write_warc(derived, str(tmp_path / "w"))
+    found = Counter()
+    for part in (tmp_path / "w").glob("part-*.gz"):
+        data = gzip.decompress(part.read_bytes())
+        while data:
+            head, rest = data.split(b"\r\n\r\n", 1)
+            lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines[1:] if not x.startswith("WARC-Source-Header"))
+            sent = [x.split(": ", 1)[1] for x in lines if x.startswith("WARC-Source-Header")]
+            size = int(fields["Content-Length"])
+            assert lines[0] == "WARC/1.0" and sent[:2] == ["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8"] and rest[size : size + 4] == b"\r\n\r\n"
+            assert fields["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(rest[:size]).hexdigest()
+            found[fields["WARC-Record-ID"], fields["WARC-Refers-To"], rest[:size].decode()] += 1
+            data = rest[size + 4 :]
+    assert found == Counter((r["record_id"], r["refers_to"], r["block"]) for r in derived.collect())
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+    long = "<p>" + "word &amp; " * 50_000
+    own = spark.createDataFrame([(1, "u", long, "2024-05-01T00:00:00Z", "HTTP/1.1 200 OK\r\nX: y\r\n\r\n", "b", "k"), (1, "u", long, None, None, "b", "k")], "page_id long, url string, html string, date string, headers string, block string, kind string")
+    rows = warc.derivatives(warc.responses(own)).collect()
+    assert {(r["made_up"], r["date"]) for r in rows} == {(False, "2024-05-01T00:00:00Z"), (True, warc.UNDATED)}
+    assert {r["block_bytes"] for r in rows if r["kind"] == "conversion"} == {len("word & ") * 50_000 - 1}

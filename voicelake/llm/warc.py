@@ -13,6 +13,9 @@ scripts, in any case, place and quoting; title and outlinks are resolved too.
 Defined results: a null url or html is empty; a response with no text gives
 records with empty blocks; repeated rows give repeated records; null ids pass
 through; an empty table gives an empty result; further columns are dropped.
+Bare pages have no capture: their date and HTTP headers are made up, and
+``made_up`` says so in every row; a table with columns ``date`` and
+``headers`` (a null is made up) brings its own.
 """
 
 from __future__ import annotations
@@ -27,8 +30,6 @@ from pyspark.sql import functions as F
 
 #: Captures made from bare pages carry one date; a capture table brings its own.
 UNDATED = "1970-01-01T00:00:00Z"
-#: The SQL twin's character references, ampersand last; the operator resolves all of HTML5.
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
 def record_id(*parts: Column) -> Column:
@@ -103,14 +104,19 @@ def _pages(payload: pa.Array) -> pa.Array:
 
 
 def responses(pages: DataFrame) -> DataFrame:
-    """Pages as responses: page_id, record_id, target, date, http headers and payload."""
+    """Pages as responses: page_id, record_id, target, date, http headers, payload, and whether date or headers are made up."""
     url, html = F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col("html").cast("string"), F.lit(""))
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html), F.lit("\r\n\r\n"))
-    return pages.select("page_id", record_id(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), url).alias("record_id"), url.alias("target"), F.lit(UNDATED).alias("date"), headers.alias("headers"), html.alias("payload"))
+    own = lambda name: F.col(name).cast("string") if name in pages.columns else F.lit(None).cast("string")
+    identity = record_id(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), url)
+    return pages.select(
+        "page_id", identity.alias("record_id"), url.alias("target"), F.coalesce(own("date"), F.lit(UNDATED)).alias("date"), F.coalesce(own("headers"), headers).alias("headers"),
+        html.alias("payload"), (own("date").isNull() | own("headers").isNull()).alias("made_up"),
+    )
 
 
 def derivatives(captures: DataFrame) -> DataFrame:
-    """Two rows a response: page_id, kind, record_id, refers_to, target, date, source_headers, payload_digest, block_digest, block_bytes, block."""
+    """Two rows a response: page_id, kind, record_id, refers_to, target, date, source_headers, made_up, payload_digest, block_digest, block_bytes, block."""
     page = F.arrow_udf(_pages, _PARSED)("payload")
     captures = captures.withColumn("_page", page)
     links, text = F.col("_page.links"), F.col("_page.text")
@@ -119,38 +125,48 @@ def derivatives(captures: DataFrame) -> DataFrame:
     rows = captures.withColumn("_d", both)
     return rows.select(
         "page_id", F.col("_d.kind").alias("kind"), record_id(F.col("_d.kind"), F.col("record_id")).alias("record_id"), F.col("record_id").alias("refers_to"), "target", "date",
-        F.col("headers").alias("source_headers"), digest(F.col("payload")).alias("payload_digest"), digest(F.col("_d.block")).alias("block_digest"),
+        F.col("headers").alias("source_headers"), "made_up", digest(F.col("payload")).alias("payload_digest"), digest(F.col("_d.block")).alias("block_digest"),
         F.octet_length("_d.block").cast("long").alias("block_bytes"), F.col("_d.block").alias("block"),
     )
 
 
 def record_text(kind: str = "kind") -> Column:
-    """A derivative as WARC text, header lines and block."""
+    """A derivative as WARC text but for its last line break: header lines, those of the source as WARC-Source-Header, and block."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     mime = F.when(F.col(kind) == "conversion", "text/plain").otherwise("application/warc-fields")
+    source = F.filter(F.split("source_headers", r"\r?\n"), lambda x: x != "")
     head = F.concat(
         F.lit("WARC/1.0\r\n"), line("WARC-Type", F.col(kind)), line("WARC-Record-ID", F.col("record_id")), line("WARC-Refers-To", F.col("refers_to")), line("WARC-Target-URI", F.col("target")),
-        line("WARC-Date", F.col("date")), line("WARC-Payload-Digest", F.col("payload_digest")), line("WARC-Block-Digest", F.col("block_digest")), line("Content-Type", mime), line("Content-Length", F.col("block_bytes").cast("string")),
+        line("WARC-Date", F.col("date")), line("WARC-Payload-Digest", F.col("payload_digest")), line("WARC-Block-Digest", F.col("block_digest")),
+        F.array_join(F.transform(source, lambda x: line("WARC-Source-Header", x)), ""), line("Content-Type", mime), line("Content-Length", F.col("block_bytes").cast("string")),
     )
-    return F.concat(head, F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n"))
+    return F.concat(head, F.lit("\r\n"), F.col("block"), F.lit("\r\n"))
 
 
 def write_warc(derived: DataFrame, path: str) -> None:
-    """Writes records as gzip text, a file a partition."""
-    derived.select(record_text().alias("value")).write.option("compression", "gzip").option("lineSep", "").text(path)
+    """Writes records as gzip text, a file and a gzip member a partition; the line break that the sink adds is each record's last."""
+    derived.select(record_text().alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n").text(path)
 
 
 def op10_derivatives(spark, sf_dir):
     return derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
+#: The SQL twin's character references, ampersand last, and its one form of link: those of the given tables. The operator knows all.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def _resolved_sql(column: str) -> str:
+    for name, value in REFERENCES:
+        column = f"replace({column}, '{name}', '{value.replace(chr(39), chr(39) * 2)}')"
+    return column
+
+
 _TEXT_SQL = r"regexp_replace(coalesce(html, ''), '<!--.*?-->', ' ', 'gs')"
 _TEXT_SQL = rf"regexp_replace({_TEXT_SQL}, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis')"
 _TEXT_SQL = rf"regexp_replace({_TEXT_SQL}, '</?(p|div|li|ul|ol|h[1-6]|br|tr|table|article|nav|title|section|header|footer)(\s[^>]*)?/?>', chr(10), 'gi')"
 _TEXT_SQL = rf"regexp_replace({_TEXT_SQL}, '<[^>]*>', '', 'g')"
-for _name, _value in REFERENCES:
-    _TEXT_SQL = f"replace({_TEXT_SQL}, '{_name}', '{_value.replace(chr(39), chr(39) * 2)}')"
-_TEXT_SQL = rf"regexp_replace(regexp_replace(regexp_replace({_TEXT_SQL}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+_TEXT_SQL = rf"regexp_replace(regexp_replace(regexp_replace({_resolved_sql(_TEXT_SQL)}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 _ID_SQL = "'<urn:uuid:' || substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-' || substr({0}, 13, 4) || '-' || substr({0}, 17, 4) || '-' || substr({0}, 21, 12) || '>'"
 OP10_SQL = rf"""
 WITH r AS (
@@ -159,12 +175,12 @@ WITH r AS (
 ), s AS (
   SELECT *, {_ID_SQL.format("m")} AS refers_to FROM r
 ), d AS (
-  SELECT *, 'metadata' AS kind, 'title: ' || regexp_extract(payload, '<title>(.*?)</title>', 1, 's') || chr(10) || 'links: ' || len(links) || chr(10)
-         || coalesce(list_aggregate(list_transform(links, lambda x: 'outlink: ' || x || chr(10)), 'string_agg', ''), '') AS block FROM s
+  SELECT *, 'metadata' AS kind, 'title: ' || trim(regexp_replace({_resolved_sql("regexp_extract(payload, '<title>(.*?)</title>', 1, 's')")}, '[ \t\r\n\f]+', ' ', 'g')) || chr(10) || 'links: ' || len(links) || chr(10)
+         || coalesce(list_aggregate(list_transform(links, lambda x: 'outlink: ' || {_resolved_sql('x')} || chr(10)), 'string_agg', ''), '') AS block FROM s
   UNION ALL SELECT *, 'conversion', plain FROM s
 )
 SELECT page_id, kind, {_ID_SQL.format("md5(kind || '|' || refers_to)")} AS record_id, refers_to, target, '{UNDATED}' AS date,
        'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(payload)) || chr(13) || chr(10) || chr(13) || chr(10) AS source_headers,
-       'sha256:' || sha256(payload) AS payload_digest, 'sha256:' || sha256(block) AS block_digest, CAST(octet_length(encode(block)) AS BIGINT) AS block_bytes, block
+       true AS made_up, 'sha256:' || sha256(payload) AS payload_digest, 'sha256:' || sha256(block) AS block_digest, CAST(octet_length(encode(block)) AS BIGINT) AS block_bytes, block
 FROM d
 """
