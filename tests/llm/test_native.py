@@ -2,12 +2,16 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
-from voicelake.llm import fingerprint, mixing, quality, sharding
+from voicelake.llm import fingerprint, mixing, quality, sharding, successor
+from voicelake.llm.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -107,8 +111,6 @@ def test_quality_counts(edge, none, labels):
 
 def test_quality_scores(spark, edge, labels):
     """The score against counting in plain Python, on the same cells."""
-    from pyspark.sql import functions as F
-
     from voicelake.llm.text import words
 
     h = quality.features(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
@@ -141,31 +143,95 @@ def test_junk_is_rejected(spark):
     assert kept == {i for i, _, k in rows if k}
 
 
-def test_fingerprints(edge, none):
-    rows = edge.select("doc_id", "text").collect()
-    got = defaultdict(list)
-    prints = {}
-    for r in fingerprint.fingerprint_report(edge).collect():
-        got[r["doc_id"]].append(r)
-        assert len(r["fingerprint"]) == len(r["edited_fingerprint"]) == 8 * fingerprint.M and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert sum(map(len, got.values())) == len(rows)
-    single = [(r["doc_id"], r["text"] or "") for r in rows]
-    ids = Counter(i for i, _ in single)
-    ordered = sorted((x for x in single if x[0] is not None), key=lambda x: -x[0])
-    for k, (i, text) in enumerate(ordered[:-1]):
-        if ids[i] > 1 or ids[ordered[k + 1][0]] > 1:
-            continue
-        r, n, following = got[i][0], len(text) // 3, ordered[k + 1][1]
+def plain_mark(text):
+    """Order MinHash in plain Python, with the same 64-bit hashes."""
+    hash_of = lambda value, seed=42: xxhash.xxh64_intdigest(value if isinstance(value, bytes) else struct.pack("<Q", value), seed)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    high = lambda x: x & ~((1 << fingerprint.LOW) - 1) & ((1 << 64) - 1)
+    pieces = [hash_of(w.encode()) for w in re.findall(rf"[^\x20\x09-\x0D]{{1,{fingerprint.PIECE}}}", text)]
+    if not pieces:
+        return [0] * fingerprint.M
+    pairs = [hash_of(b, hash_of(a)) for a, b in zip(pieces, pieces[1:], strict=False)] or [hash_of(pieces[0])]
+    seen, numbered = Counter(), []
+    for place, pair in enumerate(map(high, pairs)):
+        # an occurrence number is a Spark int, hashed as such
+        numbered.append((signed(high(xxhash.xxh64_intdigest(struct.pack("<I", seen[pair]), hash_of(pair)))), place))
+        seen[pair] += 1
+    numbered.sort()
+    out = []
+    for b in range(fingerprint.M):
+        mark = (b << 58) - (1 << 63)
+        at = next((k for k, x in enumerate(numbered) if x[0] >= mark), 0)
+        chosen = [numbered[(at + k) % len(numbered)] for k in range(fingerprint.L)]
+        chosen.sort(key=lambda x: x[1])
+        one, two = (x[0] & ((1 << 64) - 1) for x in chosen)
+        out.append(hash_of(two, hash_of(one)) & 0x7FFFFFFF)
+    return out
+
+
+def plain_report(rows):
+    """(doc_id, text) rows, equal ids by the order of the texts' hashes, so here only rows whose neighbours are plain."""
+    ordered = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0)))
+    out = []
+    for k, (i, text) in enumerate(ordered):
+        following = ordered[(k + 1) % len(ordered)][1]
+        n = len(text) // 3
         edited = text[: len(text) - n] + following[:n]
-        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert prints.setdefault(text, r["fingerprint"]) == r["fingerprint"]
-        if edited == text:
-            assert r["near_edited"] == 1.0
+        marks = [plain_mark(x) for x in (text, edited, following)]
+        like = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / fingerprint.M
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), *("".join(f"{x:08x}" for x in m) for m in marks[:2]), like(marks[0], marks[1]), like(marks[0], marks[2])))
+    return Counter(out)
+
+
+def test_fingerprints(spark, edge, none):
+    rows = {}
+    for r in edge.select("doc_id", "text").collect():
+        rows.setdefault(r["doc_id"], r["text"] or "")
+    single = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert Counter(map(tuple, fingerprint.fingerprint_report(single).collect())) == plain_report(list(rows.items()))
+    assert fingerprint.fingerprint_report(edge).count() == edge.count()
     assert fingerprint.fingerprint_report(none).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[2**60 - 1, 5, 0, None], [-(2**62), 2**62, 2**63 - 1, -(2**63), 0], [7]])
+def test_fingerprints_of_far_ids(spark, ids):
+    rows = [(i, f"the text of {k} " * (3 + k)) for k, i in enumerate(ids)]
+    got = fingerprint.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == plain_report(rows)
+
+
+def test_fingerprints_of_repeats(spark):
+    """All but the last of equal rows are followed by their own text; several null ids go by the texts' hashes."""
+    rows, chunk = [(9, "one two three four five six")] * 7 + [(4, "other words are in here")] + [(None, f"null {k} id text") for k in range(5)], fingerprint.CHUNK
+    fingerprint.CHUNK = 3
+    try:
+        got = fingerprint.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    finally:
+        fingerprint.CHUNK = chunk
+    assert len(got) == len(rows)
+    next_text, own = [tuple(r) for r in got if r["doc_id"] == 9], dict(rows)[9]
+    want = plain_report([(9, own), (4, dict(rows)[4])])
+    last = next(x for x in want if x[0] == 9)
+    edited = own[: len(own) - len(own) // 3] + own[: len(own) // 3]
+    assert Counter(next_text)[last] == 1 and sum(r[2] == hashlib.sha256(edited.encode()).hexdigest() and r[6] == 1.0 for r in next_text) == 6
+    nulls = [r for r in got if r["doc_id"] is None]
+    texts = [t for i, t in rows if i is None]
+    edits = {a: {hashlib.sha256((a[: len(a) - len(a) // 3] + b[: len(a) // 3]).encode()).hexdigest() for b in [*texts, own] if b != a} for a in texts}
+    assert all(any(r["edited_sha256"] in e for e in edits.values()) for r in nulls)
+
+
+def test_ranges_are_even(spark):
+    """Clustered ids do not meet in one range."""
+    rows = spark.createDataFrame([(i,) for i in range(20_000)] + [(2**50,)], "id long")
+    scratch = Scratch(spark, "t")
+    chained = successor.with_next(rows, [F.col("id").desc()], ["id"], scratch)
+    assert {(r["id"], r["next"]["id"]) for r in chained.collect()} == {(i, i - 1) for i in range(1, 20_000)} | {(2**50, 19_999), (0, 2**50)}
+    sizes = [r["count"] for r in spark.read.parquet(f"{scratch.root}/ranged").groupBy("_range").count().collect()]
+    assert max(sizes) <= 2 * 20_001 / 4
+
+
 def test_fingerprint_sees_order_and_counts(spark):
-    """Components against a plain Order MinHash over the same hashes, and moves lower the likeness."""
+    """Moves and repeats lower the likeness."""
     base = " ".join(f"t{i}" for i in range(60))
     swapped = " ".join(f"t{i}" for i in [*range(30, 60), *range(30)])
     df = fingerprint.with_fingerprint(spark.createDataFrame([(base, swapped, base + " " + base)], "a string, b string, c string"), "a", "fa")

@@ -9,29 +9,32 @@ falls with edits and with moves.
 
 The M hash functions are rotations of one: function b orders by hash minus
 b/M of the range, so one sort serves all, and function b's smallest are those
-that follow b's mark on the circle.
+that follow b's mark on the circle. White space only separates pieces, so
+texts that differ in it alone have likeness 1.
 
 Everything is array expressions on one row; whole texts are used.
 
 Defined results: a null text is empty; empty texts have equal fingerprints (of
 zeros); a text under K pieces is one k-mer; the next document is the one with
 the next smaller id, null ids come last, equal ids follow by hash of the text,
-and after the last comes the first, so a single document follows itself; an
-empty table gives an empty result.
+and after the last comes the first, so a single document follows itself; rows
+equal in id and text follow each other; an empty table gives an empty result;
+columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voicelake.llm.scratch import Scratch
+from voicelake.llm.successor import with_next
 from voicelake.llm.text import code_points, whole
 
 PIECE, K, L, M = 12, 2, 2, 64
 #: Low bits of a packed value hold a position (texts up to 268 million pieces), the others the hash.
 LOW = 28
 _LOW_MASK = (1 << LOW) - 1
-MAX_BUCKETS = 8192
 
 
 def _top(x: Column) -> Column:
@@ -61,10 +64,10 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         one, two = (F.get("_e", F.pmod(at - b + k, F.size("_e"))) for k in range(L))
         in_order = _low(one) <= _low(two)
         early, late = F.when(in_order, one).otherwise(two), F.when(in_order, two).otherwise(one)
-        return F.xxhash64(_top(early), _top(late)).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.xxhash64(_top(early), _top(late)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
     filled = F.transform("_m", component)
-    df = df.withColumn(out, F.when(F.size("_e") > 0, filled).otherwise(F.array_repeat(F.lit(0).cast("long"), M)))
+    df = df.withColumn(out, F.when(F.size("_e") > 0, filled).otherwise(F.array_repeat(F.lit(0), M)))
     return df.drop("_t", "_s", "_r", "_c", "_e", "_m")
 
 
@@ -77,55 +80,46 @@ def likeness(one: str, two: str) -> Column:
     return F.size(F.filter(F.zip_with(one, two, lambda a, b: a == b), lambda same: same)) / F.lit(float(M))
 
 
-def _bucketed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, text, hash of the text and a bucket of neighbouring ids; the first row of each bucket in descending order.
+_KEY = ["_null", "_id", "_h", "_g"]
+#: Repeats of one id and text that one task writes.
+CHUNK = 100_000
 
-    Ids are counted in even cells of their range, and cells are dealt to buckets by those counts; at most
-    8 * MAX_BUCKETS counts and MAX_BUCKETS first rows reach the driver, whatever the corpus.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text")).withColumn("th", F.xxhash64("text"))
-    low, high, total = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    buckets = min(MAX_BUCKETS, max(16, 2 * docs.rdd.getNumPartitions()))
-    if low is None or high - low < 1:
-        rows = rows.withColumn("bucket", F.lit(0))
-    else:
-        width = max(1, -(-(high - low + 1) // (8 * buckets)))
-        cell = F.floor((F.col("doc_id") - low) / F.lit(width)).cast("int")
-        counts = {r[0]: r[1] for r in rows.filter("doc_id IS NOT NULL").groupBy(cell).count().collect()}
-        place, upto = [], 0
-        for c in range((high - low) // width + 1):
-            place.append(upto * buckets // total + 1)
-            upto += counts.get(c, 0)
-        table = F.split(F.lit(",".join(map(str, place))), ",").cast("array<int>")
-        rows = rows.withColumn("bucket", F.coalesce(F.get(table, cell), F.lit(0)))
-    firsts = rows.groupBy("bucket").agg(F.max(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("k"), F.negative(F.shiftright("th", 1)).alias("o"), "doc_id", "th")).alias("x"))
-    heads = sorted((r["bucket"], r["x"]["doc_id"], r["x"]["th"]) for r in firsts.collect())
-    above = [heads[(i + 1) % len(heads)][0] for i in range(len(heads))]
-    schema = "head_id long, head_th long, lender int"
-    return rows, docs.sparkSession.createDataFrame([(h[1], h[2], b) for h, b in zip(heads, above, strict=True)], schema)
+
+def _report(rows: DataFrame) -> DataFrame:
+    """_null, _id, text, mark, other (what the edit takes from), next_mark and times -> the report, a row each and ``times``."""
+    size = code_points(F.col("text"))
+    third = F.floor(size / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), (size - third).cast("int")), F.substring("other", F.lit(1), third))
+    rows = rows.select(*_KEY, "chunk", "times", size.alias("n_chars"), "mark", "next_mark", F.when(third > 0, edited).otherwise(F.col("text")).alias("edited"))
+    done = with_fingerprint(rows, "edited", "edited_mark")
+    return done.select(
+        *_KEY, "chunk", "times", F.when(~F.col("_null"), F.col("_id")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text("mark").alias("fingerprint"),
+        as_text("edited_mark").alias("edited_fingerprint"), likeness("mark", "edited_mark").alias("near_edited"), likeness("mark", "next_mark").alias("near_next"),
+    )
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints and likenesses of every row.
 
-    The whole text moves once, to its bucket; a bucket's first row is lent to the bucket that it follows.
+    The order is found on keys alone: id and a 128-bit hash of the text. Rows equal in id and text are one row with a
+    count, combined before the exchange, since all but the last of them are followed by their own text. Whole texts move
+    once, to their key; each then lends its beginning, no longer than the edit asks for, to the key that it follows.
     """
-    rows, heads = _bucketed(docs)
-    lent = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("th") == F.col("head_th")), "left")
-    own, other = F.struct(F.col("bucket"), F.lit(False).alias("lent")), F.struct(F.col("lender").alias("bucket"), F.lit(True).alias("lent"))
-    marked = with_fingerprint(lent.select("doc_id", "text", "th", "bucket", "lender"), "text", "mark")
-    dealt = marked.withColumn("to", F.explode(F.when(F.col("lender").isNotNull(), F.array(own, other)).otherwise(F.array(own)))).select("doc_id", "text", "th", "mark", "to.bucket", "to.lent")
-    order = Window.partitionBy("bucket").orderBy("lent", F.col("doc_id").desc_nulls_last(), F.shiftright("th", 1), "th")
-    paired = dealt.withColumns({"next_text": F.lead("text").over(order), "next_mark": F.lead("mark").over(order)}).filter("NOT lent")
-    size = code_points(F.col("text"))
-    third = F.floor(size / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (size - third).cast("int")), F.substring("next_text", F.lit(1), third))
-    paired = paired.select("doc_id", size.alias("n_chars"), "mark", "next_mark", F.when(third > 0, edited).otherwise(F.col("text")).alias("edited"))
-    done = with_fingerprint(paired, "edited", "edited_mark")
-    return done.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text("mark").alias("fingerprint"), as_text("edited_mark").alias("edited_fingerprint"),
-        likeness("mark", "edited_mark").alias("near_edited"), likeness("mark", "next_mark").alias("near_next"),
-    )
+    scratch = Scratch(docs.sparkSession, "fingerprint")
+    text, null = whole(F.col("text")), F.col("doc_id").cast("long").isNull()
+    keyed = docs.select(null.alias("_null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).cast("long").alias("_id"), text.alias("text"), F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(1), text).alias("_g"))
+    order = [F.col("_null").asc(), F.col("_id").desc(), F.col("_h").asc(), F.col("_g").asc()]
+    keys = keyed.groupBy(*_KEY).agg(F.max(F.floor(code_points(F.col("text")) / 3).cast("int")).alias("asks"))
+    links = scratch.table(with_next(keys, order, _KEY, scratch).select("next.*", F.struct(*_KEY).alias("before"), "asks"), "links")
+
+    # every use below reads text, mark and n, so that one exchange serves all
+    own = with_fingerprint(keyed, "text", "mark").groupBy(*_KEY).agg(F.max("text").alias("text"), F.max("mark").alias("mark"), F.count(F.lit(1)).alias("n")).filter("n > 0")
+    lent = own.join(links, _KEY).select("before.*", F.substring("text", F.lit(1), F.col("asks")).alias("other"), F.col("mark").alias("next_mark"))
+    followed = own.join(lent.hint("merge"), _KEY).withColumns({"chunk": F.lit(0).cast("long"), "times": F.lit(1).cast("long")})
+    repeated = own.filter("n > 1").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / CHUNK))))
+    repeated = repeated.withColumns({"times": F.least(F.lit(CHUNK).cast("long"), F.col("n") - 1 - F.col("chunk") * CHUNK), "other": F.col("text"), "next_mark": F.col("mark")})
+    copies = _report(repeated).repartition(*_KEY, "chunk").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return _report(followed).drop(*_KEY, "chunk", "times").unionByName(copies.drop(*_KEY, "chunk", "times", "copy"))
 
 
 def op2_fingerprints(spark, sf_dir):
