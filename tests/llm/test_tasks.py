@@ -169,6 +169,40 @@ def test_preferences(spark):
     assert chat.format_preferences(make([]), make([])).count() == 0
 
 
+def plain_pairs(rows):
+    """Chosen and rejected turns of every conversation, in plain Python."""
+    groups = defaultdict(list)
+    for conv, turn, role, text in rows:
+        groups[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    convs = {c: [t[2:] for t in sorted(g)] for c, g in groups.items()}
+    at = {c: max((k for k, t in enumerate(g) if t[0] == "assistant"), default=None) for c, g in convs.items()}
+    order = sorted((c for c in convs if at[c] is not None), key=lambda c: (c is None, c or 0))
+    out = {}
+    for c, g in convs.items():
+        swapped = list(g)
+        if at[c] is not None:
+            other = order[(order.index(c) + 1) % len(order)]
+            swapped[at[c]] = ("assistant", convs[other][at[other]][1] if len(order) > 1 else "")
+        shared = next((k for k in range(len(g)) if g[k] != swapped[k]), len(g))
+        render = lambda turns: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
+        masked = lambda turns: [t + "<|im_end|>\n" for r, t in turns if r == "assistant"]
+        out[c] = (shared, render(g[:shared]), render(g[shared:]), render(swapped[shared:]), masked(g[shared:]), masked(swapped[shared:]))
+    return out
+
+
+def test_pairs_of_all_conversations(spark):
+    """Ids far apart, no replies, turns after the last reply, null ids and numbers, ties, repeated rows and a very long text."""
+    rows = [(i * 1000, k, role, f"{role} {i} {k}") for i in range(-3, 9) for k, role in enumerate(["system", "user", "assistant", "user", "assistant", "user"][: 2 + (i + 3) % 5])]
+    rows += [(None, 0, "user", "n"), (None, 1, "assistant", "null"), (5, None, "assistant", "late"), (5, None, None, None), (5, 3, "assistant", "tie b"), (5, 3, "assistant", "tie a"), (5, 3, "assistant", "tie b")]
+    rows += [(2**62, 0, "assistant", "long " * 60_000), (77, 0, "user", "alone")]
+    schema = "conv_id long, turn long, role string, text string, c string, r string, at int, other string, pair_id int"
+    got = chat.formatted(chat.with_swapped_reply(spark.createDataFrame([(*r, "x", "x", 1, "x", 2) for r in rows], schema))).collect()
+    cut = lambda r, side: [r[side][s["start"] : s["end"]] for s in r[f"{side}_spans"]]
+    assert {r["pair_id"]: (r["n_shared"], r["prompt"], r["chosen"], r["rejected"], cut(r, "chosen"), cut(r, "rejected")) for r in got} == plain_pairs(rows)
+    single = chat.formatted(chat.with_swapped_reply(spark.createDataFrame([(1, 0, "assistant", "a"), (2, 0, "user", "b")], "conv_id long, turn long, role string, text string"))).collect()
+    assert {r["pair_id"]: cut(r, "rejected") for r in single} == {1: ["<|im_end|>\n"], 2: []}
+
+
 def test_ordinal_fit_recovers_grades():
     rng = np.random.RandomState(0)
     truth, theta = rng.randn(30), np.array([-0.5, 1.0, 2.5])

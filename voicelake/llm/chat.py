@@ -15,18 +15,26 @@ empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voicelake.llm.scratch import Scratch
+from voicelake.llm.successor import with_next
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
-#: Conversation numbers that look for a partner among each other in the query below.
-NEIGHBOURS = 64
 
 
-def _turns(side: str) -> Column:
-    empty = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
-    gathered = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("turn", "role", "text"))))
-    return F.coalesce(F.transform(gathered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))), F.transform(empty, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+_TURNS = "array<struct<role:string,text:string>>"
+
+
+def _clean(turns: DataFrame, key: str) -> DataFrame:
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+    return turns.select(F.col(key).alias("pair_id"), F.col("turn").cast("long").alias("turn"), text("role"), text("text"))
+
+
+def _gathered(when: Column | None = None) -> Column:
+    row = F.struct("turn", "role", "text")
+    return F.transform(F.array_sort(F.collect_list(row if when is None else F.when(when, row))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
 
 
 def _rendered(turns: Column) -> Column:
@@ -44,12 +52,8 @@ def _spans(turns: Column) -> Column:
     return F.aggregate(lengths, seed, step, lambda a: a["spans"])
 
 
-def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """(pair_id, turn, role, text) on both sides -> prompt, both completions and their spans, a row a pair."""
-    clean = lambda df, side: df.select(
-        "pair_id", F.lit(side).alias("side"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
-    pairs = clean(chosen, "c").unionByName(clean(rejected, "r")).groupBy("pair_id").agg(_turns("c").alias("c"), _turns("r").alias("r"))
+def formatted(pairs: DataFrame) -> DataFrame:
+    """(pair_id, turns c and r) -> prompt, both completions and their spans."""
     differs = F.filter(F.sequence(F.lit(0), F.least(F.size("c"), F.size("r"))), lambda i: ~F.coalesce(F.get("c", i) == F.get("r", i), F.lit(False)))
     pairs = pairs.withColumn("n_shared", F.get(differs, F.lit(0)))
     rest = lambda side: F.slice(side, F.col("n_shared") + 1, F.greatest(F.size(side) - F.col("n_shared"), F.lit(0)))
@@ -60,45 +64,57 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
-def with_swapped_reply(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Makes pairs from conversations: chosen as they are up to their last assistant turn; rejected ends with a neighbour's reply.
+def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(pair_id, turn, role, text) on both sides -> prompt, both completions and their spans, a row a pair."""
+    sides = _clean(chosen, "pair_id").withColumn("side", F.lit("c")).unionByName(_clean(rejected, "pair_id").withColumn("side", F.lit("r")))
+    return formatted(sides.groupBy("pair_id").agg(_gathered(F.col("side") == "c").alias("c"), _gathered(F.col("side") == "r").alias("r")))
+
+
+def with_swapped_reply(turns: DataFrame) -> DataFrame:
+    """(pair_id, c, r) of every conversation (conv_id, turn, role, text): its turns as chosen; as rejected, its last assistant turn with another's reply.
 
-    The neighbour is the next conversation with a reply among NEIGHBOURS consecutive numbers, the first after the last.
+    The other conversation is the next by id that has a reply, null ids last, the first after the last. A conversation
+    without a reply has equal sides; where no other has one, the rejected reply is empty.
     """
-    turns = turns.filter("conv_id IS NOT NULL").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    last = turns.filter("role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("x")).select("pair_id", F.col("x.turn").alias("last_turn"), F.col("x.text").alias("reply"))
-    near = Window.partitionBy(F.floor(F.col("pair_id") / NEIGHBOURS)).orderBy("pair_id")
-    around = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    other = F.when(F.lead("pair_id").over(near).isNotNull(), F.lead("reply").over(near)).otherwise(F.first("reply").over(around))
-    joined = turns.join(last.withColumn("other", other), "pair_id")
-    chosen = joined.filter("turn <= last_turn").select("pair_id", "turn", "role", "text")
-    swapped = F.when((F.col("turn") == F.col("last_turn")) & (F.col("role") == "assistant"), F.col("other")).otherwise(F.col("text"))
-    return chosen, joined.filter("turn <= last_turn").select("pair_id", "turn", "role", swapped.alias("text"))
+    scratch = Scratch(turns.sparkSession, "chat")
+    known = _clean(turns, "conv_id").groupBy("pair_id").agg(_gathered().alias("c"))
+    at = F.array_max(F.filter(F.transform("c", lambda t, i: F.when(t["role"] == "assistant", i)), lambda i: i.isNotNull()))
+    key = [F.col("pair_id").isNull().alias("_null"), F.coalesce(F.col("pair_id").cast("long"), F.lit(0).cast("long")).alias("_id")]
+    known = scratch.table(known.select(*key, "pair_id", "c", at.alias("at"), F.get("c", at)["text"].alias("reply")), "known")
+    replied = known.filter("at IS NOT NULL")
+    links = with_next(replied.select("_null", "_id"), [F.col("_null").asc(), F.col("_id").asc()], ["_null", "_id"], scratch)
+    links = links.select("next.*", F.struct("_null", "_id").alias("before"))
+    own = (F.col("before._null") == F.col("_null")) & (F.col("before._id") == F.col("_id"))
+    other = replied.join(links, ["_null", "_id"]).select("before.*", F.when(own, F.lit("")).otherwise(F.col("reply")).alias("other"))
+    pairs = known.join(other, ["_null", "_id"], "left")
+    swapped = F.transform("c", lambda t, i: F.struct(t["role"].alias("role"), F.when(i == F.col("at"), F.col("other")).otherwise(t["text"]).alias("text")))
+    return pairs.select("pair_id", "c", F.when(F.col("at").isNull(), F.col("c")).otherwise(swapped).alias("r"))
 
 
 def op4_preferences(spark, sf_dir):
-    done = format_preferences(*with_swapped_reply(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    done = formatted(with_swapped_reply(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     flat = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return done.select("pair_id", "n_shared", "prompt", "chosen", "rejected", flat("chosen_spans").alias("chosen_spans"), flat("rejected_spans").alias("rejected_spans"))
 
 
 OP4_SQL = r"""
-WITH last AS (
-  SELECT conv_id, arg_max(text, turn) AS reply, max(turn) AS last_turn FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL GROUP BY conv_id
+WITH turns AS (
+  SELECT conv_id AS pair_id, coalesce(role, '') AS role, coalesce(text, '') AS chosen,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations
+), last AS (
+  SELECT pair_id, arg_max(chosen, place) AS reply, max(place) AS spot FROM turns WHERE role = 'assistant' GROUP BY pair_id
 ), other AS (
-  SELECT conv_id, last_turn, CASE WHEN lead(conv_id) OVER w IS NOT NULL THEN lead(reply) OVER w
-         ELSE first_value(reply) OVER (PARTITION BY conv_id // 64 ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS other
-  FROM last WINDOW w AS (PARTITION BY conv_id // 64 ORDER BY conv_id)
-), turns AS (
-  SELECT c.conv_id AS pair_id, c.turn, c.role, c.text AS chosen, CASE WHEN c.turn = o.last_turn AND c.role = 'assistant' THEN o.other ELSE c.text END AS rejected
-  FROM conversations c JOIN other o USING (conv_id) WHERE c.turn <= o.last_turn
+  SELECT pair_id, spot, CASE WHEN count(*) OVER () = 1 THEN ''
+         ELSE coalesce(lead(reply) OVER w, first_value(reply) OVER (ORDER BY pair_id ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) END AS other
+  FROM last WINDOW w AS (ORDER BY pair_id ASC NULLS LAST)
+), both_sides AS (
+  SELECT t.*, CASE WHEN t.place = o.spot THEN o.other ELSE t.chosen END AS rejected FROM turns t LEFT JOIN other o ON t.pair_id IS NOT DISTINCT FROM o.pair_id
 ), shared AS (
-  SELECT pair_id, coalesce(min(CASE WHEN chosen <> rejected THEN place END) - 1, count(*)) AS n_shared
-  FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role) AS place FROM turns) GROUP BY pair_id
+  SELECT pair_id, coalesce(min(CASE WHEN chosen <> rejected THEN place END) - 1, count(*)) AS n_shared FROM both_sides GROUP BY pair_id
 ), placed AS (
-  SELECT t.*, row_number() OVER (PARTITION BY t.pair_id ORDER BY turn, role) AS place, s.n_shared,
-         '<|im_start|>' || role || chr(10) || chosen || '<|im_end|>' || chr(10) AS c, '<|im_start|>' || role || chr(10) || rejected || '<|im_end|>' || chr(10) AS r
-  FROM turns t JOIN shared s USING (pair_id)
+  SELECT t.*, s.n_shared, '<|im_start|>' || role || chr(10) || chosen || '<|im_end|>' || chr(10) AS c, '<|im_start|>' || role || chr(10) || rejected || '<|im_end|>' || chr(10) AS r
+  FROM both_sides t JOIN shared s ON t.pair_id IS NOT DISTINCT FROM s.pair_id
 ), ends AS (
   SELECT *, sum(CASE WHEN place > n_shared THEN length(c) ELSE 0 END) OVER w AS c_end, sum(CASE WHEN place > n_shared THEN length(r) ELSE 0 END) OVER w AS r_end
   FROM placed WINDOW w AS (PARTITION BY pair_id ORDER BY place)
