@@ -6,7 +6,8 @@ grade and the next: P(grade > k) is the logistic of weights minus threshold k.
 The expected severity is the sum of those probabilities.
 
 Features are counted and chosen over a bounded sample of labelled documents
-(TRAIN_DOCS, by hash of the id), and the weights are fitted on their chosen
+(TRAIN_DOCS ids, by hash of the id; of several labels of one id the highest
+grade counts, of several texts one), and the weights are fitted on their chosen
 features. Every document is scored, on its whole text.
 
 Defined results: a null text has no features; repeated rows get equal scores;
@@ -79,8 +80,10 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, graded: DataFrame) -> dict:
     """(doc_id, grade) of labelled documents -> weights by feature, thresholds."""
-    sample = graded.filter("doc_id IS NOT NULL AND grade IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).withColumnRenamed("doc_id", "_labelled")
-    picked = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_labelled")).selectExpr("CAST(grade AS INT) AS grade", "CAST(text AS STRING) AS text")
+    known = graded.filter("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("grade").cast("int").alias("_grade"))
+    sample = known.orderBy(F.xxhash64("_labelled"), "_labelled").limit(TRAIN_DOCS)
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_labelled"))
+    picked = texts.groupBy("_labelled").agg(F.max("_grade").alias("grade"), F.min_by("_text", F.xxhash64("_text")).alias("text")).select("grade", "text")
     listed = picked.mapInArrow(_listed, "grade int, features array<string>")
     listed = Scratch(docs.sparkSession, "toxicity").table(listed, "features")
     totals = {r["grade"]: r["n"] for r in listed.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -95,7 +98,7 @@ def train(docs: DataFrame, graded: DataFrame) -> dict:
     if not names:
         return {"weights": {}, "thresholds": []}
     place = {f: i for i, f in enumerate(names)}
-    rows = listed.select("grade", F.array_intersect("features", F.split(F.lit(" ".join(names)), " ")).alias("own")).collect()  # at most TRAIN_DOCS
+    rows = listed.select("grade", F.array_intersect("features", F.split(F.lit(" ".join(names)), " ")).alias("own")).collect()  # at most TRAIN_DOCS, one an id
     n_grades = max(totals) + 1
     weights, thresholds = fit([[place[f] for f in r["own"]] for r in rows], [r["grade"] for r in rows], len(names), n_grades)
     return {"weights": {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-4}, "thresholds": thresholds.tolist()}
