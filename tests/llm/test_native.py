@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -48,6 +49,7 @@ def test_mix_rows(edge, none):
     report = Counter()
     for r in mixing.mix_report(edge).collect():
         report[r["doc_id"]] += r["copies"]
+    assert {r["_times"] for r in mixing.mix(edge.withColumns({"_times": F.lit(77), "_copy": F.lit("c"), "_plan": F.lit(1), "whole": F.lit(2)})).collect()} == {77}
     mixed = mixing.mix(edge)
     assert mixed.columns == edge.columns
     assert Counter(r["doc_id"] for r in mixed.collect()) == +report
@@ -82,9 +84,29 @@ def test_hot_text_is_split_and_small_groups_are_not(spark):
     assert all(len(s) == 1 for s in shards.values())
 
 
+def test_equal_rows_are_cut(spark):
+    """3000 rows equal in id and text fill all shards, and their slots are dealt in parts."""
+    rows = [(1, "same text")] * 3000 + [(i, f"own {i}") for i in range(48)]
+    cell, sharding.ROWS_PER_CELL = sharding.ROWS_PER_CELL, 100
+    try:
+        got = sharding.shard_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    finally:
+        sharding.ROWS_PER_CELL = cell
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == len(rows) and len(sizes) == 16 and max(sizes.values()) / min(sizes.values()) < 1.3
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_written_shards(spark, edge, tmp_path):
-    sharding.write_shards(edge, str(tmp_path / "out"), 4)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == edge.count()
+    sharding.write_shards(edge.withColumn("k1", F.lit("own")), str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*edge.columns, "k1", "shard_of_input"}
+    kept = edge.columns[:-2] + ["mark"]
+    assert Counter(map(tuple, back.select(*kept).collect())) == Counter(map(tuple, edge.select(*kept).collect()))
+    assert {r[0] for r in back.select("shard").distinct().collect()} <= set(range(4))
 
 
 def test_quality_counts(edge, none, labels):
@@ -131,6 +153,54 @@ def test_quality_scores(spark, edge, labels):
             assert abs(table[cell] - log((mine[cell] + quality.PRIOR * p) / (sum(mine.values()) + quality.PRIOR) / p)) < 1e-9
 
 
+def test_quality_verdicts(edge, labels):
+    """Score and verdict of every document, and the threshold, in plain Python on the same cells."""
+    from math import log
+
+    from voicelake.llm.text import words
+
+    h = quality.features(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
+    rows = [(r[0], r[1] or "", r[2]) for r in edge.select("doc_id", "text", h).collect()]
+    trusted = {r["doc_id"] for r in labels.filter("quality = 1 AND doc_id IS NOT NULL").collect()}
+    kind = lambda c: c // quality.BUCKETS
+    raw, mine, totals, own_totals = Counter(), Counter(), Counter(), Counter()
+    for i, _, cells in rows:
+        for c in cells:
+            raw[c] += 1
+            totals[kind(c)] += 1
+            if i in trusted:
+                mine[c] += 1
+                own_totals[kind(c)] += 1
+    prior = {k: max(quality.PRIOR, quality.PRIOR_SHARE * own_totals[k]) for k in (0, 1)}
+
+    def score(cells, without=False):
+        less, sums = (Counter(cells), Counter(map(kind, cells))) if without else (Counter(), Counter())
+        parts = []
+        for c in cells:
+            k, p = kind(c), raw[c] / totals[kind(c)]
+            parts.append(log((mine[c] - less[c] + prior[k] * p) / (own_totals[k] - sums[k] + prior[k]) / p))
+        return sum(parts) / len(parts) if parts else 0.0
+
+    left_out = [score(c, True) for i, _, c in rows if i in trusted and c]
+    threshold = min(quality.THRESHOLD, float(np.quantile(left_out, quality.FALSE_REJECT)))
+    want = defaultdict(list)
+    for i, text, cells in rows:
+        w = WORD.findall(text)
+        windows = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        seen = Counter(windows)
+        repeat = len({k + d for k, x in enumerate(windows) if seen[x] > 1 for d in range(5)})
+        s = score(cells)
+        want[i].append((s, not (len(w) < 10 or 100 * repeat > 20 * len(w)) and s >= threshold))
+    got = defaultdict(list)
+    for r in quality.quality_report(edge, labels).collect():
+        got[r["doc_id"]].append((r["score"], r["kept"]))
+    assert set(got) == set(want)
+    for i in want:
+        for (a, keep), (b, kept) in zip(sorted(want[i]), sorted(got[i]), strict=True):
+            assert abs(a - b) < 1e-4 and (keep == kept or abs(a - threshold) < 1e-4)
+    assert len({k for g in got.values() for _, k in g}) == 2
+
+
 def test_junk_is_rejected(spark):
     import random
 

@@ -230,6 +230,29 @@ def test_toxicity(spark, none, labels):
     assert toxicity.toxicity_report(none.select("doc_id", "text"), labels).count() == 0
 
 
+def test_severity_of_every_row(spark, edge):
+    """Expected severity recomputed in plain Python from the fitted model; repeated ids and clashing columns neither fail nor multiply the sample."""
+    import regex
+
+    rng = random.Random(9)
+    bad = ["vilest", "scummy", "rottenest"]
+    rows = [(i, " ".join(rng.choice("one two three four five six".split()) for _ in range(20)) + f" {rng.choice(bad)}" * (i % 3)) for i in range(300)]
+    rows += [(5, rows[5][1])] * 5000 + [(None, None), (400, "")]
+    docs = spark.createDataFrame([(*r, 1, "f", 2.0) for r in rows], "doc_id long, text string, grade int, features string, expected_severity double")
+    graded = spark.createDataFrame([(i, i % 3) for i in range(300)] + [(7, 0), (None, 2), (8, None)], "doc_id long, grade int")
+    model = toxicity.train(docs, graded)
+    assert model == toxicity.train(docs.dropDuplicates(["doc_id"]), graded)
+    weights, theta = model["weights"], np.array(model["thresholds"])
+    want = Counter()
+    for i, text in rows:
+        own = {f for w in set(regex.findall(r"\w+", (text or "").lower())) for f in toxicity.word_features(w) if f in weights}
+        above = 1 / (1 + np.exp(theta - sum(weights[f] for f in sorted(own))))
+        want[i, round(float(above.sum()), 9), int((above >= 0.5).sum())] += 1
+    got = toxicity.score(docs, model).collect()
+    assert Counter((r["doc_id"], round(r["expected_severity"], 9), r["grade"]) for r in got) == want
+    assert {r["grade"] for r in got} == {0, 1, 2}
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/?x", '<title>T &amp; U</title><script>x<p></script><p>Hi <b>there</b>&lt;</p><!-- c --><a href="/l">L</a>'), (2, None, None)], "page_id long, url string, html string")
     rows = {(r["page_id"], r["kind"]): r for r in warc.derivatives(warc.responses(pages)).collect()}

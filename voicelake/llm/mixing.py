@@ -9,9 +9,8 @@ and a larger budget always takes a superset (nested thresholds).
 
 Defined results: null text counts 0 words; a null source is a source of its
 own, last in order; rows that are equal in id and text share a hash and are
-taken or left together; an empty table gives an empty mix; further columns of
-the input pass through, and those that carry a name of this operator's output
-are replaced by it.
+taken or left together; an empty table gives an empty mix; the mix has the
+columns of the input, whatever their names; the report has its own alone.
 """
 
 from __future__ import annotations
@@ -123,11 +122,12 @@ def mix(docs: DataFrame, weights: list[int] = (1, 2, 3), share: float = 1.0, max
     scratch = Scratch(docs.sparkSession, "mixing")
     plan = thresholds(measure(docs, scratch), scratch, list(weights), share, max_repeats)
     plan = plan.select(F.col("source").alias("_plan_source"), F.struct("whole", "cut").alias("_plan"))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"))  # so that no column of the input meets one of the plan's
     small = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = docs.join(F.broadcast(plan) if small else plan, docs["source"].eqNullSafe(plan["_plan_source"]))
-    times = F.col("_plan.whole") + (row_hash(docs["doc_id"], docs["text"]) <= F.col("_plan.cut")).cast("long")
-    repeated = joined.withColumn("_times", times).filter(F.col("_times") > 0)
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    joined = packed.join(F.broadcast(plan) if small else plan, F.col("_row.source").eqNullSafe(F.col("_plan_source")))
+    times = F.col("_plan.whole") + (row_hash(F.col("_row.doc_id"), F.col("_row.text")) <= F.col("_plan.cut")).cast("long")
+    repeated = joined.select("_row", times.alias("_times")).filter(F.col("_times") > 0)
+    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select("_row.*")
 
 
 def op1_mix(spark, sf_dir):
