@@ -131,7 +131,7 @@ def test_near_duplicate_family(spark):
         for k in rng.sample(range(120), rng.choice([2, 5, 8, 11, 14])):
             words[k] = f"x{rng.randint(0, 10**6)}"
         rows.append((i, " ".join(words)))
-    size, neardup.BLOCK = neardup.BLOCK, 60
+    size, neardup.BLOCK = neardup.BLOCK, (6000, 6000)
     try:
         got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     finally:
