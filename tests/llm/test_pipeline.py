@@ -20,7 +20,7 @@ def test_stages(spark, tmp_path):
     assert all(out.columns == columns for _, out in kept[:-1])
     ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
     assert ids(kept[0][1]) == ids(quality.quality_report(kept[0][0], labels).filter("kept"))
-    assert ids(kept[1][1]) == ids(neardup.near_duplicates(kept[1][0]).filter("kept"))
+    assert ids(kept[1][1]) == ids(neardup.near_duplicates(kept[1][0], width=corpus_pipeline.SHINGLE_WORDS).filter("kept"))
     left = {r["doc_id"]: r["n_bytes"] - r["n_removed"] for r in suffixdedup.repeat_report(kept[2][0]).collect()}
     assert {r["doc_id"]: len(r["text"].encode()) for r in kept[2][1].collect()} == {i: n for i, n in left.items() if n}
     assert len(ids(kept[3][1])) == sum(r["copies"] for r in mixing.mix_report(kept[3][0]).collect())

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voicelake.llm import bpe, chat, components, neardup, suffixdedup, toxicity, warc
 from voicelake.llm.scratch import Scratch
@@ -69,6 +70,9 @@ def test_repeats(edge, none):
     rows = edge.collect()
     want = Counter((r["doc_id"], *x) for r, x in zip(rows, repeats([(r["text"] or "").encode() for r in rows]), strict=True))
     assert Counter(map(tuple, suffixdedup.repeat_report(edge).collect())) == want
+    named = edge.withColumns({"cut_text": F.lit("own"), "uid": F.lit(1), "_cut_id": F.lit("x")})
+    cut = suffixdedup.cut_repeats(named)
+    assert cut.columns == named.columns and {(r["cut_text"], r["uid"], r["_cut_id"]) for r in cut.collect()} == {("own", 1, "x")}
     cut = suffixdedup.cut_repeats(edge)
     assert cut.columns == edge.columns and cut.count() <= len(rows)
     assert suffixdedup.repeat_report(none).count() == 0

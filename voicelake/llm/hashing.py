@@ -2,7 +2,8 @@
 
 A range of bytes is hashed as a polynomial over random 64-bit byte values,
 modulo 2**64; with sums over prefixes any range costs two look-ups. A final
-mix spreads the bits.
+mix spreads the bits. Two such hashes of other values and bases (``salt`` 0
+and 1) make a name of 128 bits.
 """
 
 from __future__ import annotations
@@ -10,23 +11,23 @@ from __future__ import annotations
 import numpy as np
 
 _RNG = np.random.RandomState(20240229)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-BYTE_VALUE = _RNG.randint(0, 1 << 32, 256, dtype=np.uint64) << np.uint64(32) | _RNG.randint(0, 1 << 32, 256, dtype=np.uint64)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BYTE_VALUES = [_RNG.randint(0, 1 << 32, 256, dtype=np.uint64) << np.uint64(32) | _RNG.randint(0, 1 << 32, 256, dtype=np.uint64) for _ in _BASES]
 IS_BLANK = np.zeros(256, dtype=bool)
 IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that are hashed at once where a text can be cut at blanks.
 BLOCK = 1 << 20
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def _power(which: str, n: int) -> np.ndarray:
-    known = _powers[which]
+def _power(salt: int, up: bool, n: int) -> np.ndarray:
+    """Powers of a base, or of its inverse."""
+    known = _powers.get((salt, up), np.ones(1, np.uint64))
     if len(known) < n:
-        factors = np.full(max(n, 2 * len(known), 1 << 12), _BASE if which == "up" else _INVERSE, np.uint64)
+        factors = np.full(max(n, 2 * len(known), 1 << 12), _BASES[salt] if up else pow(_BASES[salt], -1, 1 << 64), np.uint64)
         factors[0] = 1
-        known = _powers[which] = np.multiply.accumulate(factors)
+        known = _powers[salt, up] = np.multiply.accumulate(factors)
     return known[:n]
 
 
@@ -40,11 +41,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Ranges:
     """Hashes of ranges [start, end) of one byte string."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, salt: int = 0):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[data] * _power("up", n), out=self.sums[1:])
-        self.down = _power("down", n + 1)
+        np.cumsum(BYTE_VALUES[salt][data] * _power(salt, True, n), out=self.sums[1:])
+        self.down = _power(salt, False, n + 1)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
