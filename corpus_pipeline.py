@@ -45,6 +45,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
-    for place, (name, stage) in enumerate(STAGES):
-        docs = scratch.table(stage(spark, docs, sf_dir), f"{place}-{name.replace(' ', '-')}")
+    names = [f"{place}-{name.replace(' ', '-')}" for place, (name, _) in enumerate(STAGES)]
+    for name, (_, stage) in zip(names, STAGES, strict=True):
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    scratch.drop_all(keep=names[-1])
     return docs
