@@ -1,6 +1,8 @@
 """Transcript expressions."""
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,11 +53,45 @@ def voice_family(tag: Column, fallback: str = "a") -> Column:
     return F.when(low == "en-gb", "b").when(low.startswith("en"), "a").when(low.startswith("pt"), "p").otherwise(fallback)
 
 
-def lexical_translate(text: Column, phrases: dict[str, str], words: dict[str, str]) -> Column:
-    """Ordered phrase replacement on word bounds, then a word map; lower-cased, first letter upper; blank gives ''."""
-    out = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    for source, target in phrases.items():
-        out = F.regexp_replace(out, rf"(?U)\b{source}\b", target)
-    for source, target in words.items():
-        out = F.regexp_replace(out, rf"(?U)\b{source}\b", target)
-    return F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 30))
+#: Fixed value: what counts as a letter of a word in translation.
+WORD_LETTERS = r"[A-Za-zÀ-ÿ']"
+
+
+def _swapped(text: Column, words: dict[str, str]) -> Column:
+    """Each word looked up once, in lower case; an upper first letter stays upper."""
+    if not words:
+        return text
+    known = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    upper = lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 1 << 30)))
+
+    def swap(token: Column) -> Column:
+        found, first = F.try_element_at(known, F.lower(token)), F.substring(token, 1, 1)
+        return F.coalesce(F.when((F.upper(first) == first) & (F.lower(first) != first), upper(found)).otherwise(found), token)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"{WORD_LETTERS}+|[^{WORD_LETTERS[1:]}+"), F.lit(0)), swap), "")
+
+
+def lexical_translate(text: Column, source: Column, target: Column, phrases: dict[str, str], words: dict[str, str], inverse: dict[str, str]) -> Column:
+    """en to pt: lower case, phrases in order on word bounds, then words, first letter upper; pt to en: words of ``inverse`` alone.
+
+    Other pairs are trimmed; blank and null texts give ''.
+    """
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    out = F.lower(trimmed)
+    for known, said in phrases.items():
+        out = F.regexp_replace(out, rf"(?U)\b{re.escape(known)}\b", said.replace("\\", "\\\\").replace("$", "\\$"))
+    out = _swapped(out, words)
+    tag = lambda c: F.lower(F.trim(c))
+    forward, back = tag(source).startswith("en") & tag(target).startswith("pt"), tag(source).startswith("pt") & tag(target).startswith("en")
+    return F.when(forward, F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 30))).when(back, _swapped(trimmed, inverse)).otherwise(trimmed)
+
+
+def explode_words(df: DataFrame, keys: list[str], words: Column) -> DataFrame:
+    """keys, word_idx, word of an array of words; a null array gives no rows."""
+    return df.select(*keys, F.posexplode(words).alias("word_idx", "word"))
+
+
+def join_segments(df: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """The trimmed segments of a key in order, joined by blanks; all of one key's segments are one row."""
+    ordered = F.array_sort(F.collect_list(F.struct(order, F.trim(text).alias("text"))))
+    return df.groupBy(*keys).agg(F.trim(F.array_join(F.transform(ordered, lambda t: t["text"]), " ")).alias("text"))

@@ -29,12 +29,45 @@ def word_error_rate(pairs: DataFrame, reference: str, hypothesis: str, by: list[
     return pairs.groupBy(*by).agg(F.sum(word_edits(F.col(reference), F.col(hypothesis))).alias("edits"), F.sum(words).alias("words")).withColumn("wer", F.round(F.col("edits") / F.col("words"), 6))
 
 
-def clipped_precision(pairs: DataFrame, keys: list[str], by: str, reference: str, hypothesis: str) -> DataFrame:
-    """Share of hypothesis words found in the reference, each at most as often as it occurs there."""
-    counted = lambda c, *more: pairs.select(*keys, *more, F.explode(F.split(F.col(c), " ")).alias("g")).groupBy(*keys, *more, "g").agg(F.count(F.lit(1)).alias("n"))
-    both = counted(hypothesis, by).join(counted(reference).withColumnRenamed("n", "m"), [*keys, "g"], "left")
-    matched = F.sum(F.least("n", F.coalesce("m", F.lit(0))))
-    return both.groupBy(by).agg(F.sum("n").alias("hyp"), matched.alias("matched"), F.round(matched / F.sum("n"), 6).alias("precision"))
+#: Longest n-grams: words in BLEU, characters in chrF; chrF weighs recall BETA times as much as precision.
+BLEU_N, CHRF_N, BETA = 4, 6, 2.0
+
+
+def _grams(text: str, unit: str, longest: int) -> Column:
+    """(n, gram) of all n-grams up to a length; characters are taken without blanks."""
+    parts = F.split(text, " ") if unit == "word" else F.regexp_extract_all(F.replace(F.col(text), F.lit(" "), F.lit("")), F.lit("(?s)."), F.lit(0))
+    parts = F.filter(parts, lambda x: x != "")
+    of = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(w, i, n), " ").alias("gram")))
+    none = F.array().cast("array<struct<n:int,gram:string>>")
+    every = lambda w: F.flatten(F.array(*[F.when(F.size(w) >= n, of(w, n)).otherwise(none) for n in range(1, longest + 1)]))
+    # as a lambda's argument the parts are made once a text, not once a gram
+    return F.flatten(F.transform(F.array(parts), every))
+
+
+def _matches(pairs: DataFrame, keys: list[str], by: str, reference: str, hypothesis: str, unit: str, longest: int) -> DataFrame:
+    """by, n -> n-grams of the hypotheses, of the references, and shared ones, each at most as often as in the reference."""
+    side = lambda text, h: pairs.select(*keys, by, F.inline(_grams(text, unit, longest)), F.lit(h).alias("h"))
+    counted = side(hypothesis, 1).unionByName(side(reference, 0)).groupBy(*keys, by, "n", "gram").agg(F.sum("h").alias("h"), F.sum(1 - F.col("h")).alias("r"))
+    return counted.groupBy(by, "n").agg(F.sum("h").alias("h"), F.sum("r").alias("r"), F.sum(F.least("h", "r")).alias("m"))
+
+
+def translation_quality(pairs: DataFrame, keys: list[str], by: str, reference: str, hypothesis: str) -> DataFrame:
+    """Corpus BLEU (clipped n-grams up to BLEU_N, brevity penalty) and chrF (character n-grams up to CHRF_N) of each group.
+
+    A group without any n-gram of some length has BLEU 0; lengths that neither side has do not count in chrF.
+    """
+    words = _matches(pairs, keys, by, reference, hypothesis, "word", BLEU_N)
+    first = lambda c: F.max(F.when(F.col("n") == 1, F.col(c)))
+    bleu = words.groupBy(by).agg(
+        first("h").alias("hyp_words"), first("r").alias("ref_words"), F.exp(F.sum(F.log(F.try_divide("m", "h"))) / BLEU_N).alias("precision"), F.count_if(F.col("m") > 0).alias("found")
+    )
+    penalty = F.least(F.lit(1.0), F.exp(1 - F.try_divide("ref_words", "hyp_words")))
+    bleu = bleu.select(by, "hyp_words", "ref_words", F.when(F.col("found") == BLEU_N, F.col("precision") * penalty).otherwise(0.0).alias("bleu"))
+    letters = _matches(pairs, keys, by, reference, hypothesis, "character", CHRF_N)
+    share = lambda c: F.avg(F.coalesce(F.try_divide("m", c), F.lit(0.0)))
+    chrf = letters.groupBy(by).agg(share("h").alias("p"), share("r").alias("q"))
+    chrf = chrf.select(by, F.coalesce(F.try_divide((1 + BETA**2) * F.col("p") * F.col("q"), BETA**2 * F.col("p") + F.col("q")), F.lit(0.0)).alias("chrf"))
+    return bleu.join(chrf, by, "left")
 
 
 def privacy_projection(df: DataFrame, sensitive: set[str], include: bool = False) -> DataFrame:
