@@ -5,24 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voicelake.operators.telemetry import nearest_rank
+from voicelake.operators.telemetry import join_groups, medians, ranked_value
 
 
 def bench_summary(records: DataFrame, key: list[str], rtf: str, seconds: str, rss: str, load: str) -> DataFrame:
     """records, median and p95 of both measures, largest memory and load, a key joined by '/'."""
     named = records.withColumn("key", F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]))
-    whole = named.groupBy("key").agg(
-        F.count(F.lit(1)).alias("records"), F.median(rtf).alias("median_rtf"), F.median(seconds).alias("median_seconds"),
-        F.max(F.coalesce(F.col(rss), F.lit(0))).alias("max_rss"), F.max(F.coalesce(F.col(load), F.lit(0.0))).alias("max_load"),
-    )
-    ranks = nearest_rank(named, rtf, 0.95, ["key"]).withColumnRenamed("value", "p95_rtf").join(nearest_rank(named, seconds, 0.95, ["key"]).withColumnRenamed("value", "p95_seconds"), "key", "left")
-    return whole.join(ranks, "key", "left")
+    found = named.groupBy("key").agg(F.count(F.lit(1)).alias("records"), F.max(F.coalesce(F.col(rss), F.lit(0))).alias("max_rss"), F.max(F.coalesce(F.col(load), F.lit(0.0))).alias("max_load"))
+    middle = {"_low": (0.5, F.floor((F.col("n") - 1) / 2)), "_high": (0.5, F.floor(F.col("n") / 2)), "_p95": (0.95, F.bround((F.col("n") - 1) * F.lit(0.95)))}
+    for column, name in ((rtf, "rtf"), (seconds, "seconds")):
+        ranks = ranked_value(named, ["key"], column, middle)
+        found = found.join(ranks.select("key", ((F.col("_low") + F.col("_high")) / 2).alias(f"median_{name}"), F.col("_p95").alias(f"p95_{name}")), "key", "left")
+    return found
 
 
 def warm_vs_cold(records: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """A group's first row is cold; the median of the others is warm."""
     placed = records.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return placed.groupBy(*by).agg(F.max(F.when(F.col("_k") == 1, F.col(value))).alias("cold"), F.median(F.when(F.col("_k") > 1, F.col(value))).alias("warm_median"))
+    cold = placed.filter("_k = 1").select(*by, F.col(value).alias("cold"))
+    return join_groups(cold, medians(placed.filter("_k > 1"), by, value, "warm_median"), by, "left")
+
+
+def bench_pivot(records: DataFrame, by: str, column: str, names: list[str], value: str) -> DataFrame:
+    """The median of each name of a column as a column of its own."""
+    found = medians(records.filter(F.col(column).isin(*names)), [by, column], value)
+    return join_groups(records.select(by).distinct(), found.groupBy(by).pivot(column, names).agg(F.first("median")), [by], "left")
 
 
 def compare_runs(records: DataFrame, keys: list[str], run: str, a, b, value: str) -> DataFrame:

@@ -5,30 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voicelake.workspace import fresh
 
-def ranked_value(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """by, n and the value at each 0-based rank; ranks are expressions of ``n``.
 
-    Ranks are found on (group, value) counts, which are combined before the exchange, so a large group of few
-    values stays small.
+#: Accuracy of the quantile sketch that brackets a rank, and values of a group up to which no bracket is needed.
+ACCURACY, WHOLE = 10_000, 100_000
+
+
+def ranked_value(df: DataFrame, by: list[str], value: str, ranks: dict[str, tuple[float, Column]]) -> DataFrame:
+    """by, n and the exact value at each 0-based rank, given as its share of the group and as an expression of ``n``.
+
+    A first pass keeps a mergeable quantile sketch a group, whose error bounds between which values a rank lies. The
+    second sorts the values inside those bounds alone, a few thousandths of a large group, and counts those below.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    order, group = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
-    placed = counts.withColumn("_upto", F.sum("_c").over(order)).withColumn("n", F.sum("_c").over(group))
-    picks = [F.min(F.when(F.col("_upto") > rank, F.col(value))).alias(name) for name, rank in ranks.items()]
-    return placed.groupBy(*by).agg(F.max("n").alias("n"), *picks)
+    values, margin = df.filter(F.col(value).isNotNull()), 3 / ACCURACY
+    marks = [F.lit(min(1.0, max(0.0, q + side * margin))) for q, _ in ranks.values() for side in (-1, 1)]
+    sketched = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, F.array(*marks), ACCURACY).alias("_marks"))
+    large = F.col("n") > WHOLE
+    asked = [
+        F.struct(F.lit(name).alias("name"), F.when(large & F.lit(q > margin), F.col("_marks")[2 * k]).alias("low"), F.when(large & F.lit(q < 1 - margin), F.col("_marks")[2 * k + 1]).alias("high"), rank.cast("long").alias("rank"))
+        for k, (name, (q, rank)) in enumerate(ranks.items())
+    ]
+    bounds = sketched.select(*[F.col(c).alias(f"_by_{c}") for c in by], "n", F.array(*asked).alias("_asked"))
+    place = fresh(df.sparkSession, "ranks")
+    bounds.write.parquet(place)  # written, so that its true size decides how it is joined
+    bounds = df.sparkSession.read.schema(bounds.schema).parquet(place)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    rows = values.select(*by, value).join(bounds, same).select(*by, "n", F.col(value).alias("_v"), F.inline("_asked"))
+    rows = rows.filter(F.col("high").isNull() | (F.col("_v") <= F.col("high")))
+    inside = F.when(F.col("low").isNull() | (F.col("_v") >= F.col("low")), F.col("_v"))  # null: below
+    counts = rows.groupBy(*by, "n", "name", "rank", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "name").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    found = counts.withColumn("_upto", upto).filter(F.col("_v").isNotNull() & (F.col("_upto") > F.col("rank")))
+    return found.groupBy(*by, "n").agg(*[F.min(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
+
+
+def medians(df: DataFrame, by: list[str], value: str, out: str = "median") -> DataFrame:
+    """by and the exact median, the mean of both middle values where their number is even."""
+    middle = {"_low": (0.5, F.floor((F.col("n") - 1) / 2)), "_high": (0.5, F.floor(F.col("n") / 2))}
+    return ranked_value(df, by, value, middle).select(*by, ((F.col("_low") + F.col("_high")) / 2).alias(out))
 
 
 def latency_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """count, min, max, floored mean, p95 and p99 at rank floor(n q), at most n - 1."""
-    at = lambda q: F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1)
+    """count, min, max, floored mean, p95 and p99 at rank floor(n q), at most n - 1; groups without a value are left out."""
+    at = lambda q: (q, F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1))
     whole = df.groupBy(*by).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.floor(F.avg(value)).alias("avg"))
-    return whole.join(ranked_value(df, by, value, {"p95": at(0.95), "p99": at(0.99)}).withColumnRenamed("n", "count"), by)
+    ranks = ranked_value(df, by, value, {"p95": at(0.95), "p99": at(0.99)}).withColumnRenamed("n", "count")
+    return join_groups(whole, ranks, by)
+
+
+def join_groups(one: DataFrame, two: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Two tables of one row a group, null keys being a group."""
+    two = two.select(*[F.col(c).alias(f"_by_{c}") if c in by else F.col(c) for c in two.columns])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return one.join(two, same, how).drop(*[f"_by_{c}" for c in by])
 
 
 def nearest_rank(df: DataFrame, value: str, q: float, by: list[str]) -> DataFrame:
     """The value at rank (n - 1) q, half to even."""
-    return ranked_value(df, by, value, {"value": F.bround((F.col("n") - 1) * F.lit(q))}).drop("n")
+    return ranked_value(df, by, value, {"value": (q, F.bround((F.col("n") - 1) * F.lit(q)))}).drop("n")
 
 
 def last_n(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
@@ -36,14 +75,73 @@ def last_n(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(latest)).filter(F.col("_k") <= n).drop("_k")
 
 
-def audio_counters(transfers: DataFrame, by: list[str]) -> DataFrame:
-    """requested, moved -> received, emitted, dropped, underruns (nothing moved), overruns (moved less than asked)."""
+def audio_counters(transfers: DataFrame, by: list[str], channels: int = 1) -> DataFrame:
+    """requested, moved samples -> received, emitted, frames dropped (by transfer, whole frames), underruns (nothing moved), overruns (drop events)."""
+    lost = F.floor((F.col("requested") - F.col("moved")) / channels)
+    return transfers.groupBy(*by).agg(
+        F.sum("requested").alias("received"), F.sum("moved").alias("emitted"), F.sum(lost).alias("dropped"), F.count_if(F.col("moved") == 0).alias("underruns"), F.count_if(lost > 0).alias("overruns")
+    )
+
+
+def playout_drops(transfers: DataFrame, by: list[str], room: int) -> DataFrame:
+    """requested, moved -> written at once (up to ``room``), retried, dropped."""
     return transfers.groupBy(*by).agg(
-        F.sum("requested").alias("received"), F.sum("moved").alias("emitted"), F.sum(F.col("requested") - F.col("moved")).alias("dropped"),
-        F.count_if(F.col("moved") == 0).alias("underruns"), F.count_if(F.col("moved") < F.col("requested")).alias("overruns"),
+        F.sum(F.least("moved", F.lit(room))).alias("written"), F.sum(F.greatest(F.col("moved") - room, F.lit(0))).alias("retried"), F.sum(F.col("requested") - F.col("moved")).alias("dropped")
+    )
+
+
+def rtf(records: DataFrame, by: list[str], seconds: Column, duration: Column) -> DataFrame:
+    """Session real-time factor: seconds over duration, 3 digits, 0 without input."""
+    return records.groupBy(*by).agg(F.round(F.coalesce(F.try_divide(F.sum(seconds), F.nullif(F.sum(duration), F.lit(0))), F.lit(0.0)), 3).alias("session_rtf"))
+
+
+def engine_metrics(log: DataFrame, by: list[str], order: list[str], most: int = 3) -> DataFrame:
+    """kind (request, failed, timeout, crash, ping) and value -> requests, failed, timeouts, restarts up to ``most`` and the last ping's value.
+
+    failed and timeout count as requests as well.
+    """
+    kind = lambda *names: F.count_if(F.col("kind").isin(*names))
+    last = F.max(F.when(F.col("kind") == "ping", F.struct(*order, "value")))["value"]
+    return log.groupBy(*by).agg(
+        kind("request", "failed", "timeout").alias("requests_total"), kind("failed", "timeout").alias("failed"), kind("timeout").alias("timeouts"), F.least(kind("crash"), F.lit(most)).alias("restarts"), last.alias("last_rtt")
+    )
+
+
+#: Stages whose last latency the pipeline reports.
+STAGES = ("stt", "mt", "tts", "first_audio", "total")
+
+
+def pipeline_metrics(utterances: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """outcome (processed, empty, failed), frames_out, frames_lost and the STAGES' ms -> three counts, two sums and the last latencies of processed utterances."""
+    last = F.max(F.when(F.col("outcome") == "processed", F.struct(*order, *[f"{s}_ms" for s in STAGES])))
+    return utterances.groupBy(*by).agg(
+        *[F.count_if(F.col("outcome") == o).alias(o) for o in ("processed", "empty", "failed")], F.sum("frames_out").alias("frames_emitted"), F.sum("frames_lost").alias("frames_dropped"),
+        *[last[f"{s}_ms"].alias(f"last_{s}_ms") for s in STAGES],
+    )
+
+
+def session_summary(utterances: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Utterances (outcome, audio_ms, clauses, stage ms) of a session -> counts, sums, means, time to first audio and real-time factor.
+
+    First audio is that of the first processed utterance, or its session's total where that is 0 or none.
+    """
+    done = F.col("outcome") == "processed"
+    total = F.sum("total_ms")
+    first = F.min_by("first_audio_ms", F.when(done, F.col(order)))
+    return utterances.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("detected"), F.count_if(done).alias("translated"), F.count_if(F.col("outcome") == "empty").alias("empty"), F.count_if(F.col("outcome") == "failed").alias("failed"),
+        F.sum(F.when(done, F.col("clauses")).otherwise(0)).alias("clauses"), F.sum("audio_ms").alias("audio_ms"), *[F.sum(f"{s}_ms").alias(f"{s}_ms") for s in ("stt", "mt", "tts")], total.alias("total_ms"),
+        F.max("total_ms").alias("longest_ms"), F.floor(F.avg("total_ms")).alias("mean_ms"), F.coalesce(F.nullif(first, F.lit(0)), total).alias("first_audio_ms"),
+        F.round(F.coalesce(F.try_divide(total, F.nullif(F.sum("audio_ms"), F.lit(0))), F.lit(0.0)), 3).alias("session_rtf"), F.min(order).alias("first_utterance"), F.max(order).alias("last_utterance"),
     )
 
 
+def process_tree_usage(samples: DataFrame, by: list[str], tick: str, rss: str, cpu: str) -> DataFrame:
+    """Samples of processes, summed a tick -> peak memory, mean and peak CPU, ticks. A null sample counts 0."""
+    ticks = samples.groupBy(*by, tick).agg(*[F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(f"_{n}") for n, c in (("rss", rss), ("cpu", cpu))])
+    return ticks.groupBy(*by).agg(F.max("_rss").alias("peak_rss"), F.avg("_cpu").alias("cpu_avg"), F.max("_cpu").alias("cpu_peak"), F.count(F.lit(1)).alias("ticks"))
+
+
 def occupancy(events: DataFrame, by: list[str], order: list[str], delta: Column, capacity: int, rate: int) -> DataFrame:
     level = F.sum(delta).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     fill = F.col("current") / capacity if capacity else F.lit(0.0)
@@ -61,17 +159,22 @@ def backpressure_episodes(levels: DataFrame, by: list[str], order: list[str], le
     return spells.filter("_on = 1").groupBy(*by, "episode").agg(F.min(order[-1]).alias("first"), F.max(order[-1]).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-def in_flight(spans: DataFrame, by: list[str], start: str, end: str, limit: int) -> DataFrame:
-    """Open spans at each start (ends come first at equal times) and whether the limit would reject it."""
-    begin = spans.select(*by, F.col(start).alias("at"), F.lit(1).alias("d"))
-    both = begin.unionByName(spans.select(*by, F.col(end).alias("at"), F.lit(-1).alias("d"))).groupBy(*by, "at", "d").agg(F.count(F.lit(1)).alias("n"))
-    level = F.sum(F.col("d") * F.col("n")).over(Window.partitionBy(*by).orderBy("at", "d"))
-    return both.withColumn("concurrency", level).filter("d = 1").select(*by, "at", "n", "concurrency", (F.col("concurrency") > limit).alias("would_reject"))
+def in_flight(spans: DataFrame, by: list[str], key: str, start: str, end: str, limit: int) -> DataFrame:
+    """Each request with the number open when it is sent (itself included; ends come first at equal times, starts go by key) and whether the limit would reject it.
+
+    A span without an end stays open.
+    """
+    begin = spans.select(*by, F.col(key), F.col(start).alias("at"), F.lit(1).alias("d"))
+    both = begin.unionByName(spans.filter(F.col(end).isNotNull()).select(*by, F.col(key), F.col(end).alias("at"), F.lit(-1).alias("d")))
+    level = F.sum("d").over(Window.partitionBy(*by).orderBy("at", "d", key).rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("concurrency", level).filter("d = 1").select(*by, key, "at", "concurrency", (F.col("concurrency") > max(1, limit)).alias("would_reject"))
 
 
-def restart_budget(crashes: DataFrame, by: list[str], order: list[str], most: int = 3) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return crashes.withColumn("n", n.cast("long")).withColumn("restarted", F.col("n") <= most)
+def restart_budget(crashes: DataFrame, by: list[str], order: list[str], most: int = 3, on_timeout: bool = True) -> DataFrame:
+    """Each crash with its number among those that may restart and whether it does; timeouts (column ``timed_out``, if any) only where the policy says so."""
+    may = ~F.col("timed_out") if not on_timeout and "timed_out" in crashes.columns else F.lit(True)
+    n = F.sum(may.cast("long")).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return crashes.withColumn("n", n).withColumn("restarted", may & (F.col("n") <= most))
 
 
 def lifetimes(states: DataFrame, by: list[str], order: list[str], at: str, state: str) -> DataFrame:
@@ -86,3 +189,18 @@ def histogram(df: DataFrame, by: list[str], value: str, bounds: list[float]) ->
 
 def slo(value: Column, target: float, acceptable: float) -> Column:
     return F.when(value < target, "pass").when(value < acceptable, "acceptable").otherwise("fail")
+
+
+#: Measure -> (below which it passes, below which it is acceptable); rates have one target.
+TARGETS = {"drop_rate": (0.001, 0.001), "underruns_per_minute": (1, 1), "overruns_per_minute": (1, 1), "stt_ms": (500, 1000), "mt_ms": (100, 300), "tts_ms": (300, 500), "total_ms": (1000, 2000), "first_audio_ms": (500, 1000)}
+GATE_MS = 3000
+
+
+def slo_report(measures: DataFrame, by: list[str], p95_first_audio: str = "first_audio_ms") -> DataFrame:
+    """Any of the TARGETS' measures a group -> a verdict each, the band of the first audio and the gate of its 95th percentile. Null measures have null verdicts."""
+    ms = F.col("first_audio_ms")
+    band = F.when(ms < 500, "excellent").when(ms <= 1500, "stretch").when(ms <= 3000, "MVP").when(ms.isNotNull(), "poor")
+    verdict = lambda m: F.when(F.col(m).isNotNull(), slo(F.col(m), *TARGETS[m])).alias(m.removesuffix("_ms"))
+    found = [verdict(m) for m in TARGETS if m in measures.columns]
+    first = [band.alias("band"), (F.col(p95_first_audio) <= GATE_MS).alias("passes_gate")] if "first_audio_ms" in measures.columns else []
+    return measures.select(*by, *found, *first)

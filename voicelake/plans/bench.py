@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from voicelake.operators import bench as B
 from voicelake.operators.telemetry import nearest_rank
+from voicelake.operators.telemetry import rtf as rtf_of
 from voicelake.plans.registry import query, table
 
 RANK = "list_sort(list({0}))[round_even((count(*) - 1) * 0.95, 0)::BIGINT + 1]"
@@ -22,10 +23,12 @@ def nearest(spark, sf_dir):
     return nearest_rank(table(spark, sf_dir, "lineitem"), "l_quantity", 0.95, ["l_suppkey"])
 
 
-@query("SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / nullif(sum(l_quantity), 0) AS session_rtf FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, round(coalesce(CAST(sum(CASE WHEN l_linenumber > 1 THEN CAST(l_extendedprice AS DECIMAL(18, 2)) ELSE 0 END) AS DOUBLE) / nullif(sum(CASE WHEN l_linenumber > 1 THEN l_quantity ELSE 0 END), 0), 0), 3) AS session_rtf FROM lineitem GROUP BY l_orderkey")
 def rtf(spark, sf_dir):
-    total = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.try_divide(total, F.sum("l_quantity")).alias("session_rtf"))
+    """Orders of one line have no input."""
+    later = lambda c: F.when(F.col("l_linenumber") > 1, c).otherwise(0)
+    seconds = later(F.col("l_extendedprice").cast("decimal(18,2)"))
+    return rtf_of(table(spark, sf_dir, "lineitem"), ["l_orderkey"], seconds, later(F.col("l_quantity")))
 
 
 @query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) SELECT o_custkey, round(max(o_totalprice) FILTER (k = 1), 4) AS cold, round(median(o_totalprice) FILTER (k > 1), 4) AS warm_median FROM k GROUP BY o_custkey""")
@@ -42,7 +45,7 @@ def compare_runs(spark, sf_dir):
 
 @query("""SELECT o_orderstatus, round(median(o_totalprice) FILTER (o_orderpriority = '1-URGENT'), 4) AS urgent, round(median(o_totalprice) FILTER (o_orderpriority = '5-LOW'), 4) AS low FROM orders GROUP BY o_orderstatus""")
 def bench_pivot(spark, sf_dir):
-    wide = table(spark, sf_dir, "orders").groupBy("o_orderstatus").pivot("o_orderpriority", ["1-URGENT", "5-LOW"]).agg(F.median("o_totalprice"))
+    wide = B.bench_pivot(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority", ["1-URGENT", "5-LOW"], "o_totalprice")
     return wide.select("o_orderstatus", F.round("1-URGENT", 4).alias("urgent"), F.round("5-LOW", 4).alias("low"))
 
 

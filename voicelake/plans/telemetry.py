@@ -14,9 +14,9 @@ def _items(spark, sf_dir):
 ITEMS = "t AS (SELECT *, l_quantity::BIGINT AS requested, CASE WHEN l_linenumber = 7 THEN 0 ELSE least(l_quantity::BIGINT, 40) END AS moved FROM lineitem)"
 
 
-@query(f"WITH {ITEMS} SELECT l_suppkey, sum(requested)::BIGINT AS received, sum(moved)::BIGINT AS emitted, sum(requested - moved)::BIGINT AS dropped, count(CASE WHEN moved = 0 THEN 1 END) AS underruns, count(CASE WHEN moved < requested THEN 1 END) AS overruns FROM t GROUP BY l_suppkey")
+@query(f"WITH {ITEMS} SELECT l_suppkey, sum(requested)::BIGINT AS received, sum(moved)::BIGINT AS emitted, sum((requested - moved) // 2)::BIGINT AS dropped, count(CASE WHEN moved = 0 THEN 1 END) AS underruns, count(CASE WHEN moved + 1 < requested THEN 1 END) AS overruns FROM t GROUP BY l_suppkey")
 def audio_counters(spark, sf_dir):
-    return T.audio_counters(_items(spark, sf_dir), ["l_suppkey"])
+    return T.audio_counters(_items(spark, sf_dir), ["l_suppkey"], channels=2)
 
 
 LATENCY = "count(*) AS count, min(x) AS min, max(x) AS max, floor(avg(x))::BIGINT AS avg, list_sort(list(x))[least(floor(count(*) * 0.95)::BIGINT, count(*) - 1) + 1] AS p95, list_sort(list(x))[least(floor(count(*) * 0.99)::BIGINT, count(*) - 1) + 1] AS p99"
@@ -47,18 +47,22 @@ def backpressure_episodes(spark, sf_dir):
     return T.backpressure_episodes(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 80, 20)
 
 
-@query("""WITH s AS (SELECT l_suppkey, l_shipdate AS lo, l_shipdate + to_days(l_quantity::INT) AS hi FROM lineitem), b AS (SELECT l_suppkey, lo AS moment, 1 AS d FROM s UNION ALL SELECT l_suppkey, hi, -1 FROM s), g AS (SELECT l_suppkey, moment, d, count(*) AS n FROM b GROUP BY ALL),
-c AS (SELECT *, sum(d * n) OVER (PARTITION BY l_suppkey ORDER BY moment, d) AS concurrency FROM g) SELECT l_suppkey, CAST(moment AS DATE)::VARCHAR AS start, n, concurrency::BIGINT AS concurrency, concurrency > 4 AS would_reject FROM c WHERE d = 1""")
+@query("""WITH s AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS request_id, CAST(l_shipdate AS DATE) AS lo, CASE WHEN l_returnflag <> 'R' THEN CAST(l_shipdate AS DATE) + l_quantity::INT END AS hi FROM lineitem),
+b AS (SELECT l_suppkey, request_id, lo AS moment, 1 AS d FROM s UNION ALL SELECT l_suppkey, request_id, hi, -1 FROM s WHERE hi IS NOT NULL),
+c AS (SELECT *, sum(d) OVER (PARTITION BY l_suppkey ORDER BY moment, d, request_id ROWS UNBOUNDED PRECEDING) AS concurrency FROM b) SELECT l_suppkey, request_id, moment::VARCHAR AS start, concurrency::BIGINT AS concurrency, concurrency > 4 AS would_reject FROM c WHERE d = 1""")
 def in_flight(spark, sf_dir):
+    """Shipments stand for requests; returned ones are never answered."""
     start = F.to_date("l_shipdate")
-    spans = table(spark, sf_dir, "lineitem").select("l_suppkey", start.alias("lo"), F.date_add(start, F.col("l_quantity").cast("int")).alias("hi"))
-    return T.in_flight(spans, ["l_suppkey"], "lo", "hi", 4).withColumn("start", F.col("at").cast("string")).drop("at")
+    end = F.when(F.col("l_returnflag") != "R", F.date_add(start, F.col("l_quantity").cast("int")))
+    spans = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("request_id"), start.alias("lo"), end.alias("hi"))
+    return T.in_flight(spans, ["l_suppkey"], "request_id", "lo", "hi", 4).withColumn("start", F.col("at").cast("string")).drop("at")
 
 
-@query("SELECT user_id, event_id, n, n <= 3 AS restarted FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error')")
+@query("""WITH e AS (SELECT *, value > 50 AS timed_out FROM events WHERE event_type = 'error'), r AS (SELECT *, sum(CASE WHEN timed_out THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT user_id, event_id, timed_out, n::BIGINT AS n, NOT timed_out AND n <= 3 AS restarted FROM r""")
 def restart_budget(spark, sf_dir):
-    crashes = table(spark, sf_dir, "events").filter("event_type = 'error'").select("user_id", "ts", "event_id")
-    return T.restart_budget(crashes, ["user_id"], ["ts", "event_id"]).drop("ts")
+    crashes = table(spark, sf_dir, "events").filter("event_type = 'error'").select("user_id", "ts", "event_id", (F.col("value") > 50).alias("timed_out"))
+    return T.restart_budget(crashes, ["user_id"], ["ts", "event_id"], on_timeout=False).drop("ts")
 
 
 @query("""SELECT o_custkey, o_orderkey, date_diff('day', o_orderdate, lead(o_orderdate) OVER w) AS up_days, lag(o_orderstatus) OVER w IS NULL OR lag(o_orderstatus) OVER w = 'F' AS legal_start FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
@@ -70,26 +74,48 @@ def lifetimes(spark, sf_dir):
 
 @query(f"WITH {ITEMS} SELECT l_suppkey, sum(least(moved, 20))::BIGINT AS written, sum(greatest(moved - 20, 0))::BIGINT AS retried, sum(requested - moved)::BIGINT AS dropped FROM t GROUP BY l_suppkey")
 def playout_drops(spark, sf_dir):
-    return _items(spark, sf_dir).groupBy("l_suppkey").agg(F.sum(F.least("moved", F.lit(20))).alias("written"), F.sum(F.greatest(F.col("moved") - 20, F.lit(0))).alias("retried"), F.sum(F.col("requested") - F.col("moved")).alias("dropped"))
+    return T.playout_drops(_items(spark, sf_dir), ["l_suppkey"], 20)
 
 
-@query("SELECT user_id, count(*) AS requests_total, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, count(CASE WHEN event_type = 'error' AND value > 50 THEN 1 END) AS timeouts, least(count(CASE WHEN event_type = 'error' THEN 1 END), 3) AS restarts, arg_max(value, (ts, event_id)) FILTER (event_type = 'view') AS last_rtt FROM events GROUP BY user_id")
+@query("""WITH l AS (SELECT *, CASE event_type WHEN 'view' THEN 'ping' WHEN 'signup' THEN 'crash' WHEN 'error' THEN CASE WHEN value > 50 THEN 'timeout' ELSE 'failed' END ELSE 'request' END AS kind FROM events)
+SELECT user_id, count(*) FILTER (kind IN ('request', 'failed', 'timeout')) AS requests_total, count(*) FILTER (kind IN ('failed', 'timeout')) AS failed, count(*) FILTER (kind = 'timeout') AS timeouts, least(count(*) FILTER (kind = 'crash'), 3) AS restarts, arg_max(value, (ts, event_id)) FILTER (kind = 'ping') AS last_rtt FROM l GROUP BY user_id""")
 def engine_metrics(spark, sf_dir):
-    failed = F.col("event_type") == "error"
-    rtt = F.max(F.when(F.col("event_type") == "view", F.struct("ts", "event_id", "value")))["value"]
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("requests_total"), F.count_if(failed).alias("failed"), F.count_if(failed & (F.col("value") > 50)).alias("timeouts"), F.least(F.count_if(failed), F.lit(3)).alias("restarts"), rtt.alias("last_rtt"))
+    type_ = F.col("event_type")
+    kind = F.when(type_ == "view", "ping").when(type_ == "signup", "crash").when((type_ == "error") & (F.col("value") > 50), "timeout").when(type_ == "error", "failed").otherwise("request")
+    return T.engine_metrics(table(spark, sf_dir, "events").withColumn("kind", kind), ["user_id"], ["ts", "event_id"])
 
 
-@query("SELECT user_id, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS processed, count(CASE WHEN event_type = 'view' THEN 1 END) AS empty, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, round(sum(value) FILTER (event_type = 'purchase'), 4) AS frames, arg_max(value, (ts, event_id)) AS last_latency FROM events GROUP BY user_id")
+#: Events as utterances: their type is the outcome, their value gives the times.
+UTTERANCES = """u AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'empty' ELSE 'processed' END AS outcome, event_id % 4 AS clauses, event_id % 480 AS frames_out, event_id % 3 AS frames_lost, 1000 + event_id % 2000 AS audio_ms,
+floor(value)::BIGINT AS stt_ms, floor(value * 2)::BIGINT AS mt_ms, floor(value * 3)::BIGINT AS tts_ms, CASE WHEN event_id % 5 = 0 THEN 0 ELSE floor(value * 4)::BIGINT END AS first_audio_ms, floor(value * 6)::BIGINT AS total_ms FROM events)"""
+
+
+def _utterances(spark, sf_dir):
+    e, v = F.col("event_id"), F.col("value")
+    outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "empty").otherwise("processed")
+    times = {"stt_ms": F.floor(v), "mt_ms": F.floor(v * 2), "tts_ms": F.floor(v * 3), "first_audio_ms": F.when(e % 5 == 0, F.lit(0).cast("long")).otherwise(F.floor(v * 4)), "total_ms": F.floor(v * 6)}
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", v.alias("value"), outcome.alias("outcome"), (e % 4).alias("clauses"), (e % 480).alias("frames_out"), (e % 3).alias("frames_lost"), (1000 + e % 2000).alias("audio_ms"))
+    return rows.withColumns(times).drop("value")
+
+
+@query(f"""WITH {UTTERANCES} SELECT user_id, count(*) FILTER (outcome = 'processed') AS processed, count(*) FILTER (outcome = 'empty') AS empty, count(*) FILTER (outcome = 'failed') AS failed, sum(frames_out)::BIGINT AS frames_emitted, sum(frames_lost)::BIGINT AS frames_dropped,
+{", ".join(f"arg_max({s}_ms, (ts, event_id)) FILTER (outcome = 'processed') AS last_{s}_ms" for s in T.STAGES)} FROM u GROUP BY user_id""")
 def pipeline_metrics(spark, sf_dir):
-    kind = lambda k: F.col("event_type") == k
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(kind("purchase")).alias("processed"), F.count_if(kind("view")).alias("empty"), F.count_if(kind("error")).alias("failed"), F.round(F.sum(F.when(kind("purchase"), F.col("value"))), 4).alias("frames"), F.max(F.struct("ts", "event_id", "value"))["value"].alias("last_latency"))
+    return T.pipeline_metrics(_utterances(spark, sf_dir), ["user_id"], ["ts", "event_id"])
 
 
-@query("WITH t AS (SELECT user_id, date_trunc('hour', ts) AS tick, sum(value) AS rss FROM events GROUP BY ALL) SELECT user_id, round(max(rss), 4) AS peak_rss, round(avg(rss), 4) AS average, count(*) AS ticks FROM t GROUP BY user_id")
+@query(f"""WITH {UTTERANCES} SELECT user_id, count(*) AS detected, count(*) FILTER (outcome = 'processed') AS translated, count(*) FILTER (outcome = 'empty') AS empty, count(*) FILTER (outcome = 'failed') AS failed, coalesce(sum(clauses) FILTER (outcome = 'processed'), 0)::BIGINT AS clauses,
+sum(audio_ms)::BIGINT AS audio_ms, sum(stt_ms)::BIGINT AS stt_ms, sum(mt_ms)::BIGINT AS mt_ms, sum(tts_ms)::BIGINT AS tts_ms, sum(total_ms)::BIGINT AS total_ms, max(total_ms) AS longest_ms, floor(avg(total_ms))::BIGINT AS mean_ms,
+coalesce(nullif(arg_min(first_audio_ms, event_id) FILTER (outcome = 'processed'), 0), sum(total_ms))::BIGINT AS first_audio_ms, round(sum(total_ms) / sum(audio_ms), 3) AS session_rtf, min(event_id) AS first_utterance, max(event_id) AS last_utterance FROM u GROUP BY user_id""")
+def session_summary(spark, sf_dir):
+    return T.session_summary(_utterances(spark, sf_dir), ["user_id"], "event_id")
+
+
+@query("WITH t AS (SELECT user_id, date_trunc('hour', ts) AS tick, sum(value) AS rss, sum(value % 7) AS cpu FROM events GROUP BY ALL) SELECT user_id, round(max(rss), 4) AS peak_rss, round(avg(cpu), 4) AS cpu_avg, round(max(cpu), 4) AS cpu_peak, count(*) AS ticks FROM t GROUP BY user_id")
 def process_tree_usage(spark, sf_dir):
-    ticks = table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("tick")).agg(F.sum("value").alias("rss"))
-    return ticks.groupBy("user_id").agg(F.round(F.max("rss"), 4).alias("peak_rss"), F.round(F.avg("rss"), 4).alias("average"), F.count(F.lit(1)).alias("ticks"))
+    samples = table(spark, sf_dir, "events").select("user_id", F.date_trunc("hour", "ts").alias("tick"), "value", (F.col("value") % 7).alias("cpu"))
+    used = T.process_tree_usage(samples, ["user_id"], "tick", "value", "cpu")
+    return used.select("user_id", *[F.round(c, 4).alias(c) for c in ("peak_rss", "cpu_avg", "cpu_peak")], "ticks")
 
 
 @query("SELECT event_type, count(CASE WHEN value <= 1 THEN 1 END) AS le_1, count(CASE WHEN value <= 5 THEN 1 END) AS le_5, count(CASE WHEN value <= 10 THEN 1 END) AS le_10, count(*) AS le_inf FROM events GROUP BY event_type")
@@ -97,13 +123,19 @@ def latency_histogram(spark, sf_dir):
     return T.histogram(table(spark, sf_dir, "events"), ["event_type"], "value", [1, 5, 10])
 
 
-@query("""WITH m AS (SELECT user_id, avg(value) * 10 AS ms, count(CASE WHEN event_type = 'error' THEN 1 END) / count(*) AS drop_rate FROM events GROUP BY user_id)
-SELECT user_id, round(ms, 4) AS ms, CASE WHEN ms < 500 THEN 'pass' WHEN ms < 1000 THEN 'acceptable' ELSE 'fail' END AS stt, CASE WHEN drop_rate < 0.2 THEN 'pass' ELSE 'fail' END AS drops, CASE WHEN ms < 500 THEN 'excellent' WHEN ms <= 1500 THEN 'stretch' WHEN ms <= 3000 THEN 'MVP' ELSE 'poor' END AS band FROM m""")
+_VERDICTS = ", ".join(f"CASE WHEN {m} < {a} THEN 'pass' WHEN {m} < {b} THEN 'acceptable' ELSE 'fail' END AS {m.removesuffix('_ms')}" for m, (a, b) in T.TARGETS.items())
+
+
+@query(f"""WITH {UTTERANCES}, m AS (SELECT user_id, sum(frames_lost) / sum(frames_out) AS drop_rate, count(*) FILTER (outcome = 'empty') * 60000 / sum(audio_ms) AS underruns_per_minute, count(*) FILTER (outcome = 'failed') * 60000 / sum(audio_ms) AS overruns_per_minute,
+avg(stt_ms) * 10 AS stt_ms, avg(mt_ms) AS mt_ms, avg(tts_ms) * 2 AS tts_ms, avg(total_ms) * 3 AS total_ms, avg(first_audio_ms) * 3 AS first_audio_ms, max(first_audio_ms) * 8 AS late_ms FROM u GROUP BY user_id)
+SELECT user_id, {_VERDICTS}, CASE WHEN first_audio_ms < 500 THEN 'excellent' WHEN first_audio_ms <= 1500 THEN 'stretch' WHEN first_audio_ms <= 3000 THEN 'MVP' ELSE 'poor' END AS band, late_ms <= 3000 AS passes_gate FROM m""")
 def slo_report(spark, sf_dir):
-    m = table(spark, sf_dir, "events").groupBy("user_id").agg((F.avg("value") * 10).alias("ms"), (F.count_if(F.col("event_type") == "error") / F.count(F.lit(1))).alias("rate"))
-    ms = F.col("ms")
-    band = F.when(ms < 500, "excellent").when(ms <= 1500, "stretch").when(ms <= 3000, "MVP").otherwise("poor")
-    return m.select("user_id", F.round("ms", 4).alias("ms"), T.slo(ms, 500, 1000).alias("stt"), F.when(F.col("rate") < 0.2, "pass").otherwise("fail").alias("drops"), band.alias("band"))
+    a_minute = lambda outcome: F.count_if(F.col("outcome") == outcome) * 60000 / F.sum("audio_ms")
+    m = _utterances(spark, sf_dir).groupBy("user_id").agg(
+        (F.sum("frames_lost") / F.sum("frames_out")).alias("drop_rate"), a_minute("empty").alias("underruns_per_minute"), a_minute("failed").alias("overruns_per_minute"),
+        *[(F.avg(f"{s}_ms") * k).alias(f"{s}_ms") for s, k in (("stt", 10), ("mt", 1), ("tts", 2), ("total", 3), ("first_audio", 3))], (F.max("first_audio_ms") * 8).alias("late_ms"),
+    )
+    return T.slo_report(m, ["user_id"], "late_ms")
 
 
 @query("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS start, count(CASE WHEN event_type = 'error' THEN 1 END) AS underruns, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) < 1 AS meets FROM events GROUP BY 1")

@@ -175,14 +175,6 @@ def reassemble_clauses(spark, sf_dir):
     return parts.groupBy("conv_id", "turn").agg(F.array_join(F.transform(ordered, lambda x: x["clause"]), " ").alias("text"), F.sum(T.estimate_speech_ms(F.col("clause")).cast("long")).alias("tts_ms"))
 
 
-@query("""WITH u AS (SELECT conv_id, turn, least(greatest(octet_length(encode(text)) * 50, 50), 5000) AS ms, role = 'assistant' AS done FROM conversations)
-SELECT conv_id, count(*) AS detected, count(CASE WHEN done THEN 1 END) AS translated, sum(ms)::BIGINT AS total_ms, coalesce(nullif(arg_min(ms, turn) FILTER (done), 0), sum(ms))::BIGINT AS first_audio_ms FROM u GROUP BY conv_id""")
-def session_summary(spark, sf_dir):
-    u = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.estimate_speech_ms(F.col("text")).cast("long").alias("ms"), (F.col("role") == "assistant").alias("done"))
-    first = F.min_by("ms", F.when(F.col("done"), F.col("turn")))
-    return u.groupBy("conv_id").agg(F.count(F.lit(1)).alias("detected"), F.count_if("done").alias("translated"), F.sum("ms").alias("total_ms"), F.coalesce(F.nullif(first, F.lit(0)), F.sum("ms")).alias("first_audio_ms"))
-
-
 @query("SELECT conv_id, arg_max(text, turn) AS text, max(turn) AS turn, CASE WHEN count(*) > 1 THEN 'revised' ELSE 'committed' END AS state FROM conversations GROUP BY conv_id")
 def commit_partials(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("turn"), F.when(F.count(F.lit(1)) > 1, "revised").otherwise("committed").alias("state"))
