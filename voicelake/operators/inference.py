@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voicelake.functions.text import clause_plan
@@ -14,31 +16,51 @@ RESULT = "status string, output string, code string, message string, stage_ms do
 _models: dict = {}
 
 
-def apply_engine(df: DataFrame, stage: str, factory: Callable[[], Callable], column: str, out: str | None = None) -> DataFrame:
+def worker_model(name: str, factory: Callable[[], Callable]) -> Callable:
+    """The worker's model of that name, made at its first use; as a module's function it is not pickled, so the cache outlives tasks."""
+    if name not in _models:
+        _models[name] = factory()
+    return _models[name]
+
+
+def _results(model, values: list) -> list[tuple]:
+    """A result a value; null values are skipped. A model with ``batch`` takes all at once and returns (output, ms) or an exception each."""
+    known = [v for v in values if not pd.isna(v)]
+
+    def one(value):
+        try:
+            return model(value)
+        except Exception as wrong:  # noqa: BLE001  whatever a model raises is that row's result
+            return wrong
+
+    answers, out = iter(model.batch(known) if hasattr(model, "batch") else map(one, known)), []
+    for value in values:
+        answer = None if pd.isna(value) else next(answers)
+        if answer is None:
+            out.append(("skipped", None, None, None, 0.0))
+        elif isinstance(answer, Exception):
+            out.append(("failed", None, "UNSUPPORTED_CAPABILITY" if isinstance(answer, NotImplementedError) else "INFERENCE_FAILED", str(answer), 0.0))
+        else:
+            out.append(("success", answer[0], None, None, float(answer[1])))
+    return out
+
+
+def apply_engine(df: DataFrame, stage: str, factory: Callable[[], Callable], column: str, out: str | None = None, model_id: str | None = None) -> DataFrame:
     """Adds the struct ``out`` (default: the stage's name): status, output, code, message, stage_ms.
 
     factory() -> model; model(value) -> (output, ms). NotImplementedError gives code UNSUPPORTED_CAPABILITY,
-    anything else INFERENCE_FAILED; the job goes on.
+    anything else INFERENCE_FAILED; the job goes on. A worker keeps a model by stage and ``model_id``, by default
+    a digest of the factory.
     """
     out, names = out or stage, df.columns
+    name = f"{stage}/{model_id or hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()}"
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if stage not in _models:
-            _models[stage] = factory()
-        model = _models[stage]
+        model = worker_model(name, factory)
         for batch in batches:
-            results = []
-            for value in batch[column]:
-                try:
-                    output, ms = model(value)
-                    results.append(("success", output, None, None, float(ms)))
-                except NotImplementedError as wrong:
-                    results.append(("failed", None, "UNSUPPORTED_CAPABILITY", str(wrong), 0.0))
-                except Exception as wrong:  # noqa: BLE001  whatever a model raises is that row's result
-                    results.append(("failed", None, "INFERENCE_FAILED", str(wrong), 0.0))
-            batch = batch.reset_index(drop=True)
-            yield pd.concat([batch, pd.DataFrame(results, columns=["_status", "_output", "_code", "_message", "_ms"])], axis=1)
+            results = pd.DataFrame(_results(model, list(batch[column])), columns=["_status", "_output", "_code", "_message", "_ms"])
+            yield pd.concat([batch.reset_index(drop=True), results], axis=1)
 
     flat = df.mapInPandas(run, f"{kinds}, _status string, _output string, _code string, _message string, _ms double")
     result = F.struct(F.col("_status").alias("status"), F.col("_output").alias("output"), F.col("_code").alias("code"), F.col("_message").alias("message"), F.col("_ms").alias("stage_ms"))
@@ -51,30 +73,44 @@ def unpack_result(df: DataFrame, result: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(good), df.filter(~good)
 
 
-def _spoken(texts: DataFrame, keys: list[str], text: str, tts, chunked: bool) -> DataFrame:
-    clauses = texts.select(*keys, "mt_ms", F.posexplode(clause_plan(F.col(text), chunked)).alias("clause_idx", "clause_text"))
-    done = apply_engine(clauses, "tts", tts, "clause_text")
-    ordered = F.array_sort(F.collect_list(F.struct("clause_idx", "clause_text")))
-    return done.groupBy(*keys).agg(
-        F.array_join(F.transform(ordered, lambda c: c["clause_text"]), " ").alias("translated_text"), F.count(F.lit(1)).alias("clauses"),
-        F.first("mt_ms").alias("mt_ms"), F.sum("tts.stage_ms").alias("tts_ms"), F.count_if(F.col("tts.status") != "success").alias("failed_clauses"),
+def _said(stage: str) -> Column:
+    """A stage's output, null where it failed or is blank."""
+    return F.when((F.col(f"{stage}.status") == "success") & (F.trim(f"{stage}.output") != ""), F.col(f"{stage}.output"))
+
+
+def _failure(stages: list[str]) -> Column:
+    """The first failed stage, its code and message."""
+    return F.coalesce(*[F.when(F.col(f"{s}.status") == "failed", F.struct(F.lit(s).alias("failed_stage"), F.col(f"{s}.code").alias("code"), F.col(f"{s}.message").alias("message"))) for s in stages])
+
+
+def _spoken(done: DataFrame, keys: list[str], last: str, stages: list[str], tts, chunked: bool) -> DataFrame:
+    """One row an utterance that has text or failed; blank ones are skipped."""
+    texts = done.select(*keys, _said(last).alias("_text"), _failure(stages).alias("_failure"), F.when(F.col(f"{last}.status") == "success", F.col(f"{last}.stage_ms")).alias("mt_ms"))
+    texts = texts.filter("_text IS NOT NULL OR _failure IS NOT NULL")
+    plan = F.when(F.col("_text").isNotNull(), clause_plan(F.col("_text"), chunked))
+    clauses = texts.select(*keys, "mt_ms", "_failure", F.posexplode_outer(plan).alias("clause_idx", "clause_text"))
+    made = apply_engine(clauses, "tts", tts, "clause_text")
+    ordered = F.array_sort(F.collect_list(F.when(F.col("clause_text").isNotNull(), F.struct("clause_idx", "clause_text"))))
+    silent = F.when(F.col("tts.status") == "failed", F.struct(F.lit("tts").alias("failed_stage"), F.col("tts.code").alias("code"), F.col("tts.message").alias("message")))
+    joined = made.groupBy(*keys).agg(
+        F.when(F.count("clause_text") > 0, F.array_join(F.transform(ordered, lambda c: c["clause_text"]), " ")).alias("translated_text"), F.count("clause_text").alias("clauses"),
+        F.first("mt_ms").alias("mt_ms"), F.sum("tts.stage_ms").alias("tts_ms"), F.count_if(F.col("tts.status") == "failed").alias("failed_clauses"), F.coalesce(F.first("_failure", True), F.first(silent, True)).alias("_failure"),
     )
+    status = F.when(F.col("translated_text").isNull(), "failed").when(F.col("failed_clauses") > 0, "partial").otherwise("success")
+    return joined.select("*", status.alias("status"), "_failure.*").drop("_failure")
 
 
 def translate_direct(df: DataFrame, keys: list[str], column: str, translate, tts, chunked: bool = True) -> DataFrame:
-    """Speech translation, blank results dropped, clauses spoken one by one."""
-    done, _ = unpack_result(apply_engine(df, "speech_translation", translate, column), "speech_translation")
-    texts = done.select(*keys, F.col("speech_translation.output").alias("_text"), F.col("speech_translation.stage_ms").alias("mt_ms")).filter(F.trim("_text") != "")
-    return _spoken(texts, keys, "_text", tts, chunked)
+    """Speech translation, blank results skipped, clauses spoken one by one; what fails keeps a row with its stage, code and message."""
+    done = apply_engine(df, "speech_translation", translate, column)
+    return _spoken(done, keys, "speech_translation", ["speech_translation"], tts, chunked)
 
 
 def translate_cascade(df: DataFrame, keys: list[str], column: str, stt, translate, tts, chunked: bool = True) -> DataFrame:
-    """Recognition, translation, clauses, synthesis; blanks are skipped after either text stage."""
-    heard, _ = unpack_result(apply_engine(df, "stt", stt, column), "stt")
-    heard = heard.select(*keys, F.col("stt.output").alias("_heard")).filter(F.trim("_heard") != "")
-    done, _ = unpack_result(apply_engine(heard, "translation", translate, "_heard"), "translation")
-    texts = done.select(*keys, F.col("translation.output").alias("_text"), F.col("translation.stage_ms").alias("mt_ms")).filter(F.trim("_text") != "")
-    return _spoken(texts, keys, "_text", tts, chunked)
+    """Recognition, translation, clauses, synthesis; blanks are skipped after either text stage, and what fails keeps a row."""
+    heard = apply_engine(df, "stt", stt, column)
+    done = apply_engine(heard.select(*keys, "stt", _said("stt").alias("_heard")), "translation", translate, "_heard")
+    return _spoken(done, keys, "translation", ["stt", "translation"], tts, chunked)
 
 
 def speech_to_speech(df: DataFrame, keys: list[str], column: str, model) -> DataFrame:

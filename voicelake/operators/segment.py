@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,44 +97,131 @@ class Machine:
         return self._emit(last, True) if self.first >= 0 else None
 
 
+def _row_fields() -> list[str]:
+    return [c.split(" ")[0] for c in OUT.split(", ")]
+
+
 def segment_utterances(levels: DataFrame, cfg: SegmentConfig, keys: list[str], on_end: str = "emit") -> DataFrame:
-    """keys, frame_idx, rms -> utterances. Streams whose epochs stay under the cap take the closed form; only the others are folded."""
+    """keys, frame_idx, rms -> utterances. Epochs under the cap take the closed form; only those that may reach it are folded.
+
+    Each epoch ends idle, so epochs meet in their pre-roll alone: successive long ones are folded together, and what
+    follows them starts after their last cut.
+    """
     lit = F.lit
-    closed = lambda df: segment_by(df, keys, lit(cfg.start), lit(cfg.keep), lit(cfg.end_quiet), lit(cfg.min_voiced), lit(cfg.pre_roll), on_end)
     if cfg.start >= cfg.keep and not cfg.max_frames:
-        return closed(levels)
+        return segment_by(levels, keys, lit(cfg.start), lit(cfg.keep), lit(cfg.end_quiet), lit(cfg.min_voiced), lit(cfg.pre_roll), on_end)
     kinds = dict(levels.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + OUT
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        machine, found = Machine(cfg), []
-        group = group.sort_values("frame_idx")
-        for frame, level in zip(group["frame_idx"], group["rms"], strict=True):
-            found.append(machine.push(int(frame), float(level)))
-        if len(group) and on_end == "emit":
-            found.append(machine.flush(int(group["frame_idx"].iloc[-1])))
-        rows = [[*(group[k].iloc[0] for k in keys), *x] for x in found if x]
-        return pd.DataFrame(rows, columns=[*keys, *(c.split(" ")[0] for c in OUT.split(", "))])
-
-    if cfg.start < cfg.keep:
-        return levels.groupBy(*keys).applyInPandas(fold, schema)
-    spans = _epochs(levels, keys, lit(cfg.start), lit(cfg.keep), lit(cfg.end_quiet)).groupBy(*keys, "_epoch").agg((F.max("frame_idx") - F.min("_onset") + 1 + cfg.pre_roll).alias("length"))
-    long_ones = spans.groupBy(*keys).agg(F.max("length").alias("longest")).filter(F.col("longest") >= cfg.max_frames).select(*keys)
-    return closed(levels.join(long_ones, keys, "left_anti")).unionByName(levels.join(long_ones, keys, "left_semi").groupBy(*keys).applyInPandas(fold, schema))
-
-
-def segment_stream(levels: DataFrame, cfg: SegmentConfig, key: str = "stream_id"):
-    """The machine over a stream of (key, frame_idx, rms); frames of a batch are ordered by number, the tail waits."""
+    of_keys = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    if cfg.start < cfg.keep:  # quiet runs no longer tell epochs apart
+
+        def fold(group: pd.DataFrame) -> pd.DataFrame:
+            machine, found = Machine(cfg), []
+            group = group.sort_values("frame_idx")
+            for frame, level in zip(group["frame_idx"], group["rms"], strict=True):
+                found.append(machine.push(int(frame), float(level)))
+            if len(group) and on_end == "emit":
+                found.append(machine.flush(int(group["frame_idx"].iloc[-1])))
+            return pd.DataFrame([[*(group[k].iloc[0] for k in keys), *x] for x in found if x], columns=[*keys, *_row_fields()])
+
+        return levels.groupBy(*keys).applyInPandas(fold, f"{of_keys}, {OUT}")
+
+    frames = _epochs(levels, keys, lit(cfg.start), lit(cfg.keep), lit(cfg.end_quiet)).withColumn("_last", F.max("frame_idx").over(Window.partitionBy(*keys, "_epoch")))
+    frames = frames.withColumn("_long", F.coalesce(F.col("_last") - F.col("_onset") + 1 + cfg.pre_roll >= cfg.max_frames, F.lit(False)))
+    spans = frames.groupBy(*keys, "_epoch").agg(
+        F.min("_onset").alias("onset"), F.max("frame_idx").alias("end_frame"), F.max("_closer").alias("closed"), F.first("_long").alias("_long"),
+        F.count(F.when((F.col("frame_idx") >= F.col("_onset")) & (F.col("rms") >= cfg.keep), 1)).alias("voiced_frames"),
+    ).filter("onset IS NOT NULL")
+    order = Window.partitionBy(*keys).orderBy("_epoch")
+    spans = spans.withColumn("_run", F.sum((~F.col("_long")).cast("int")).over(order)).withColumn("_reset", F.coalesce(F.lag("end_frame").over(order) + 1, F.lit(0)))
+
+    def fold_run(group: pd.DataFrame) -> pd.DataFrame:
+        """The epochs of one run -> their utterances, and each epoch's next free frame."""
+        group, rows = group.sort_values("frame_idx"), []
+        own, machine, reset = [group[k].iloc[0] for k in keys], Machine(cfg), int(group["_reset"].iloc[0])
+        for epoch, part in group.groupby("_epoch", sort=True):
+            machine.idle = int(part["frame_idx"].iloc[0]) - reset
+            for frame, level in zip(part["frame_idx"], part["rms"], strict=True):
+                speaking, found = machine.first >= 0, machine.push(int(frame), float(level))
+                if found:
+                    rows.append([*own, epoch, *found[1:], None])
+                if machine.first < 0 and (speaking or found):
+                    reset = int(frame) + 1
+            if machine.first >= 0 and on_end == "emit" and (found := machine.flush(int(part["frame_idx"].iloc[-1]))):
+                rows.append([*own, epoch, *found[1:], None])
+            rows.append([*own, epoch, None, None, None, None, reset])
+        return pd.DataFrame(rows, columns=[*keys, "_epoch", "start_frame", "end_frame", "voiced_frames", "forced_cutoff", "_after"]).astype({c: "Int64" for c in ("start_frame", "end_frame", "voiced_frames", "_after")} | {"forced_cutoff": "boolean"})
+
+    long_spans = spans.filter("_long").select(*keys, "_epoch", "_run", "_reset")
+    long_frames = frames.filter("_long").select(*keys, "_epoch", "frame_idx", "rms").join(long_spans, [*keys, "_epoch"])
+    folded = long_frames.groupBy(*keys, "_run").applyInPandas(fold_run, f"{of_keys}, _epoch long, start_frame long, end_frame long, voiced_frames long, forced_cutoff boolean, _after long")
+    cuts = folded.groupBy(*keys, "_epoch").agg(F.max("_after").alias("_after"))
+    placed = spans.join(cuts, [*keys, "_epoch"], "left").withColumn("_reset", F.coalesce(F.lag(F.coalesce("_after", F.col("end_frame") + 1)).over(order), F.lit(0)))
+    short = placed.filter(f"NOT _long AND voiced_frames >= {cfg.min_voiced}" + ("" if on_end == "emit" else " AND closed = 1"))
+    start = F.col("onset") - F.least(F.lit(cfg.pre_roll), F.col("onset") - F.col("_reset"))
+    columns = [*keys, "start_frame", "end_frame", "voiced_frames", "forced_cutoff"]
+    both = short.select(*keys, start.cast("long").alias("start_frame"), F.col("end_frame").cast("long").alias("end_frame"), "voiced_frames", (F.col("closed") == 0).alias("forced_cutoff"))
+    both = both.unionByName(folded.filter("_after IS NULL").select(*columns))
+    numbered = both.withColumn("utterance_id", F.row_number().over(Window.partitionBy(*keys).orderBy("start_frame")).cast("long"))
+    return numbered.select(*keys, "utterance_id", *columns[len(keys) :])
+
+
+#: Early frames or chunks that a stream holds; beyond it the missing ones count as lost.
+MOST_HELD = 1000
+
+
+def segment_stream(rows: DataFrame, cfg: SegmentConfig, key: str = "stream_id", order: str = "frame_idx", value: str = "rms", frame: int | None = None, idle_ms: int | None = None):
+    """The machine over a stream of (key, order, value), in the order of its numbers from 0, whatever batch a row comes in.
+
+    A value is a frame's level, or with ``frame`` a chunk of samples of any length, whose rest waits for the next chunk.
+    Early rows are held; a number that has passed, or is held, is late or a copy and dropped. The tail waits, or with
+    ``idle_ms`` is flushed when its stream has been silent so long (``late`` counts the rows dropped so far).
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(group_key, batches, state):
-        machine = Machine(cfg, state.get if state.exists else None)
-        frames = pd.concat(list(batches)).sort_values("frame_idx")
-        found = [machine.push(int(f), float(r)) for f, r in zip(frames["frame_idx"], frames["rms"], strict=True)]
-        state.update(machine.state())
-        yield pd.DataFrame([[group_key[0], *x] for x in found if x], columns=[key, *(c.split(" ")[0] for c in OUT.split(", "))])
-
-    return levels.groupBy(key).applyInPandasWithState(step, f"{key} long, {OUT}", "first long, idle long, voiced long, quiet long, count long", "append", GroupStateTimeout.NoTimeout)
+        first, idle, voiced, quiet, count, at, due, late, rest = state.get if state.exists else (-1, 0, 0, 0, 0, 0, 0, 0, "{}")
+        machine, waiting = Machine(cfg, (first, idle, voiced, quiet, count)), json.loads(rest)
+        held, residual, found = {int(k): v for k, v in waiting.get("held", {}).items()}, waiting.get("residual", []), []
+
+        def take(item) -> None:
+            nonlocal at, residual
+            if frame is None:
+                levels = [item]
+            else:
+                samples = np.concatenate((residual, item))
+                whole = len(samples) // frame
+                levels = np.sqrt(np.mean(samples[: whole * frame].reshape(whole, frame) ** 2, axis=1)) if whole else []
+                residual = samples[whole * frame :].tolist()
+            for level in levels:
+                found.append(machine.push(at, float(level)))
+                at += 1
+
+        def drain(force: bool) -> None:
+            nonlocal due
+            while held and (due in held or force or len(held) > MOST_HELD):
+                due = due if due in held else min(held)
+                take(held.pop(due))
+                due += 1
+
+        if state.hasTimedOut:
+            drain(True)
+            found.append(machine.flush(at - 1))
+        else:
+            for batch in batches:
+                for number, item in zip(batch[order], batch[value], strict=True):
+                    if number < due or number in held:
+                        late += 1
+                    else:
+                        held[int(number)] = float(item) if frame is None else [float(x) for x in item]
+            drain(False)
+        state.update((*machine.state(), at, due, late, json.dumps({"held": held, "residual": residual})))
+        if idle_ms and not state.hasTimedOut:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame([[group_key[0], *x, late] for x in found if x], columns=[key, *_row_fields(), "late"])
+
+    kept = "first long, idle long, voiced long, quiet long, count long, at long, due long, late long, rest string"
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {dict(rows.dtypes)[key]}, {OUT}, late long", kept, "append", timeout)
 
 
 def gather(utterances: DataFrame, chunks: DataFrame, key: str, block: int = 256) -> DataFrame:

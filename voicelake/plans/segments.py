@@ -72,7 +72,22 @@ def whole_recording_segments(spark, sf_dir):
     )
 
 
-@query()
+#: The plain machine, a step a frame, with a cap of 12 frames.
+CAPPED = f"""WITH RECURSIVE {LEVELS}, machine(stream_id, f, first, idle, voiced, quiet, begun, heard, cut) AS (
+  SELECT DISTINCT stream_id, -1::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BOOLEAN FROM levels
+  UNION ALL
+  SELECT stream_id, f, CASE WHEN over THEN -1 ELSE first END, CASE WHEN over OR first >= 0 THEN 0 ELSE idle + 1 END, CASE WHEN over THEN 0 ELSE voiced END, CASE WHEN over THEN 0 ELSE quiet END,
+         CASE WHEN over AND voiced >= 2 THEN first END, CASE WHEN over AND voiced >= 2 THEN voiced END, CASE WHEN over AND voiced >= 2 THEN quiet < 3 END
+  FROM (SELECT *, first >= 0 AND (quiet >= 3 OR f - first + 1 >= 12) AS over FROM (
+    SELECT stream_id, f, idle, first, CASE WHEN first < 0 THEN 0 WHEN rms >= 30 THEN voiced + 1 ELSE voiced END AS voiced, CASE WHEN first < 0 OR rms >= 30 THEN 0 ELSE quiet + 1 END AS quiet FROM (
+      SELECT m.stream_id, l.frame_idx AS f, l.rms, m.idle, m.voiced, m.quiet, CASE WHEN m.first < 0 AND l.rms >= 60 THEN l.frame_idx - least(2, m.idle) ELSE m.first END AS first
+      FROM machine m JOIN levels l ON l.stream_id = m.stream_id AND l.frame_idx = m.f + 1)))
+), found AS (
+  SELECT stream_id, begun AS start_frame, f AS end_frame, heard AS voiced_frames, cut AS forced_cutoff FROM machine WHERE begun IS NOT NULL
+  UNION ALL SELECT stream_id, first, f, voiced, true FROM machine JOIN (SELECT stream_id, max(frame_idx) AS f FROM levels GROUP BY stream_id) USING (stream_id, f) WHERE first >= 0 AND voiced >= 2
+) SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY start_frame) AS utterance_id, * EXCLUDE (stream_id) FROM found"""
+
+
+@query(CAPPED)
 def capped_segments(spark, sf_dir):
-    """With a cap of 12 frames; tests hold it against the plain machine."""
     return segment_utterances(levels(spark, sf_dir).drop("event_id"), SegmentConfig(60.0, 30.0, 2, 2, 3, 12), ["stream_id"])

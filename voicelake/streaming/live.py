@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,15 @@ def live_metrics(transfers: DataFrame, by: list[str]) -> DataFrame:
     return transfers.groupBy(*by).agg(F.sum("requested").alias("received"), F.sum("moved").alias("emitted"), F.count_if(F.col("moved") == 0).alias("underruns"))
 
 
-def stream_pipeline(levels: DataFrame, cfg: SegmentConfig, direction: str, stage=None) -> DataFrame:
-    """Levels -> utterances -> an optional DataFrame stage, marked with the call's direction."""
-    found = segment_stream(levels, cfg).withColumn("direction", F.lit(direction))
+def late_rows(query) -> int:
+    """Rows that came after the watermark and were dropped, as a stream's latest progress reports count them."""
+    return sum(operator["numRowsDroppedByWatermark"] for progress in query.recentProgress for operator in json.loads(progress.json)["stateOperators"])
+
+
+def stream_pipeline(chunks: DataFrame, cfg: SegmentConfig, direction: str, frame: int | None = None, order: str = "frame_idx", value: str = "rms", stage=None, idle_ms: int | None = None) -> DataFrame:
+    """A call's leg: levels or chunks of samples -> utterances -> an optional DataFrame stage (models), marked with the leg's direction.
+
+    A stage that is made of ``apply_engine`` turns failures into error rows, so an utterance is skipped and the stream goes on.
+    """
+    found = segment_stream(chunks, cfg, order=order, value=value, frame=frame, idle_ms=idle_ms).withColumn("direction", F.lit(direction))
     return stage(found) if stage else found
