@@ -46,7 +46,7 @@ from voicelake.llm.scratch import Scratch, matching
 BANDS, ROWS, BITS = 32, 5, 512
 SAMPLES = BANDS * ROWS
 #: Shingles a side of a block, at least and at most; between, blocks are a few for each shuffle partition.
-BLOCK = (40_000, 2_000_000)
+BLOCK = (10_000, 2_000_000)
 #: Estimated similarity that a candidate must reach: seven standard deviations below 0.8.
 LEAST_ESTIMATE = 0.55
 #: Sets that are linked differ by at most one class of this ratio, a little over 1 / 0.8.
