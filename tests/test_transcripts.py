@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter, defaultdict
+from math import exp, log
 
 import pytest
 
@@ -54,8 +55,28 @@ def held(spark, at, turns):
     for r in run("word_error_rates"):
         assert (r["edits"], r["words"]) == (sum(edits(a.split(" "), b.split(" ")) for *_, a, b in by[r["role"]]), sum(len(a.split(" ")) for *_, a, _ in by[r["role"]]))
     for r in run("translation_quality"):
-        hyp = sum(len(b.split(" ")) for *_, b in by[r["role"]])
-        assert (r["hyp"], r["matched"]) == (hyp, sum((Counter(a.split(" ")) & Counter(b.split(" "))).total() for *_, a, b in by[r["role"]]))
+        assert (r["hyp_words"], r["ref_words"]) == tuple(sum(len(p[k].split()) for p in by[r["role"]]) for k in (4, 3))
+        assert (r["bleu"], r["chrf"]) == tuple(pytest.approx(x, abs=1e-6) for x in plain_quality([p[3:] for p in by[r["role"]]]))
+
+
+def shares(found, longest, parts):
+    """Shared, hypothesis and reference n-grams of each length over all (reference, hypothesis) pairs."""
+    out = []
+    for n in range(1, longest + 1):
+        grams = lambda x: Counter(tuple(parts(x)[k : k + n]) for k in range(len(parts(x)) - n + 1))
+        each = [(grams(a), grams(b)) for a, b in found]
+        out.append((sum((x & y).total() for x, y in each), sum(y.total() for _, y in each), sum(x.total() for x, _ in each)))
+    return out
+
+
+def plain_quality(found):
+    """Corpus BLEU and chrF."""
+    words, letters = shares(found, 4, str.split), [s for s in shares(found, 6, lambda x: x.replace(" ", "")) if s[1] or s[2]]
+    bleu = 0.0
+    if all(m for m, _, _ in words):
+        bleu = exp(sum(log(m / h) for m, h, _ in words) / 4) * min(1.0, exp(1 - words[0][2] / words[0][1]))
+    p, q = (sum(s[0] / s[k] if s[k] else 0.0 for s in letters) / len(letters) for k in (1, 2))
+    return bleu, 5 * p * q / (4 * p + q) if p or q else 0.0
 
 
 def test_pairs_are_compared_whole(spark, at):
@@ -71,4 +92,4 @@ def test_normal_form_is_unicode(spark, at):
     folder = at("documents", [(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     assert {r["doc_id"]: r["normalized"] for r in catalogue.QUERIES["normalize_text"](spark, folder).collect()} == {i: plain(t) for i, t in enumerate(texts)}
     got = {r["doc_id"]: r["translated_text"] for r in catalogue.QUERIES["lexical_translate"](spark, folder).collect()}
-    assert got == {0: "Échch straße mañana", 1: "日本語 テキスト 12", 2: "Αβγ o àé e x", 3: "Éthe theé o", 4: "E", 5: "", 6: ""}
+    assert got == {0: "Échch — straße_mañana!", 1: "日本語、テキスト 12", 2: "Αβγ o àé e x", 3: "Éthe theé o", 4: "¡e!", 5: "", 6: "😀"}
