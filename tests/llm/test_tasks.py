@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import itertools
+import json
 import random
 import re
 import struct
@@ -40,6 +41,28 @@ def test_bpe_equals_the_library(edge, none, peer):
     assert bpe.encode(edge, bpe.vocabulary_file()).count() == edge.count()
 
 
+@pytest.mark.parametrize(
+    "place, value",
+    [
+        (("normalizer",), {"type": "NFC"}),
+        (("pre_tokenizer", "add_prefix_space"), True),
+        (("pre_tokenizer", "use_regex"), False),
+        (("pre_tokenizer",), {"type": "Whitespace"}),
+        (("model", "ignore_merges"), True),
+        (("added_tokens", 0, "lstrip"), True),
+        (("model", "vocab"), {"a": 0}),
+    ],
+)
+def test_bpe_refuses_other_settings(edge, tmp_path, place, value):
+    spec = at = json.load(open(bpe.vocabulary_file(), encoding="utf-8"))
+    for key in place[:-1]:
+        at = at[key]
+    at[place[-1]] = value
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="not handled"):
+        bpe.token_report(edge, str(tmp_path / "other.json"))
+
+
 def test_bpe_random_strings(peer):
     own, rng = bpe.codec(open(bpe.vocabulary_file(), encoding="utf-8").read()), random.Random(5)
     alphabet = ["a", "b", "the", " ", "  ", "\n", "\x85", " ", "é", "日本", "😀", "1", "²", "!", "'s", "<|endoftext|>", "ing", "\x00", "́"]

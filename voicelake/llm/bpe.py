@@ -11,6 +11,9 @@ Texts are first cut at special tokens, then into pieces by the vocabulary's
 pattern. Pieces repeat, so each Python worker keeps those it has solved, up to
 a bound. Whole texts are processed; rows never meet, so there is no shuffle.
 
+A vocabulary file whose settings ask for anything else (a normalizer, another
+cutting rule, tokens that strip blanks, bytes without a token) is refused.
+
 Defined results: a null text is empty and has no ids; bytes that decode to
 invalid UTF-8 become U+FFFD; repeated rows and empty tables need no care;
 columns of the input other than doc_id are not carried by the report.
@@ -39,6 +42,19 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(shifted)}
 
 
+def refuse_unhandled(spec: dict) -> None:
+    """Raises ValueError for settings of a vocabulary file that the encoder doesn't follow."""
+    model, cut, decoder = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    faults = [f"model.{name}" for name in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(name)]
+    faults += ["model.type"] * (model.get("type", "BPE") != "BPE") + ["normalizer"] * bool(spec.get("normalizer"))
+    faults += ["pre_tokenizer"] * (cut.get("type") != "ByteLevel" or bool(cut.get("add_prefix_space", True)) or not cut.get("use_regex", True))
+    faults += ["decoder"] * (decoder.get("type") != "ByteLevel")
+    faults += [f"added token {t['content']}" for t in spec["added_tokens"] if not t["content"] or any(t.get(flag) for flag in ("single_word", "lstrip", "rstrip"))]
+    faults += ["model.vocab: bytes without a token"] * (not byte_alphabet().keys() <= model["vocab"].keys())
+    if faults:
+        raise ValueError(f"vocabulary settings that are not handled: {', '.join(faults)}")
+
+
 class Vocabulary:
     """Tokens, merges and the suffix automaton of one vocabulary file."""
 
@@ -46,6 +62,7 @@ class Vocabulary:
         import ahocorasick
 
         spec = json.loads(source)
+        refuse_unhandled(spec)
         alphabet = byte_alphabet()
         raw = lambda token: bytes(alphabet[c] for c in token)
         ids = spec["model"]["vocab"]
@@ -179,7 +196,9 @@ def token_report(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
 def _mapped(docs: DataFrame, vocabulary_path: str, schema: str, each) -> DataFrame:
     with open(vocabulary_path, encoding="utf-8") as file:  # a vocabulary is a few MB, whatever the corpus
-        source = docs.sparkSession.sparkContext.broadcast(file.read())
+        text = file.read()
+    refuse_unhandled(json.loads(text))
+    source = docs.sparkSession.sparkContext.broadcast(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(source.value)
