@@ -2,6 +2,7 @@
 
 from voicelake.llm.bpe import op3_bpe
 from voicelake.llm.chat import OP4_SQL, op4_preferences
+from voicelake.llm.convtrie import OP12_SQL, op12_trie
 from voicelake.llm.fingerprint import op2_fingerprints
 from voicelake.llm.mixing import OP1_SQL, op1_mix
 from voicelake.llm.neardup import op9_neardup
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_neardup": op9_neardup,
     "op10_derivatives": op10_derivatives,
     "op11_phrases": op11_phrases,
+    "op12_trie": op12_trie,
 }
 #: The others hash with functions that SQL engines do not share, or iterate; tests hold them against plain versions.
-SQL = {"op1_mix": OP1_SQL, "op4_preferences": OP4_SQL, "op10_derivatives": OP10_SQL, "op11_phrases": OP11_SQL}
+SQL = {"op1_mix": OP1_SQL, "op4_preferences": OP4_SQL, "op10_derivatives": OP10_SQL, "op11_phrases": OP11_SQL, "op12_trie": OP12_SQL}
