@@ -39,7 +39,7 @@ from voicelake.llm.scratch import Scratch
 
 LONGEST, LEAST, TOP, SCALE, COVERED = 4, 30, 2000, 2_000_000, 80
 #: Bytes of text that a task numbers at once.
-BLOCK = 8 << 20
+BLOCK = 3 << 20
 #: Bits of a Bloom filter at least and at most (16 MB), bits a phrase, and probes.
 LEAST_BITS, MOST_BITS, BITS_EACH, PROBES = 1 << 16, 1 << 27, 16, 3
 
@@ -138,8 +138,7 @@ def _counted(langs: list[str], texts: list[bytes], width: int, filter_bits: np.n
         if places <= 0:
             return
         at = np.flatnonzero(frequent[:places] & frequent[1 : places + 1] & (piece[:places] == piece[width - 1 :]))
-        key, dense = _dense(key)
-        own = key
+        own, dense = (key, len(known.dictionary) * len(vocabulary)) if len(known.dictionary) * len(vocabulary) < 1 << 31 else _dense(key)
         key = own[at]
         for k in range(1, width):
             key = (key if k == 1 else _dense(key)[0]) * dense + own[at + k]
