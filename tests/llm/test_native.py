@@ -56,6 +56,39 @@ def test_mix_rows(edge, none):
     assert mixing.mix(none).count() == mixing.mix_report(none).count() == 0
 
 
+def test_mix_of_equal_rows(spark):
+    """The budget runs out among rows equal in id and text: the nearest number of them is taken, in the report, the mix and the SQL twin."""
+    import duckdb
+
+    rows = [(1, "one two three", "a", 0.5)] * 100 + [(2, "x " * 10, "b", 0.5)] * 33 + [(3, "y", "b", 0.5), (4, None, None, 0.5), (4, None, None, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` double").repartition(7)
+    got = mixing.mix_report(docs).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["source"]].append(r)
+    for group in by.values():
+        assert abs(sum(r["taken"] for r in group) - group[0]["target"]) <= max(r["size"] for r in group) / 2 + 1e-6
+        assert max(r["copies"] for r in group) - min(r["copies"] for r in group) <= 1
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and Counter(r["doc_id"] for r in mixed.collect()) == sum((Counter({r["doc_id"]: r["copies"]}) for r in got), Counter())
+    db = duckdb.connect()
+    documents = docs.drop("a.b").toPandas()  # noqa: F841
+    want = db.sql(mixing.OP1_SQL).fetchall()
+    assert Counter((r["doc_id"], r["size"], round(r["target"], 6), r["taken"]) for r in got) == Counter((w[0], w[1], round(w[3], 6), w[4]) for w in want)
+    # a single source whose only text cannot be taken in whole multiples of all
+    single = mixing.thresholds(mixing.measure(docs.filter("source = 'a'"), Scratch(spark, "t")), Scratch(spark, "t"), [1], share=2 / 3).first()
+    assert (single["whole"], single["some"]) == (0, 67)
+
+
+def test_columns_with_dots(spark, labels):
+    rows = [(i, f"word{i % 7} of the text number {i} " * 40, "s", i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int")
+    from voicelake.llm import suffixdedup
+
+    for out in (mixing.mix(docs), quality.quality_filter(docs, labels), suffixdedup.cut_repeats(docs)):
+        assert out.columns == docs.columns and {r["a.b"] == r["doc_id"] for r in out.collect()} <= {True}
+
+
 @pytest.mark.parametrize("n_shards", [4, 16])
 def test_shards(edge, none, n_shards):
     rows = sharding.shard_report(edge, n_shards).collect()

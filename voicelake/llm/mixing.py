@@ -8,9 +8,10 @@ histogram reads, and so on until that cell holds one hash. Nothing is sorted,
 and a larger budget always takes a superset (nested thresholds).
 
 Defined results: null text counts 0 words; a null source is a source of its
-own, last in order; rows that are equal in id and text share a hash and are
-taken or left together; an empty table gives an empty mix; the mix has the
-columns of the input, whatever their names; the report has its own alone.
+own, last in order; rows that are equal in id and text share a hash, and where
+the budget runs out among them, as many of them as fit are taken, whichever; an
+empty table gives an empty mix; the mix has the columns of the input, whatever
+their names; the report has its own alone.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voicelake.llm.scratch import Scratch
-from voicelake.llm.text import hash60, word_count
+from voicelake.llm.text import all_columns, hash60, word_count
 
 DIGIT_BITS, HASH_BITS = 12, 60
 #: One small row a source: below this many the plan is broadcast (some 10 MB), beyond it the join shuffles.
@@ -55,20 +56,23 @@ def targets(sizes: DataFrame, weights: list[int], share: float, max_repeats: int
 
 
 def thresholds(measured: DataFrame, scratch: Scratch, weights: list[int], share: float = 1.0, max_repeats: int = 3) -> DataFrame:
-    """(source, hash, size) -> one row a source: source_size, target, whole repeats, last hash that gets one more."""
+    """(source, hash, size) -> one row a source: source_size, target, whole repeats, last hash that gets one more.
+
+    Where the rows of one hash ``at`` get one more in part, ``some`` is their number.
+    """
     sizes = measured.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, share, max_repeats)
     repeats = F.least(F.lit(max_repeats), F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))).cast("long")
     plan = plan.withColumn("whole", repeats).withColumn(
         "budget", F.when(F.col("whole") >= max_repeats, F.lit(-1.0)).otherwise(F.col("target") - F.col("whole") * F.col("source_size"))
     )
-    plan = plan.withColumns({"prefix": F.lit(0).cast("long"), "below": F.lit(0).cast("long"), "cut": F.lit(-1).cast("long"), "open": (F.col("budget") >= 0) & (F.col("source_size") > 0)})
+    plan = plan.withColumns({"prefix": F.lit(0).cast("long"), "below": F.lit(0).cast("long"), "cut": F.lit(-1).cast("long"), "at": F.lit(None).cast("long"), "some": F.lit(0).cast("long"), "open": (F.col("budget") >= 0) & (F.col("source_size") > 0)})
     plan = scratch.table(plan, "plan-0")
     for step, left in enumerate(range(HASH_BITS - DIGIT_BITS, -1, -DIGIT_BITS), 1):
         if plan.filter("open").isEmpty():
             break
         plan = scratch.table(_refined(measured, plan, left), f"plan-{step}")
-    return plan.select("source", "source_size", "target", "whole", "cut")
+    return plan.select("source", "source_size", "target", "whole", "cut", "at", "some")
 
 
 def _refined(measured: DataFrame, plan: DataFrame, left: int) -> DataFrame:
@@ -76,19 +80,24 @@ def _refined(measured: DataFrame, plan: DataFrame, left: int) -> DataFrame:
     asked = plan.filter("open").select(F.col("source").alias("asked"), "budget", "prefix", "below")
     rows = _with(measured, asked, "asked").filter(F.shiftright("hash", left + DIGIT_BITS) == F.col("prefix"))
     cells = rows.groupBy("asked", F.shiftright("hash", left).alias("cell")).agg(
-        F.sum("size").alias("words"), F.min("hash").alias("low"), F.max("hash").alias("high"), F.max("budget").alias("budget"), F.max("below").alias("below")
+        F.sum("size").alias("words"), F.min("hash").alias("low"), F.max("hash").alias("high"), F.max("budget").alias("budget"), F.max("below").alias("below"), F.count(F.lit(1)).alias("rows")
     )
     upto = Window.partitionBy("asked").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.col("below") + F.coalesce(F.sum("words").over(upto), F.lit(0)))
     edge = cells.filter((F.col("before") <= F.col("budget")) & (F.col("before") + F.col("words") > F.col("budget")))
     alone = F.col("low") == F.col("high")
-    joins = F.col("before") + F.col("words") / 2.0 <= F.col("budget")
-    edge = edge.select(F.col("asked"), F.col("cell").alias("new_prefix"), F.col("before").alias("new_below"), F.when(alone, F.when(joins, F.col("low")).otherwise(F.col("low") - 1)).alias("new_cut"))
+    # of rows with one hash, which are equal, as many as come nearest to the budget
+    some = F.floor((F.col("budget") - F.col("before")) * F.col("rows") / F.col("words") + 0.5).cast("long")
+    edge = edge.withColumn("some", F.when(alone, some)).select(
+        F.col("asked"), F.col("cell").alias("new_prefix"), F.col("before").alias("new_below"), F.when(alone, F.when(F.col("some") >= F.col("rows"), F.col("low")).otherwise(F.col("low") - 1)).alias("new_cut"),
+        F.when((F.col("some") > 0) & (F.col("some") < F.col("rows")), F.col("low")).alias("new_at"), F.col("some").alias("new_some"),
+    )
     found = plan.join(edge, F.col("source").eqNullSafe(F.col("asked")), "left")
     return found.select(
         "source", "source_size", "target", "whole", "budget",
         F.coalesce("new_prefix", "prefix").alias("prefix"), F.coalesce("new_below", "below").alias("below"),
         F.when(F.col("open"), F.coalesce("new_cut", "cut")).otherwise(F.col("cut")).alias("cut"),
+        F.coalesce("new_at", "at").alias("at"), F.coalesce(F.when(F.col("new_at").isNotNull(), F.col("new_some")), "some").alias("some"),
         (F.col("open") & F.col("new_prefix").isNotNull() & F.col("new_cut").isNull()).alias("open"),
     )
 
@@ -99,8 +108,22 @@ def _with(rows: DataFrame, plan: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col(key)))
 
 
-def copies() -> Column:
-    return F.col("whole") + (F.col("hash") <= F.col("cut")).cast("long")
+def _with_copies(rows: DataFrame, plan: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (source, hash, ...) with their source's plan and ``copies``, how often each is taken."""
+    joined = _with(rows, plan.withColumnRenamed("source", "plan_source"), "plan_source")
+    times = F.col("whole") + (F.col("hash") <= F.col("cut")).cast("long")
+    if plan.filter("at IS NOT NULL").isEmpty():
+        return joined.withColumn("copies", times)
+    cut_through = F.coalesce(F.col("hash") == F.col("at"), F.lit(False))
+    # equal rows are numbered in the parts that they were written in, and the parts one after the other
+    edge = scratch.table(joined.filter(cut_through).withColumn("part", F.spark_partition_id()), "edge")
+    before = Window.partitionBy("edge_source").orderBy("edge_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = edge.groupBy(F.col("source").alias("edge_source"), F.col("part").alias("edge_part")).agg(F.count(F.lit(1)).alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = edge.join(parts.drop("n"), F.col("source").eqNullSafe(F.col("edge_source")) & (F.col("part") == F.col("edge_part")))
+    place = F.col("earlier") + F.row_number().over(Window.partitionBy("source", "part").orderBy("hash"))
+    placed = placed.withColumn("copies", F.col("whole") + (place <= F.col("some")).cast("long"))
+    rest = joined.filter(~cut_through).withColumn("copies", times)
+    return rest.unionByName(placed.select(*rest.columns))
 
 
 def measure(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -113,21 +136,17 @@ def mix_report(docs: DataFrame, weights: list[int] = (1, 2, 3), share: float = 1
     scratch = Scratch(docs.sparkSession, "mixing")
     measured = measure(docs, scratch)
     plan = thresholds(measured, scratch, list(weights), share, max_repeats)
-    joined = _with(measured, plan.withColumnRenamed("source", "plan_source"), "plan_source")
-    return joined.select("doc_id", "size", "source_size", "target", (copies() * F.col("size")).alias("taken"), "source", copies().alias("copies"))
+    joined = _with_copies(measured, plan, scratch)
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 def mix(docs: DataFrame, weights: list[int] = (1, 2, 3), share: float = 1.0, max_repeats: int = 3) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns and no others."""
     scratch = Scratch(docs.sparkSession, "mixing")
     plan = thresholds(measure(docs, scratch), scratch, list(weights), share, max_repeats)
-    plan = plan.select(F.col("source").alias("_plan_source"), F.struct("whole", "cut").alias("_plan"))
-    packed = docs.select(F.struct(*docs.columns).alias("_row"))  # so that no column of the input meets one of the plan's
-    small = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = packed.join(F.broadcast(plan) if small else plan, F.col("_row.source").eqNullSafe(F.col("_plan_source")))
-    times = F.col("_plan.whole") + (row_hash(F.col("_row.doc_id"), F.col("_row.text")) <= F.col("_plan.cut")).cast("long")
-    repeated = joined.select("_row", times.alias("_times")).filter(F.col("_times") > 0)
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select("_row.*")
+    packed = docs.select(F.struct(*all_columns(docs)).alias("row"), "source", row_hash(F.col("doc_id"), F.col("text")).alias("hash"))  # so that no column of the input meets one of the plan's
+    taken = _with_copies(packed, plan, scratch).filter("copies > 0").select("row", "copies")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op1_mix(spark, sf_dir):
@@ -154,15 +173,17 @@ WITH measured AS (
 ), asked AS (
   SELECT *, CAST(least(3, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END)) AS BIGINT) AS whole FROM plan
 ), groups AS (
-  SELECT source, hash, sum(size) AS words FROM measured GROUP BY source, hash
+  SELECT source, hash, sum(size) AS words, count(*) AS n FROM measured GROUP BY source, hash
 ), run AS (
   SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM groups
-), cuts AS (
-  SELECT a.source, max(r.hash) AS cut FROM asked a JOIN run r ON a.source IS NOT DISTINCT FROM r.source
-  WHERE a.whole < 3 AND r.before + r.words / 2.0 <= a.target - a.whole * a.source_size
-    AND (r.before + r.words <= a.target - a.whole * a.source_size OR r.before <= a.target - a.whole * a.source_size) GROUP BY a.source
+), edges AS (
+  SELECT a.source, r.hash, r.n, CASE WHEN r.before + r.words <= a.target - a.whole * a.source_size THEN r.n
+    ELSE CAST(floor((a.target - a.whole * a.source_size - r.before) * r.n / r.words + 0.5) AS BIGINT) END AS part
+  FROM asked a JOIN run r ON a.source IS NOT DISTINCT FROM r.source WHERE a.whole < 3 AND r.before <= a.target - a.whole * a.source_size
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source, hash) AS place FROM measured
 )
-SELECT m.doc_id, m.size, a.source_size, a.target, (a.whole + CASE WHEN m.hash <= c.cut THEN 1 ELSE 0 END) * m.size AS taken,
-       m.source, a.whole + CASE WHEN m.hash <= c.cut THEN 1 ELSE 0 END AS copies
-FROM measured m JOIN asked a ON m.source IS NOT DISTINCT FROM a.source LEFT JOIN cuts c ON m.source IS NOT DISTINCT FROM c.source
+SELECT m.doc_id, m.size, a.source_size, a.target, (a.whole + CASE WHEN m.place <= e.part THEN 1 ELSE 0 END) * m.size AS taken,
+       m.source, a.whole + CASE WHEN m.place <= e.part THEN 1 ELSE 0 END AS copies
+FROM placed m JOIN asked a ON m.source IS NOT DISTINCT FROM a.source LEFT JOIN edges e ON m.source IS NOT DISTINCT FROM e.source AND m.hash = e.hash
 """

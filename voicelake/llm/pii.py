@@ -427,8 +427,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of the text, overlapping ones as one, replaced by the kind of its first in brackets; null stays null."""
     fitted = model()
 
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text")
+    docs = docs.withColumn("text", F.col("text").cast("string")).toDF(*[f"c{k}" for k in range(len(names))])  # plain names for the time
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -443,7 +444,7 @@ def redact(docs: DataFrame) -> DataFrame:
             columns = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
 
 
 def op13_private(spark, sf_dir):

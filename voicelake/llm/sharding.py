@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voicelake.llm.scratch import Scratch
-from voicelake.llm.text import whole
+from voicelake.llm.text import all_columns, whole
 
 DIGIT, BITS = 12, 60
 ROWS_PER_CELL = 500_000
@@ -167,7 +167,7 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 16, group_share: fl
     bits = _cell_bits(rows.count(), n_shards)
     cuts = splitters(rows, n_shards, group_share)
     docs = docs.withColumnRenamed("shard", "shard_of_input")
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.struct(*[v.alias(k) for k, v in keys(F.col("doc_id"), whole(F.col("text"))).items()]).alias("_key"))
+    packed = docs.select(F.struct(*all_columns(docs)).alias("_row"), F.struct(*[v.alias(k) for k, v in keys(F.col("doc_id"), whole(F.col("text"))).items()]).alias("_key"))
     placed = packed.withColumn("shard", shard_column(cuts, {k: F.col(f"_key.{k}") for k in ("k1", "k2", "k3")}))
     dealt = placed.repartition("shard", F.shiftright("_key.k2", BITS - bits), F.shiftright("_key.k3", BITS - 3)).sortWithinPartitions("shard", "_key.k2")
     dealt.select("_row.*", "shard").write.partitionBy("shard").parquet(path)

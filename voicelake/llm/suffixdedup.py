@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from voicelake.llm.hashing import Ranges, mix
 from voicelake.llm.scratch import Scratch, matching
+from voicelake.llm.text import all_columns
 
 WINDOW, ANCHOR, CELL = 200, 50, 8
 #: Windows that are worked on at once; bounds a task's memory for texts of any length.
@@ -221,10 +222,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     cut = scratch.table(marks.join(cuts, "uid").select("_cut_id", "_cut_sha", "_cut_text").dropDuplicates(["_cut_id", "_cut_sha"]), "cut")
     for name in ("named", "covered", "cuts"):
         scratch.drop(name)
-    packed = docs.select(F.struct(*docs.columns).alias("_row"))
+    packed = docs.select(F.struct(*all_columns(docs)).alias("_row"))
     same = F.col("_row.doc_id").cast("bigint").eqNullSafe(F.col("_cut_id")) & (F.sha2(F.coalesce(F.col("_row.text").cast("string"), F.lit("")), 256) == F.col("_cut_sha"))
     joined = packed.join(cut, same, "left").filter("_cut_text IS NULL OR _cut_text <> ''")
-    own = {c: F.col(f"_row.`{c}`") for c in docs.columns}
+    own = {c: F.col("_row").getField(c) for c in docs.columns}
     own["text"] = F.coalesce("_cut_text", own["text"])
     if "n_chars" in own:
         own["n_chars"] = F.when(F.col("_cut_text").isNotNull(), F.char_length("_cut_text")).otherwise(own["n_chars"]).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but ASCII white space.
@@ -14,6 +14,11 @@ def whole(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def all_columns(docs: DataFrame) -> list[Column]:
+    """All columns of a table, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(whole(text), F.lit(WORD)).cast("long")
 
