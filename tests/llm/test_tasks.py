@@ -148,6 +148,34 @@ def test_near_duplicates(edge, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (8, "d e f"), (9, c), (10, ""), (10, a + " more"), (None, b)]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (7, 3, False), (8, 8, True), (9, 8, False), (10, 3, False), (None, None, True)}
+
+
+def test_hot_copies_and_bands(spark, monkeypatch):
+    """Copies and bands over the hot limit take the broadcast way and give the same rows."""
+    from voicelake.llm import scratch
+
+    monkeypatch.setattr(scratch, "HOT_LEAST", 5)
+    rng = random.Random(1)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(base)) for i in range(40)] + [(100 + i, " ".join(base[: 195 + i % 5] + [f"x{rng.randint(0, 99)}"])) for i in range(40)] + [(500 + i, f"own text {i} of its own") for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near(rows)
+
+
+def test_long_words_are_told_apart(spark):
+    """A Thue-Morse word and its complement, whose sums modulo 2 ** 64 are equal."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word + " tail"), (2, word.translate(str.maketrans("ab", "ba")) + " tail")]
+    assert {r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 2}
+
+
 def test_near_duplicate_family(spark):
     """A large family of edited copies around the limit, in several blocks."""
     rng = random.Random(2)
@@ -290,10 +318,12 @@ def test_warc(spark, tmp_path):
     derived = warc.derivatives(warc.responses(pages.unionByName(pages.limit(1))))
     warc.write_warc(derived, str(tmp_path / "w"))
     found = Counter()
-    for part in (tmp_path / "w").glob("part-*.gz"):
-        data = gzip.decompress(part.read_bytes())
-        while data:
-            head, rest = data.split(b"\r\n\r\n", 1)
+    for part in (tmp_path / "w").glob("part-*/records.warc.gz"):
+        data, index = part.read_bytes(), [json.loads(x) for x in (part.parent / "records.idx").read_text().splitlines()]
+        assert [x["offset"] for x in index] == [0, *itertools.accumulate(x["length"] for x in index)][:-1] and sum(x["length"] for x in index) == len(data)
+        for entry in index:  # each record is a member of its own
+            member = gzip.decompress(data[entry["offset"] : entry["offset"] + entry["length"]])
+            head, rest = member.split(b"\r\n\r\n", 1)
             lines = head.decode().split("\r\n")
             fields = dict(x.split(": ", 1) for x in lines[1:] if not x.startswith("WARC-Source-Header"))
             sent = [x.split(": ", 1)[1] for x in lines if x.startswith("WARC-Source-Header")]
@@ -301,7 +331,7 @@ def test_warc(spark, tmp_path):
             assert lines[0] == "WARC/1.0" and sent[:2] == ["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8"] and rest[size : size + 4] == b"\r\n\r\n"
             assert fields["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(rest[:size]).hexdigest()
             found[fields["WARC-Record-ID"], fields["WARC-Refers-To"], rest[:size].decode()] += 1
-            data = rest[size + 4 :]
+            assert len(rest) == size + 4 and entry["record_id"] == fields["WARC-Record-ID"]
     assert found == Counter((r["record_id"], r["refers_to"], r["block"]) for r in derived.collect())
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
     long = "<p>" + "word &amp; " * 50_000
@@ -309,3 +339,17 @@ def test_warc(spark, tmp_path):
     rows = warc.derivatives(warc.responses(own)).collect()
     assert {(r["made_up"], r["date"]) for r in rows} == {(False, "2024-05-01T00:00:00Z"), (True, warc.UNDATED)}
     assert {r["block_bytes"] for r in rows if r["kind"] == "conversion"} == {len("word & ") * 50_000 - 1}
+
+
+def test_captures_of_one_page_and_forged_headers(spark, tmp_path):
+    url = "http://a/\r\nWARC-Type: response\r\n\r\nx"
+    rows = [(1, url, "<p>one", "2024-05-01T00:00:00Z", "A: b\r\n\r\n"), (1, url, "<p>one", "2024-05-02T00:00:00Z", "A: b\rWARC-Type: c\r\n\r\n"), (1, url, "<p>two", "2024-05-01T00:00:00Z\nX: y", None)]
+    derived = warc.derivatives(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string, date string, headers string")))
+    got = derived.collect()
+    assert len({r["record_id"] for r in got}) == 6 and len({r["refers_to"] for r in got}) == 3
+    warc.write_warc(derived, str(tmp_path / "w"))
+    with pytest.raises(FileExistsError):
+        warc.write_warc(derived, str(tmp_path / "w"))
+    for part in (tmp_path / "w").glob("part-*/records.warc.gz"):
+        text = gzip.decompress(part.read_bytes()).decode()
+        assert len(re.findall(r"^WARC-Type: ", text, re.M)) == text.count("WARC/1.0\r\n") and "\nX: y" not in text

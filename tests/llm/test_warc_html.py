@@ -1,8 +1,12 @@
 """Titles, outlinks and text of pages against html.parser."""
 
+import random
 import re
+import time
 from html.parser import HTMLParser
 
+import pytest
+
 from voicelake.llm import warc
 
 PAGES = [
@@ -54,3 +58,40 @@ def test_pages_against_html_parser(spark):
 def test_reference_in_a_query_string_stays():
     """Browsers leave &copy= and &copyx in attributes; html.parser of this version does not."""
     assert warc.parsed('<a href="/?x=1&copy=2&copyx&amp;y">z</a>')[1] == ["/?x=1&copy=2&copyx&y"]
+
+
+OPEN = ["<x=", "<", "<!--", "<!", "</", "</a", "</a ", "if(a<b)", "<script>", "</script ", "<script", "<title>", "</title ", "<a href=\"", "<a href='>'", "<a b=\"'", "<x='>\">", "&", "&amp", "<a =", "<a href=x ", "<a\n", "=\"", "<x=\">\""]
+
+
+@pytest.mark.parametrize("part", OPEN)
+def test_open_pages_end(part):
+    """A megabyte of anything left open, alone and with an end far away."""
+    began = time.time()
+    for text in (part * (1_000_000 // len(part)), "<script>" + part * (1_000_000 // len(part)), part * (500_000 // len(part)) + ">" + part * (500_000 // len(part))):
+        warc.parsed(text)
+    assert time.time() - began < 15
+
+
+def test_a_page_that_ends_inside_a_script():
+    assert warc.parsed("<p>said</p><script>if (a < b && c > d) { x = '<p>") == ("", [], "said")
+    assert warc.parsed("<p>said <b") == ("", [], "said <b")
+
+
+def plain_tag(html, at):
+    """Tags by the pattern in words: a comment, a name with attributes whose quoted values may hold >, or a declaration."""
+    pattern = r"<!--.*?-->|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)>|<(?:[!?]|/(?!>))[^>]*>|</>"
+    m = re.compile(pattern, re.S).search(html, at)
+    return m and (m.start(), m.end(), bool(m[1]) and bool(m[2]), (m[2] or "").lower(), m[3] or "")
+
+
+def test_tags_against_a_pattern():
+    rng = random.Random(6)
+    for _ in range(30_000):
+        html = "".join(rng.choice(["<", "</", ">", "=", " ", '"', "'", "a", "br", "<!--", "-->", "!", "/", "\n", "?"]) for _ in range(rng.randint(1, 14)))
+        tags, at = warc.Tags(html), 0
+        while True:
+            got, want = tags.following(at), plain_tag(html, at)
+            assert (got and got[:2]) == (want and want[:2]) and (not got or got[3:] == want[3:]), (html, got, want)
+            if not got:
+                break
+            at = got[1]

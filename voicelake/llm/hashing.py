@@ -3,11 +3,15 @@
 A range of bytes is hashed as a polynomial over random 64-bit byte values,
 modulo 2**64; with sums over prefixes any range costs two look-ups. A final
 mix spreads the bits. Two such hashes of other values and bases (``salt`` 0
-and 1) make a name of 128 bits.
+and 1) make a name of 128 bits. Sums modulo 2**64 do not tell all strings of
+more than a thousand bytes apart, so words of LONG bytes and more take a
+cryptographic hash.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _RNG = np.random.RandomState(20240229)
@@ -17,6 +21,7 @@ IS_BLANK = np.zeros(256, dtype=bool)
 IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that are hashed at once where a text can be cut at blanks.
 BLOCK = 1 << 20
+LONG = 64
 
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
@@ -68,6 +73,10 @@ def word_hashes(data: bytes) -> np.ndarray:
         inside[0] = inside[-1] = 0
         inside[1:-1] = ~IS_BLANK[block]
         edges = np.flatnonzero(np.diff(inside))
-        out.append(Ranges(block).hashes(edges[::2], edges[1::2]))
+        start, stop = edges[::2], edges[1::2]
+        found = Ranges(block).hashes(start, stop)
+        for k in np.flatnonzero(stop - start >= LONG):
+            found[k] = int.from_bytes(hashlib.blake2b(block[start[k] : stop[k]].tobytes(), digest_size=8).digest(), "little")
+        out.append(found)
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)

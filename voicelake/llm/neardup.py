@@ -24,7 +24,8 @@ has two members; at ``LEAST_ESTIMATE`` it lost none of 300,000 simulated pairs
 at similarity 0.8 (at 0.64, six).
 
 Defined results: empty sets link with nothing; a null id links with nothing,
-has no component and is kept; rows with one id are one node; an empty table
+has no component and is kept; rows with one id are one node, whatever their
+texts; an empty table
 gives an empty result; only doc_id and text are read.
 """
 
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from voicelake.llm.components import components
 from voicelake.llm.hashing import mix, word_hashes
-from voicelake.llm.scratch import Scratch, matching
+from voicelake.llm.scratch import Scratch, hot_keys, look_up, matching
 
 BANDS, ROWS, BITS = 32, 5, 512
 SAMPLES = BANDS * ROWS
@@ -217,15 +218,23 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, width: int
     scratch = scratch or Scratch(docs.sparkSession, "neardup")
     signed = scratch.table(_narrow(docs).mapInArrow(lambda batches: _sign(batches, width), "doc_id long, n_shingles long, f1 long, f2 long, bands array<bigint>, sketch array<bigint>"), "signed")
     some = signed.filter("doc_id IS NOT NULL AND f1 IS NOT NULL")
-    owners = scratch.table(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id")), "owners")
+    owners = scratch.table(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "owners")
+    copied, owners = hot_keys(owners, "copies", signed.count()).select("f1", "f2"), owners.drop("copies")
     own = some.join(owners.withColumnRenamed("id", "doc_id"), ["f1", "f2", "doc_id"], "left_semi")
     classes = scratch.table(own.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands"), "classes")
 
     members = classes.select("id", "n", F.explode("bands").alias("key"))
-    heads = scratch.table(members.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").select("key", "head"), "heads")
-    shared = scratch.table(members.join(heads, "key"), "shared")
+    heads = members.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count(F.lit(1)).alias("k")).filter("head < last")
+    heads = scratch.table(heads.select("key", "head", "k"), "heads")
+    crowded = hot_keys(heads, "k", BANDS * classes.count())
+    shared = scratch.table(look_up(members, heads.drop("k"), ["key"], crowded).filter("head IS NOT NULL").select("key", "id", "n", "head"), "shared")
     first = shared.filter("id <> head").select(F.col("head").alias("one"), F.col("id").alias("two")).distinct()
     links = _confirmed(first, docs, classes, scratch, "first", width)
+    # an id with several texts ties their classes
+    of_id = F.struct("f1", "f2")
+    several = some.groupBy("doc_id").agg(F.min(of_id).alias("low"), F.max(of_id).alias("high")).filter("low <> high").select("doc_id")
+    ties = some.select("doc_id", "f1", "f2").join(scratch.table(several, "several"), "doc_id").join(owners, ["f1", "f2"]).select(F.col("doc_id").alias("one"), F.col("id").alias("two"))
+    links = scratch.table(links.unionByName(ties.filter("one <> two")), "all-links")
     found = components(links, scratch, "first")
 
     more = _between_components(shared, found, docs, scratch, width)
@@ -233,8 +242,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, width: int
         found = components(links.unionByName(more), scratch, "all")
 
     labels = scratch.table(owners.join(found, F.col("id") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "id").alias("component")), "labels")
-    of_class = signed.filter("f1 IS NOT NULL").select("doc_id", "n_shingles", "f1", "f2").join(labels, ["f1", "f2"], "left").select("doc_id", "n_shingles", "component")
-    empty = signed.filter("f1 IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component"))  # kept out of the join, where they were one key
+    rows = signed.filter("f1 IS NOT NULL").select("doc_id", "n_shingles", "f1", "f2")
+    of_class = look_up(rows, labels, ["f1", "f2"], copied).select("doc_id", "n_shingles", "component")
+    # kept out of the join, where they were one key; an id with another text has that text's component
+    empty = signed.filter("f1 IS NULL").select("doc_id", "n_shingles")
+    elsewhere = of_class.join(empty.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("component"))
+    empty = empty.join(elsewhere, "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return of_class.unionByName(empty).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

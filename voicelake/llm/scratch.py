@@ -63,3 +63,21 @@ def matching(wide: DataFrame, few: DataFrame, key: str, scratch: Scratch) -> Dat
     if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         wide = wide.join(F.broadcast(keys), F.col(key) == F.col("_key"), "left_semi")
     return wide.join(few, key)
+
+
+#: Keys with more than one in so many rows are hot; fewer than that many keys can be.
+HOT_PARTS, HOT_LEAST = 100_000, 1000
+
+
+def hot_keys(counts: DataFrame, n: str, rows: int) -> DataFrame:
+    """The keys of ``counts`` with so many of ``rows`` rows that under HOT_PARTS keys can have as many."""
+    return counts.filter(F.col(n) > max(HOT_LEAST, rows // HOT_PARTS))
+
+
+def look_up(many: DataFrame, few: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """``many`` with the columns of ``few`` (a row a key) or nulls; hot keys are answered by broadcast, so that none meets in one task."""
+    keys = [c for c in few.columns if c not in on]
+    answered = few.join(F.broadcast(hot.select(*on)), on, "left_semi").select(*on, F.struct(*keys).alias("_found"))
+    marked = many.join(F.broadcast(answered), on, "left")
+    rest = marked.filter("_found IS NULL").drop("_found").join(few, on, "left")
+    return rest.unionByName(marked.filter("_found IS NOT NULL").select(*many.columns, "_found.*").select(*rest.columns))
