@@ -49,7 +49,7 @@ def write_files(df: DataFrame, path: str, write: Callable[[Iterator[pa.RecordBat
                 if not made:
                     system.create_dir(place)
                 made.append(name)
-                return system.open_output_stream(f"{place}/{name}")
+                return system.open_output_stream(f"{place}/{name}", compression=None)
 
             write(batches, create)
             return Written(place if made else "", own)
