@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 
 @dataclass(frozen=True)
@@ -165,63 +166,116 @@ def segment_utterances(levels: DataFrame, cfg: SegmentConfig, keys: list[str], o
     return numbered.select(*keys, "utterance_id", *columns[len(keys) :])
 
 
-#: Early frames or chunks that a stream holds; beyond it the missing ones count as lost.
-MOST_HELD = 1000
+class _Segmenter(StatefulProcessor):
+    """One key's machine, and a map of the rows that came before their turn.
 
+    The map lives in the state store, a number an entry, so a batch touches the rows that it brings and those that it
+    sets free, however many are held.
+    """
 
-def segment_stream(rows: DataFrame, cfg: SegmentConfig, key: str = "stream_id", order: str = "frame_idx", value: str = "rms", frame: int | None = None, idle_ms: int | None = None):
-    """The machine over a stream of (key, order, value), in the order of its numbers from 0, whatever batch a row comes in.
+    def __init__(self, cfg: SegmentConfig, keys: list[str], order: str, value: str, frame: int | None, idle_ms: int | None, first: int | str):
+        self.cfg, self.keys, self.order, self.value, self.frame, self.idle_ms, self.first = cfg, keys, order, value, frame, idle_ms, first
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("machine", "first long, idle long, voiced long, quiet long, count long, at long, due long, late long, held long, residual array<double>")
+        self.held = handle.getMapState("held", "number long", "item array<double>")
+
+    def _load(self, first: int) -> tuple:
+        if self.state.exists():
+            *machine, at, due, late, held, residual = self.state.get()
+            return Machine(self.cfg, tuple(machine)), at, due, late, held, list(residual)
+        return Machine(self.cfg), first if self.frame is None else 0, first, 0, 0, []
+
+    def _take(self, machine: Machine, at: int, residual: list, item, found: list) -> tuple[int, list]:
+        levels = item
+        if self.frame is not None:
+            samples = np.concatenate((residual, item))
+            whole = len(samples) // self.frame
+            levels = np.sqrt(np.mean(samples[: whole * self.frame].reshape(whole, self.frame) ** 2, axis=1)) if whole else []
+            residual = samples[whole * self.frame :].tolist()
+        for level in levels:
+            found.append(machine.push(at, float(level)))
+            at += 1
+        return at, residual
+
+    def _frame_of(self, key: tuple, found: list, late: int) -> pd.DataFrame:
+        return pd.DataFrame([[*key, *x, late] for x in found if x], columns=[*self.keys, *_row_fields(), "late"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Takes what is due in order; what is early is held, what has passed or is held already counts as late."""
+        pending, found, loaded = {}, [], None
+        for batch in rows:
+            if loaded is None and len(batch):
+                loaded = self._load(self.first if isinstance(self.first, int) else int(batch[self.first].iloc[0]))
+                machine, at, due, late, held, residual = loaded
+            for number, item in zip(batch[self.order].tolist(), batch[self.value], strict=True):
+                if number < due or number in pending or (held and self.held.containsKey((number,))):
+                    late += 1
+                else:
+                    pending[number] = [float(item)] if self.frame is None else np.asarray(item, float)
+        if loaded is None:
+            return
+        while True:
+            if due in pending:
+                item = pending.pop(due)
+            elif held and self.held.containsKey((due,)):
+                item, held = self.held.getValue((due,))[0], held - 1
+                self.held.removeKey((due,))
+            else:
+                break
+            at, residual = self._take(machine, at, residual, item, found)
+            due += 1
+        for number, item in pending.items():
+            self.held.updateValue((number,), ([float(x) for x in item],))
+        self.state.update((*machine.state(), at, due, late, held + len(pending), residual))
+        if self.idle_ms:
+            self._wait(timerValues)
+        yield self._frame_of(key, found, late)
+
+    def _wait(self, timers) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The stream is silent: what is held follows without the missing rows, and the open utterance ends."""
+        machine, at, due, late, held, residual = self._load(0)
+        found = []
+        for number, item in sorted((k[0], v[0]) for k, v in self.held.iterator()) if held else ():
+            at, residual = self._take(machine, at, residual, item, found)
+            due = number + 1
+        if held:
+            self.held.clear()
+        found.append(machine.flush(at - 1))
+        self.state.update((*machine.state(), at, due, late, 0, residual))
+        yield self._frame_of(key, found, late)
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_states(spark: SparkSession) -> None:
+    """Keyed state with maps and timers needs the RocksDB store, which is set where no other than Spark's default is."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBackedStateStoreProvider" in spark.conf.get(name, "HDFSBackedStateStoreProvider"):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def segment_stream(rows: DataFrame, cfg: SegmentConfig, key: str | list[str] = "stream_id", order: str = "frame_idx", value: str = "rms", frame: int | None = None, idle_ms: int | None = None, first: int | str = 0):
+    """The machine over a stream of (key, order, value), in the order of its numbers, whatever batch a row comes in.
 
     A value is a frame's level, or with ``frame`` a chunk of samples of any length, whose rest waits for the next chunk.
-    Early rows are held; a number that has passed, or is held, is late or a copy and dropped. The tail waits, or with
-    ``idle_ms`` is flushed when its stream has been silent so long (``late`` counts the rows dropped so far).
+    Numbers begin with ``first``, or with what the column of that name says. Early rows are held, as many as there are; a
+    number that has passed, or is held, is late or a copy and dropped (``late`` counts those so far). A missing row holds
+    back all that follow: for ever, or with ``idle_ms`` until its stream has been silent so long, when all held rows are
+    taken and the tail is flushed.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(group_key, batches, state):
-        first, idle, voiced, quiet, count, at, due, late, rest = state.get if state.exists else (-1, 0, 0, 0, 0, 0, 0, 0, "{}")
-        machine, waiting = Machine(cfg, (first, idle, voiced, quiet, count)), json.loads(rest)
-        held, residual, found = {int(k): v for k, v in waiting.get("held", {}).items()}, waiting.get("residual", []), []
-
-        def take(item) -> None:
-            nonlocal at, residual
-            if frame is None:
-                levels = [item]
-            else:
-                samples = np.concatenate((residual, item))
-                whole = len(samples) // frame
-                levels = np.sqrt(np.mean(samples[: whole * frame].reshape(whole, frame) ** 2, axis=1)) if whole else []
-                residual = samples[whole * frame :].tolist()
-            for level in levels:
-                found.append(machine.push(at, float(level)))
-                at += 1
-
-        def drain(force: bool) -> None:
-            nonlocal due
-            while held and (due in held or force or len(held) > MOST_HELD):
-                due = due if due in held else min(held)
-                take(held.pop(due))
-                due += 1
-
-        if state.hasTimedOut:
-            drain(True)
-            found.append(machine.flush(at - 1))
-        else:
-            for batch in batches:
-                for number, item in zip(batch[order], batch[value], strict=True):
-                    if number < due or number in held:
-                        late += 1
-                    else:
-                        held[int(number)] = float(item) if frame is None else [float(x) for x in item]
-            drain(False)
-        state.update((*machine.state(), at, due, late, json.dumps({"held": held, "residual": residual})))
-        if idle_ms and not state.hasTimedOut:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame([[group_key[0], *x, late] for x in found if x], columns=[key, *_row_fields(), "late"])
-
-    kept = "first long, idle long, voiced long, quiet long, count long, at long, due long, late long, rest string"
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {dict(rows.dtypes)[key]}, {OUT}, late long", kept, "append", timeout)
+    keyed_states(rows.sparkSession)
+    keys, kinds = [key] if isinstance(key, str) else list(key), dict(rows.dtypes)
+    processor = _Segmenter(cfg, keys, order, value, frame, idle_ms, first)
+    schema = f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, {OUT}, late long"
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 def gather(utterances: DataFrame, chunks: DataFrame, key: str, block: int = 256) -> DataFrame:

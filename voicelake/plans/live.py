@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from voicelake.operators.inference import translate_cascade
 from voicelake.operators.segment import segment_stream
 from voicelake.plans.registry import query, table
-from voicelake.plans.segments import CFG, SEGMENTS, levels
+from voicelake.plans.segments import CFG, LEVELS, SEGMENTS, levels, machine_sql
 from voicelake.plans.transcripts import CLAUSES
+from voicelake.sources.tables import read_chunk_stream
 from voicelake.streaming import live
 from voicelake.workspace import fresh
 
@@ -63,12 +64,59 @@ def stream_segments(spark, sf_dir):
     return _run(segment_stream(source, CFG), "append")
 
 
-@query()
+_LONG = "levels AS (SELECT user_id % 4 AS stream_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) - 1 AS frame_idx, value AS rms FROM events)"
+
+
+@query(f"WITH {_LONG}, {machine_sql('stream_id', 'levels', '60', '30', '3', '2', '2')} SELECT *, 0::BIGINT AS late FROM utterances WHERE NOT forced_cutoff")
+def stream_long_segments(spark, sf_dir):
+    """Four streams of all events; the odd frames come first, and the even ones set them free."""
+    place, order = fresh(spark, "levels"), Window.partitionBy("stream_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("stream_id"), "ts", "event_id", F.col("value").alias("rms"))
+    rows = rows.withColumn("frame_idx", (F.row_number().over(order) - 1).cast("long")).select("stream_id", "frame_idx", "rms")
+    for odd in (1, 0):
+        rows.filter(F.col("frame_idx") % 2 == odd).coalesce(1).write.mode("append").parquet(place)
+    source = spark.readStream.schema("stream_id long, frame_idx long, rms double").option("maxFilesPerTrigger", 1).parquet(place)
+    return _run(segment_stream(source, CFG), "append")
+
+
+_LEGS = f"""WITH {LEVELS}, legs AS (SELECT stream_id, 'outgoing' AS direction, frame_idx, rms FROM levels UNION ALL SELECT stream_id, 'incoming', frame_idx, 100 - rms FROM levels),
+{machine_sql('direction, stream_id', 'legs', '60', '30', '3', '2', '2')}"""
+
+
+@query(_LEGS + """ SELECT stream_id, direction, CASE direction WHEN 'outgoing' THEN 'pt' ELSE 'en' END AS source, CASE direction WHEN 'outgoing' THEN 'en' ELSE 'pt' END AS target,
+utterance_id, start_frame, end_frame, voiced_frames FROM utterances WHERE NOT forced_cutoff""")
+def stream_legs(spark, sf_dir):
+    """Both legs of every call in one job, languages swapped, from files of chunks to committed batches."""
+    place, out = fresh(spark, "legs"), fresh(spark, "translations")
+    rows = levels(spark, sf_dir).select("stream_id", "frame_idx", "rms")
+    both = rows.withColumn("direction", F.lit("outgoing")).unionByName(rows.withColumns({"rms": 100 - F.col("rms"), "direction": F.lit("incoming")}))
+    both.repartition(3, F.xxhash64("stream_id", "frame_idx")).write.parquet(place)
+    chunks = read_chunk_stream(spark, place, "stream_id long, frame_idx long, rms double, direction string", 1)
+    languages = lambda df: df.withColumns({"source": F.when(F.col("direction") == "outgoing", "pt").otherwise("en"), "target": F.when(F.col("direction") == "outgoing", "en").otherwise("pt")})
+    found = live.stream_pipeline(chunks, CFG, stage=languages)
+    live.write_translations(found, out, f"{out}-state").awaitTermination()
+    return live.read_translations(spark, out, found.schema).select("stream_id", "direction", "source", "target", "utterance_id", "start_frame", "end_frame", "voiced_frames")
+
+
+@query("""SELECT o_orderkey AS request_id, strftime(o_orderdate, '%Y-%m-%d') AS sent, strftime(min(l_shipdate), '%Y-%m-%d') AS answered, CASE WHEN min(l_shipdate) IS NULL THEN 'timeout' ELSE 'ok' END AS status
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY GROUP BY o_orderkey, o_orderdate""")
 def stream_timeouts(spark, sf_dir):
-    """Orders with the first shipments inside 30 days, as a stream-stream join."""
-    sent = _stream(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").cast("timestamp").alias("sent"))
-    got = _stream(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_shipdate").cast("timestamp").alias("answered"))
-    return _run(live.correlate_stream(sent, got, "INTERVAL 30 DAYS", "1 day"), "append")
+    """Orders with the first shipment inside 30 days, a row each, from messages in three spans of time and a last tick."""
+    place, day = fresh(spark, "messages"), 86_400_000
+    sent = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.lit("sent").alias("kind"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    got = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.lit("answered").alias("kind"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    messages = sent.unionByName(got)
+    low, high = messages.agg(F.min("at"), F.max("at")).first()
+    third = (high - low) / 3
+    for k in range(3):
+        part = messages.filter((F.col("at") >= F.lit(low + k * third)) & ((F.col("at") < F.lit(low + (k + 1) * third)) if k < 2 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(place)
+    tick = spark.range(1).select(F.lit(None).cast("long").alias("request_id"), F.lit("tick").alias("kind"), (F.lit(high) + F.expr("INTERVAL 100 DAYS")).alias("at"))
+    tick.coalesce(1).write.mode("append").parquet(place)
+    source = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(place)
+    done = _run(live.correlate_stream(source, 30 * day, day), "append")
+    dated = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return done.select("request_id", dated("sent"), dated("answered"), "status")
 
 
 LEXICON = {"the": "o", "and": "e", "with": "com"}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import json
+import time
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
-from voicelake.operators.segment import SegmentConfig, segment_stream
+from voicelake.operators.segment import SegmentConfig, keyed_states, segment_stream
 
 
 def slo_windows(events: DataFrame, at: str = "ts", width: str = "1 minute", late: str = "2 minutes") -> DataFrame:
@@ -24,11 +27,64 @@ def dedupe_chunks(chunks: DataFrame, keys: list[str], at: str, late: str) -> Dat
     return chunks.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def correlate_stream(sent: DataFrame, got: DataFrame, deadline: str, late: str) -> DataFrame:
-    """Requests with the answers inside their deadline; those without one come out empty once the watermark has passed."""
-    s, g = sent.withWatermark("sent", late).alias("s"), got.withWatermark("answered", late).alias("g")
-    inside = F.expr(f"s.request_id = g.request_id AND g.answered BETWEEN s.sent AND s.sent + {deadline}")
-    return s.join(g, inside, "leftOuter").select("s.request_id", "s.sent", "g.answered", F.when(F.col("g.answered").isNull(), "timeout").otherwise("ok").alias("status"))
+class _Deadlines(StatefulProcessor):
+    """A request's time, and its first answer inside the deadline; an event-time timer gives one row and forgets both."""
+
+    def __init__(self, key: str, deadline_ms: int, late_ms: int):
+        self.key, self.deadline, self.late = key, deadline_ms, late_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("request", "sent long, answered long, early array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None or pd.isna(key[0]):
+            return  # ticks only move the watermark
+        known = self.state.exists()
+        sent, answered, early = self.state.get() if known else (None, None, [])
+        before, early = sent, list(early or [])
+        for batch in rows:
+            for kind, at in zip(batch["kind"], batch["at_ms"].tolist(), strict=True):
+                if kind == "sent":
+                    sent = at if sent is None else min(sent, at)
+                else:
+                    early.append(at)
+        if sent is not None:
+            inside = [a for a in early if sent <= a <= sent + self.deadline]
+            answered = min([*inside, *([answered] if answered is not None else [])], default=None)
+            early = []
+            if sent != before:
+                for timer in list(self.handle.listTimers()) if known else ():
+                    self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+                self.handle.registerTimer(sent + self.deadline + 1)
+        elif not known:
+            # an answer before its request waits for it as long as rows may be late
+            self.handle.registerTimer(min(early) + self.late + 1)
+        self.state.update((sent, answered, early))
+        yield pd.DataFrame(columns=[self.key, "sent", "answered", "status"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        sent, answered, _ = self.state.get()
+        self.state.clear()
+        rows = [] if sent is None else [[key[0], sent, answered, "timeout" if answered is None else "ok"]]
+        yield pd.DataFrame(rows, columns=[self.key, "sent", "answered", "status"]).astype({"sent": "Int64", "answered": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def correlate_stream(messages: DataFrame, deadline_ms: int, late_ms: int, key: str = "request_id") -> DataFrame:
+    """(key, kind sent or answered, at) -> one row a request: sent, the first answer inside its deadline, ok or timeout.
+
+    A row comes when the watermark, ``late_ms`` behind the newest row, has passed the deadline: no earlier answer can come
+    then, later ones are ignored, and the state is gone. A row with a null key is a tick: it belongs to no request and only
+    moves the watermark, so a source that ends closes its last requests by a tick. An answer without a request gives no row.
+    """
+    keyed_states(messages.sparkSession)
+    rows = messages.withWatermark("at", f"{late_ms} milliseconds").select(key, "kind", "at", F.unix_millis("at").alias("at_ms"))
+    schema = f"{key} {dict(messages.dtypes)[key]}, sent long, answered long, status string"
+    found = rows.groupBy(key).transformWithStateInPandas(_Deadlines(key, deadline_ms, late_ms), schema, "Append", "EventTime")
+    return found.select(key, F.timestamp_millis("sent").alias("sent"), F.timestamp_millis("answered").alias("answered"), "status")
 
 
 def commit_partials(parts: DataFrame, key: str) -> DataFrame:
@@ -41,15 +97,79 @@ def live_metrics(transfers: DataFrame, by: list[str]) -> DataFrame:
     return transfers.groupBy(*by).agg(F.sum("requested").alias("received"), F.sum("moved").alias("emitted"), F.count_if(F.col("moved") == 0).alias("underruns"))
 
 
-def late_rows(query) -> int:
-    """Rows that came after the watermark and were dropped, as a stream's latest progress reports count them."""
-    return sum(operator["numRowsDroppedByWatermark"] for progress in query.recentProgress for operator in json.loads(progress.json)["stateOperators"])
+class RunCounters(StreamingQueryListener):
+    """Adds up, over the life of a session's queries, the rows dropped as late and the counts that ``counted`` observes.
+
+    A progress report is heard once, also where a query makes more of them than it keeps.
+    """
+
+    def __init__(self):
+        self.late: dict[str, int] = {}
+        self.counts: dict[str, dict[str, int]] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.late.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:
+        progress, run = event.progress, str(event.progress.runId)
+        self.late[run] = self.late.get(run, 0) + sum(operator.numRowsDroppedByWatermark for operator in progress.stateOperators)
+        totals = self.counts.setdefault(run, {})
+        for row in progress.observedMetrics.values():
+            for name, value in row.asDict().items():
+                totals[name] = totals.get(name, 0) + (value or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+    def of(self, query, seconds: float = 30) -> tuple[int, dict[str, int]]:
+        """Late rows and counts of a query's run; of one that has ended, after its last report."""
+        until = time.time() + seconds
+        while not query.isActive and str(query.runId) not in self.ended and time.time() < until:
+            time.sleep(0.05)
+        return self.late.get(str(query.runId), 0), self.counts.get(str(query.runId), {})
+
+
+def run_counters(spark: SparkSession) -> RunCounters:
+    """A listener of the session's queries that start from now on; ``spark.streams.removeListener`` ends it."""
+    found = RunCounters()
+    spark.streams.addListener(found)
+    return found
 
 
-def stream_pipeline(chunks: DataFrame, cfg: SegmentConfig, direction: str, frame: int | None = None, order: str = "frame_idx", value: str = "rms", stage=None, idle_ms: int | None = None) -> DataFrame:
-    """A call's leg: levels or chunks of samples -> utterances -> an optional DataFrame stage (models), marked with the leg's direction.
+def counted(transfers: DataFrame, name: str = "transfers") -> DataFrame:
+    """The transfers as they are, with received, emitted and underruns observed as they pass."""
+    sums = [F.sum(c).alias(out) for c, out in (("requested", "received"), ("moved", "emitted"))]
+    return transfers.observe(name, *sums, F.count_if(F.col("moved") == 0).alias("underruns"))
 
-    A stage that is made of ``apply_engine`` turns failures into error rows, so an utterance is skipped and the stream goes on.
+
+def stream_pipeline(chunks: DataFrame, cfg: SegmentConfig, direction: str | None = None, frame: int | None = None, order: str = "frame_idx", value: str = "rms", stage=None, idle_ms: int | None = None, first: int | str = 0) -> DataFrame:
+    """A call's legs: levels or chunks of samples -> utterances -> an optional DataFrame stage (models), a leg's rows marked with its direction.
+
+    Without ``direction`` the chunks carry it as a column, and each direction of a stream is a leg of its own. A stage that
+    is made of ``apply_engine`` turns failures into error rows, so an utterance is skipped and the stream goes on.
     """
-    found = segment_stream(chunks, cfg, order=order, value=value, frame=frame, idle_ms=idle_ms).withColumn("direction", F.lit(direction))
+    keys = ["stream_id"] if direction else ["stream_id", "direction"]
+    found = segment_stream(chunks, cfg, keys, order=order, value=value, frame=frame, idle_ms=idle_ms, first=first)
+    found = found.withColumn("direction", F.lit(direction)) if direction else found
     return stage(found) if stage else found
+
+
+def write_translations(found: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Starts a query that commits each batch of both directions once below ``path``/batch_id=N/direction=D.
+
+    A batch that was written but not committed to the checkpoint is replayed under its number and replaces its own files.
+    """
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("direction").parquet(f"{path}/batch_id={batch_id}")
+
+    return found.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_translations(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All committed rows, each once; the folders' batch number and direction are columns."""
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
