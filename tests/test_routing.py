@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from voicelake.operators import routing
 
 ENGINE = "id string, state string, capabilities array<string>, pairs array<struct<source:string,target:string>>, stt_languages array<string>, tts_languages array<string>"
@@ -54,3 +56,17 @@ def test_dead_letters(spark):
     good, dead = routing.tagged_messages(spark.createDataFrame(rows, "n int, header string"), "header", "code string")
     assert [(r["n"], r["message"]["code"]) for r in good.collect()] == [(1, "x")]
     assert {r["n"]: r["reason"] for r in dead.collect()} == {2: "unparsed", 3: "untyped", 4: "unknown type", 5: "unparsed"}
+
+
+def test_demand_gate_across_spans(spark):
+    """Against the latest callback by brute force: callbacks in the same span, the one before, further back, after, at the same time, and none."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 1, 1, 2, None]), k, rng.randint(0, 40) * 100) for k in range(300)]
+    stamp = F.timestamp_millis(F.col("ms") + 1_700_000_000_000)
+    both = spark.createDataFrame(rows, "stream long, id long, ms long").withColumn("ts", stamp)
+    transfers, callbacks = both.filter("id % 2 = 0").withColumn("_span", F.lit("own")), both.filter("id % 2 = 1 AND id % 3 = 0")
+    got = {r["id"]: r["counts"] for r in routing.demand_gate(transfers.drop("_span"), callbacks, ["stream"], "ts", 250).collect()}
+    calls = [(s, ms) for s, k, ms in rows if k % 2 == 1 and k % 3 == 0]
+    assert got == {k: any(s == c and s is not None and 0 <= ms - at <= 250 for c, at in calls) for s, k, ms in rows if k % 2 == 0 and s is not None} | {k: got[k] for s, k, _ in rows if k % 2 == 0 and s is None}

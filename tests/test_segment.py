@@ -57,3 +57,33 @@ def test_stream_equals_batch(spark):
 def test_empty(spark):
     assert segment_utterances(frames(spark, []), SegmentConfig(), ["stream_id"]).count() == 0
     assert np.isfinite(SegmentConfig().start)
+
+
+def test_sweep_is_one_exchange_of_levels(spark):
+    """Each configuration as by itself; the plan's exchange does not depend on the number of configurations."""
+    import random
+
+    from voicelake.operators.segment import sweep_segmentation
+
+    rng = random.Random(7)
+    rows = [(s, k, rng.choice([0.0, 0.005, 0.01, 0.02])) for s in (1, 2, None) for k in range(200)]
+    df = spark.createDataFrame(rows, "stream long, frame_idx long, rms double").repartition(3)
+    configs = {k: SegmentConfig(0.015, 0.008, k % 3, 1 + k, 1 + k % 4, 9 if k % 2 else None) for k in range(5)}
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        found = sweep_segmentation(df, configs, ["stream"])
+        got = sorted(map(str, found.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    want = []
+    for cfg_id, cfg in configs.items():
+        for s in (1, 2, None):
+            machine = Machine(cfg)
+            found_here = [x for _, k, level in [r for r in rows if r[0] == s] if (x := machine.push(k, level))]
+            if last := machine.flush(199):
+                found_here.append(last)
+            want += [(cfg_id, s, *x) for x in found_here]
+    assert got == sorted(map(str, spark.createDataFrame(want, found.schema).collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Generate" not in plan

@@ -1,6 +1,6 @@
 """Sample conversions as array expressions."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCALE = {"i16": 32768.0, "i24": 8388608.0, "i32": 2147483648.0}
@@ -62,3 +62,12 @@ def resample_linear(samples: Column, source: int, target: int) -> Column:
         return one + (two - one) * (position - low)
 
     return F.when(n > 1, F.transform(F.sequence(F.lit(0), m - 1), at)).otherwise(F.transform(samples, lambda x: x.cast("double")))
+
+
+def format_totals(recordings: DataFrame, by: list[str], targets: list[tuple[int, int, int]]) -> DataFrame:
+    """(by, frames, rate) -> a row a target format (rate, channels, bytes a sample): all its frames, rounded up a recording, and bytes."""
+    formats = F.explode(F.array(*[F.struct(F.lit(r).alias("target_rate"), F.lit(c).alias("target_channels"), F.lit(b).alias("sample_bytes")) for r, c, b in targets]))
+    target = recordings.withColumn("_t", formats).select(*by, "frames", "rate", "_t.*")
+    out = F.expr("(frames * CAST(target_rate AS BIGINT) + rate - 1) div rate")
+    sums = target.withColumn("out", out).groupBy(*by, "target_rate", "target_channels", "sample_bytes").agg(F.sum("out").alias("frames"))
+    return sums.withColumn("bytes", F.col("frames") * F.col("target_channels") * F.col("sample_bytes"))

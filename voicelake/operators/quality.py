@@ -76,6 +76,12 @@ def privacy_projection(df: DataFrame, sensitive: set[str], include: bool = False
     return df if include else df.drop(*(sensitive | tagged))
 
 
+def joined_text(df: DataFrame, by: list[str], order: list[str], text: str = "text") -> DataFrame:
+    """The texts of a group, in order and joined by blanks, for reports that were asked to show them; nulls are left out."""
+    rows = F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(*order, text))))
+    return df.groupBy(*by).agg(F.array_join(F.transform(rows, lambda x: x[text]), " ").alias(text))
+
+
 def drop_empty_transcripts(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """(kept, skipped): blank transcripts are skipped, not failed."""
     blank = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voicelake.functions import pcm
@@ -30,36 +29,43 @@ def resample_block(samples: np.ndarray, first: int, out_first: int, out_count: i
     return (values * weight).sum(axis=1).astype(np.float32)
 
 
-def resample_bandlimited(chunks: DataFrame, key: str, source: int, target: int) -> DataFrame:
-    """(key, start_frame, samples) at one rate -> the same at another; ceil(n target / source) samples in all.
+#: Frames of a block at the source's rate.
+BLOCK = 1 << 15
 
-    A chunk's neighbours lend their edges (lag and lead), so block edges do not click. Chunks must be longer than the
-    filter's reach.
+
+def resample_bandlimited(chunks: DataFrame, key: str, source: int, target: int, block: int = BLOCK) -> DataFrame:
+    """(key, start_frame, samples) at one rate -> the same at another, in blocks; ceil(n target / source) samples in all.
+
+    Chunks may have any length. Each sends the parts of itself that a block of ``block`` frames needs, its own and the
+    filter's reach on both sides, to that block; the parts meet by an exchange on key and block. So a block knows its whole
+    neighbourhood however small the chunks are, and a recording spreads over tasks. Missing frames are silent.
     """
     if source == target:
         return chunks.select(key, "start_frame", "samples")
     half = int(ceil(REACH / min(1.0, target / source))) + 1
-    series = Window.partitionBy(key).orderBy("start_frame")
-    before, after = F.lag("samples").over(series), F.lead("samples").over(series)
-    total = F.sum(F.size("samples")).over(Window.partitionBy(key))
-    edges = chunks.select(
-        key, "start_frame", "samples", total.alias("total"),
-        F.slice(before, F.greatest(F.size(before) - half + 1, F.lit(1)), half).alias("left"), F.slice(after, 1, half).alias("right"),
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, start, own, total_n, left, right in zip(*(batch[c] for c in (key, "start_frame", "samples", "total", "left", "right")), strict=True):
-                parts = [np.asarray(p, np.float64) if p is not None else np.zeros(0) for p in (left, own, right)]
-                end = start + len(parts[1])
-                low = -(-start * target // source)
-                high = -(-total_n * target // source) if end == total_n else -(-end * target // source)
-                rows.append((k, low, resample_block(np.concatenate(parts), start - len(parts[0]), low, high - low, source, target)))
-            yield pd.DataFrame(rows, columns=[key, "start_frame", "samples"])
+    end = F.col("start_frame") + F.size("samples")
+    first, last = F.greatest(F.floor((F.col("start_frame") - half) / block), F.lit(0)), F.floor((end - 1 + half) / block)
+    asked = chunks.filter(F.size("samples") > 0).select(key, "start_frame", "samples", F.explode(F.sequence(first, last)).alias("_block"))
+    low = F.greatest(F.col("_block") * block - half - F.col("start_frame"), F.lit(0))
+    high = F.least((F.col("_block") + 1) * block + half - F.col("start_frame"), F.size("samples"))
+    parts = asked.select(key, "_block", (F.col("start_frame") + low).alias("start_frame"), F.slice("samples", (low + 1).cast("int"), (high - low).cast("int")).alias("samples")).filter(F.size("samples") > 0)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("start_frame")
+        at, starts = table.column("_block")[0].as_py() * block, table.column("start_frame").to_numpy()
+        own = [x.values.to_numpy(zero_copy_only=False) for x in table.column("samples")]
+        origin, stop = int(starts[0]), int(max(s + len(x) for s, x in zip(starts, own, strict=True)))
+        samples = np.zeros(stop - origin)
+        for s, x in zip(starts, own, strict=True):
+            samples[s - origin : s - origin + len(x)] = x
+        stop = min(at + block, stop)
+        out_first, out_stop = -(-at * target // source), -(-stop * target // source)
+        rows = 1 if out_stop > out_first else 0
+        found = resample_block(samples, origin, out_first, out_stop - out_first, source, target) if rows else None
+        return pa.table({key: table.column(key).slice(0, rows), "start_frame": pa.array([out_first][:rows], pa.int64()), "samples": pa.array([found][:rows], pa.list_(pa.float32()))})
 
     kind = dict(chunks.dtypes)[key]
-    return edges.mapInPandas(run, f"{key} {kind}, start_frame long, samples array<float>")
+    return parts.groupBy(key, "_block").applyInArrow(run, f"{key} {kind}, start_frame long, samples array<float>")
 
 
 def normalize_corpus(chunks: DataFrame, key: str, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:

@@ -147,12 +147,28 @@ def timeouts(sent: DataFrame, got: DataFrame, deadline: str) -> DataFrame:
     return sent.alias("s").join(got.alias("g"), inside, "left").groupBy("s.request_id").agg(F.count("g.answered").alias("in_time")).select("request_id", (F.col("in_time") == 0).alias("timed_out"), "in_time")
 
 
-def demand_gate(events: DataFrame, keys: list[str], transfer: str, callback: str, seconds: int) -> DataFrame:
-    """Whether a callback was seen at most ``seconds`` before each transfer, as a range frame over time in microseconds."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    recent = Window.partitionBy(*keys).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
-    seen = F.max(F.when(F.col("event_type") == callback, F.col("ts"))).over(recent)
-    return events.withColumn("counts", seen.isNotNull()).filter(F.col("event_type") == transfer)
+def latest_before(rows: DataFrame, marks: DataFrame, keys: list[str], at: str, within_us: int, out: str) -> DataFrame:
+    """``rows`` with the time of the last mark of their key at or before them, at most ``within_us`` microseconds back, or null.
+
+    An as-of join by spans of that length: the mark lies in the row's span or the one before. Inside a span a window over
+    both tables finds it; of the span before only the last mark counts, one row a span. So a key of any size spreads over
+    its spans.
+    """
+    span = lambda c: F.floor(F.unix_micros(c) / within_us)
+    stamp = F.col(at).cast("timestamp")
+    left = rows.withColumns({"_at": stamp, "_span": span(stamp), "_mark": F.lit(None).cast("timestamp")})
+    right = marks.select(*keys, stamp.alias("_at"), span(stamp).alias("_span"), stamp.alias("_mark"))
+    same = Window.partitionBy(*keys, "_span").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = left.withColumn("_row", F.lit(True)).unionByName(right.withColumn("_row", F.lit(False)), allowMissingColumns=True).withColumn("_near", F.max("_mark").over(same)).filter("_row")
+    last = right.groupBy(*keys, (F.col("_span") + 1).alias("_span")).agg(F.max("_mark").alias("_far"))
+    found = seen.join(last, [*keys, "_span"], "left").withColumn(out, F.coalesce("_near", "_far"))
+    inside = F.unix_micros("_at") - F.unix_micros(out) <= within_us
+    return found.withColumn(out, F.when(inside, F.col(out))).select(*rows.columns, out)
+
+
+def demand_gate(transfers: DataFrame, callbacks: DataFrame, keys: list[str], at: str, within_ms: int = 250) -> DataFrame:
+    """``transfers`` with ``counts``: whether their consumer called back at most so long before."""
+    return latest_before(transfers, callbacks, keys, at, within_ms * 1000, "_seen").withColumn("counts", F.col("_seen").isNotNull()).drop("_seen")
 
 
 def decode_flags(df: DataFrame, column: str) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -166,6 +167,49 @@ def segment_utterances(levels: DataFrame, cfg: SegmentConfig, keys: list[str], o
     return numbered.select(*keys, "utterance_id", *columns[len(keys) :])
 
 
+def sweep_segmentation(levels: DataFrame, configs: dict[int, SegmentConfig], keys: list[str], on_end: str = "emit") -> DataFrame:
+    """The utterances of every configuration: cfg_id, keys and the columns of ``segment_utterances``.
+
+    Levels are exchanged and sorted once, whatever the number of configurations; one pass over a stream's frames moves the
+    machines of all, whose states live on from batch to batch.
+    """
+    narrow = levels.select(*[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)], F.col("frame_idx").cast("long").alias("frame_idx"), F.col("rms").cast("double").alias("rms"))
+    plain, kinds = narrow.columns[: len(keys)], dict(levels.dtypes)
+    names = ["cfg_id", *plain, *_row_fields()]
+    schema = f"cfg_id int, {', '.join(f'{p} {kinds[k]}' for p, k in zip(plain, keys, strict=True))}, {OUT}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, machines, last = None, {}, -1
+
+        def flushed() -> list[list]:
+            ends = [(cfg, m.flush(last)) for cfg, m in machines.items()] if on_end == "emit" else []
+            return [[cfg, *own, *found] for cfg, found in ends if found]
+
+        def batch_of(rows: list[list]) -> pa.RecordBatch:
+            types = [pa.int32(), *key_types, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+        key_types = None
+        for batch in batches:
+            key_types = key_types or [batch.column(p).type for p in plain]
+            rows, columns = [], [batch.column(p).to_pylist() for p in plain]
+            for *key, frame, level in zip(*columns, batch.column("frame_idx").to_pylist(), batch.column("rms").to_pylist(), strict=True):
+                if key != own:
+                    rows += flushed() if own is not None else []
+                    own, machines = key, {cfg_id: Machine(cfg) for cfg_id, cfg in configs.items()}
+                last = frame
+                for cfg_id, machine in machines.items():
+                    if found := machine.push(frame, level):
+                        rows.append([cfg_id, *own, *found])
+            if rows:
+                yield batch_of(rows)
+        if own is not None and (rows := flushed()):
+            yield batch_of(rows)
+
+    dealt = narrow.repartition(*plain).sortWithinPartitions(*plain, "frame_idx")
+    return dealt.mapInArrow(run, schema).toDF("cfg_id", *keys, *_row_fields())
+
+
 class _Segmenter(StatefulProcessor):
     """One key's machine, and a map of the rows that came before their turn.
 

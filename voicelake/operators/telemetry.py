@@ -120,19 +120,31 @@ def pipeline_metrics(utterances: DataFrame, by: list[str], order: list[str]) ->
     )
 
 
-def session_summary(utterances: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Utterances (outcome, audio_ms, clauses, stage ms) of a session -> counts, sums, means, time to first audio and real-time factor.
+#: What a session says of itself, and the stages whose time a summary adds up.
+SESSION = ("input_file", "output_file", "route", "source_language", "target_language", "input_duration_ms", "startup_ms", "total_turnaround_ms")
+SUMMED = ("speech_stage_ms", "mt_stage_ms", "tts_stage_ms")
 
-    First audio is that of the first processed utterance, or its session's total where that is 0 or none.
+
+def session_summary(sessions: DataFrame, utterances: DataFrame, by: list[str], order: str, rate: int, include_text: bool = False) -> DataFrame:
+    """Sessions (by, the SESSION columns) and their utterances -> the summary of each, those without utterances too.
+
+    An utterance has ``translated`` (false where it was empty or failed), clauses_synthesized, the SUMMED columns,
+    first_audio_ms, output_frames at ``rate``, and for ``include_text`` translated_text. Only translated ones count.
+    First audio is that of the first of them, or the turnaround where that is 0 or none.
     """
-    done = F.col("outcome") == "processed"
-    total = F.sum("total_ms")
-    first = F.min_by("first_audio_ms", F.when(done, F.col(order)))
-    return utterances.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("detected"), F.count_if(done).alias("translated"), F.count_if(F.col("outcome") == "empty").alias("empty"), F.count_if(F.col("outcome") == "failed").alias("failed"),
-        F.sum(F.when(done, F.col("clauses")).otherwise(0)).alias("clauses"), F.sum("audio_ms").alias("audio_ms"), *[F.sum(f"{s}_ms").alias(f"{s}_ms") for s in ("stt", "mt", "tts")], total.alias("total_ms"),
-        F.max("total_ms").alias("longest_ms"), F.floor(F.avg("total_ms")).alias("mean_ms"), F.coalesce(F.nullif(first, F.lit(0)), total).alias("first_audio_ms"),
-        F.round(F.coalesce(F.try_divide(total, F.nullif(F.sum("audio_ms"), F.lit(0))), F.lit(0.0)), 3).alias("session_rtf"), F.min(order).alias("first_utterance"), F.max(order).alias("last_utterance"),
+    done = utterances.filter("translated")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "translated_text"))), lambda x: x["translated_text"]), " ")
+    sums = done.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("utterances_translated"), F.sum("clauses_synthesized").alias("clauses_synthesized"), *[F.sum(c).alias(c) for c in SUMMED],
+        F.min_by("first_audio_ms", order).alias("first"), F.sum("output_frames").alias("frames"), *([text.alias("translated_text")] if include_text else []),
+    )
+    detected = utterances.groupBy(*by).agg(F.count(F.lit(1)).alias("utterances_detected"))
+    joined = sessions.join(detected, by, "left").join(sums, by, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    factor = F.coalesce(F.try_divide(F.col("total_turnaround_ms"), F.nullif("input_duration_ms", F.lit(0))), F.lit(0.0))
+    return joined.select(
+        *by, *SESSION, F.floor(F.coalesce("frames", F.lit(0)) * 1000 / max(rate, 1)).cast("long").alias("output_duration_ms"), zero("utterances_detected"), zero("utterances_translated"), zero("clauses_synthesized"),
+        *map(zero, SUMMED), F.coalesce(F.nullif("first", F.lit(0)), "total_turnaround_ms").cast("long").alias("first_audio_ms"), F.round(factor, 3).alias("realtime_factor"), *(["translated_text"] if include_text else []),
     )
 
 
@@ -196,11 +208,12 @@ TARGETS = {"drop_rate": (0.001, 0.001), "underruns_per_minute": (1, 1), "overrun
 GATE_MS = 3000
 
 
-def slo_report(measures: DataFrame, by: list[str], p95_first_audio: str = "first_audio_ms") -> DataFrame:
-    """Any of the TARGETS' measures a group -> a verdict each, the band of the first audio and the gate of its 95th percentile. Null measures have null verdicts."""
+def slo_report(measures: DataFrame, by: list[str], p95_first_audio: str = "p95_first_audio_ms") -> DataFrame:
+    """Any of the TARGETS' measures a group -> a verdict each, the band of the first audio and the gate of its 95th percentile, where the column of that name is given. Null measures have null verdicts."""
     ms = F.col("first_audio_ms")
     band = F.when(ms < 500, "excellent").when(ms <= 1500, "stretch").when(ms <= 3000, "MVP").when(ms.isNotNull(), "poor")
     verdict = lambda m: F.when(F.col(m).isNotNull(), slo(F.col(m), *TARGETS[m])).alias(m.removesuffix("_ms"))
     found = [verdict(m) for m in TARGETS if m in measures.columns]
-    first = [band.alias("band"), (F.col(p95_first_audio) <= GATE_MS).alias("passes_gate")] if "first_audio_ms" in measures.columns else []
+    first = [band.alias("band")] if "first_audio_ms" in measures.columns else []
+    first += [(F.col(p95_first_audio) <= GATE_MS).alias("passes_gate")] if p95_first_audio in measures.columns else []
     return measures.select(*by, *found, *first)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from voicelake.functions import pcm
 from voicelake.operators import signal
 from voicelake.plans.registry import query, table
+from voicelake.sources import wav
 
 SAMPLES = "s AS (SELECT vec_id, label, unnest(range(0, len(embedding)))::INT AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
 
@@ -60,6 +61,13 @@ def format_facts(spark, sf_dir):
     )
 
 
+@query("""SELECT label, r AS target_rate, c AS target_channels, b AS sample_bytes, sum(ceil(len(embedding) * r / 24000.0))::BIGINT AS frames, sum(ceil(len(embedding) * r / 24000.0) * c * b)::BIGINT AS bytes
+FROM embeddings CROSS JOIN (VALUES (16000, 1, 4), (48000, 2, 2)) AS t(r, c, b) GROUP BY label, r, c, b""")
+def format_totals(spark, sf_dir):
+    chunks = table(spark, sf_dir, "embeddings").select("label", F.size("embedding").cast("long").alias("frames"), F.lit(24000).cast("long").alias("rate"))
+    return pcm.format_totals(chunks, ["label"], [(16000, 1, 4), (48000, 2, 2)])
+
+
 @query("SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 6) AS rms FROM embeddings")
 def frame_levels(spark, sf_dir):
     return _chunks(spark, sf_dir).select("vec_id", "label", F.round(pcm.rms(F.col("samples")), 6).alias("rms"))
@@ -104,7 +112,12 @@ def detect_discontinuities(spark, sf_dir):
     return signal.detect_discontinuities(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id")
 
 
-@query(f"""WITH c AS (SELECT label, vec_id, len(embedding) AS n FROM embeddings) SELECT label, vec_id, (sum(n + 100) OVER (PARTITION BY label ORDER BY vec_id) - n - 100)::BIGINT AS start_sample, n::BIGINT AS n FROM c""")
+@query("""WITH c AS (SELECT label, vec_id, embedding, len(embedding) AS n FROM embeddings)
+SELECT label, (sum(n + 100) OVER (PARTITION BY label ORDER BY vec_id) - n - 100)::BIGINT AS start_sample, (n + 100)::BIGINT AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total,
+CASE WHEN n > 0 THEN embedding[1]::DOUBLE ELSE 0 END AS first FROM c""")
 def concat_with_gap(spark, sf_dir):
-    n, order = F.size("embedding").cast("long"), Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, sf_dir, "embeddings").select("label", "vec_id", (F.sum(n + 100).over(order) - n - 100).alias("start_sample"), n.alias("n"))
+    """A label's chunks as one composite, 100 zeros after each."""
+    clips = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").alias("samples"))
+    done = wav.concat_with_gap(clips, "label", "vec_id", 100)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return done.select("label", "start_sample", F.size("samples").cast("long").alias("n"), F.round(total, 4).alias("total"), F.col("samples")[0].cast("double").alias("first"))

@@ -64,6 +64,15 @@ def stream_segments(spark, sf_dir):
     return _run(segment_stream(source, CFG), "append")
 
 
+@query("""WITH b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events WHERE value >= 30), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b)
+SELECT user_id, CAST(date_trunc('second', min(ts)) AS VARCHAR) AS start, count(*) AS voiced FROM s GROUP BY user_id, k""")
+def voiced_sessions(spark, sf_dir):
+    """Sessions of a stream of voiced events, by its last state."""
+    voiced = _stream(spark, sf_dir, "events").filter("value >= 30")
+    done = _run(live.voiced_sessions(voiced, "user_id", "ts", "6 hours", "1 day"), "complete")
+    return done.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "voiced")
+
+
 _LONG = "levels AS (SELECT user_id % 4 AS stream_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) - 1 AS frame_idx, value AS rms FROM events)"
 
 

@@ -156,7 +156,9 @@ def timeouts(spark, sf_dir):
 @query("""WITH c AS (SELECT *, max(CASE WHEN event_type = 'click' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS seen FROM events)
 SELECT event_id, seen IS NOT NULL AS counts FROM c WHERE event_type = 'purchase'""")
 def demand_gate(spark, sf_dir):
-    return routing.demand_gate(table(spark, sf_dir, "events"), ["user_id"], "purchase", "click", 6 * 3600).select("event_id", "counts")
+    events = table(spark, sf_dir, "events")
+    of = lambda kind: events.filter(F.col("event_type") == kind).select("event_id", "user_id", "ts")
+    return routing.demand_gate(of("purchase"), of("click"), ["user_id"], "ts", 6 * 3600 * 1000).select("event_id", "counts")
 
 
 @query("SELECT d.doc_id, l.quality, l.toxic, CASE WHEN l.doc_id IS NULL THEN 'no reference for ' || d.doc_id END AS error FROM documents d LEFT JOIN labels l USING (doc_id)")

@@ -3,7 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voicelake.operators.segment import SegmentConfig, gather, segment_by, segment_facts, segment_utterances
+from voicelake.operators.segment import SegmentConfig, gather, segment_facts, segment_utterances
+from voicelake.operators.segment import sweep_segmentation as sweep
 from voicelake.plans.registry import query, table
 
 CFG = SegmentConfig(start=60.0, keep=30.0, pre_roll=2, min_voiced=2, end_quiet=3, max_frames=None)
@@ -50,9 +51,8 @@ def flush_tail(spark, sf_dir):
     + " SELECT cfg_id, count(*) AS utterances, sum(voiced_frames)::BIGINT AS voiced, sum(end_frame - start_frame + 1)::BIGINT AS frames FROM utterances GROUP BY cfg_id"
 )
 def sweep_segmentation(spark, sf_dir):
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("cfg_id"), F.lit(a).alias("start"), F.lit(b).alias("keep"), F.lit(n).alias("quiet")) for i, a, b, n in ((1, 60.0, 30.0, 2), (2, 60.0, 30.0, 3), (3, 75.0, 20.0, 5))]))
-    every = levels(spark, sf_dir).withColumn("g", grid).select("g.*", "stream_id", "frame_idx", "rms")
-    found = segment_by(every, ["cfg_id", "stream_id"], F.col("start"), F.col("keep"), F.col("quiet"), F.lit(2), F.lit(2))
+    configs = {i: SegmentConfig(start, keep, 2, 2, quiet, None) for i, start, keep, quiet in ((1, 60.0, 30.0, 2), (2, 60.0, 30.0, 3), (3, 75.0, 20.0, 5))}
+    found = sweep(levels(spark, sf_dir), configs, ["stream_id"])
     return found.groupBy("cfg_id").agg(F.count(F.lit(1)).alias("utterances"), F.sum("voiced_frames").alias("voiced"), F.sum(F.col("end_frame") - F.col("start_frame") + 1).alias("frames"))
 
 

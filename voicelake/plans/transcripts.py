@@ -141,6 +141,11 @@ def privacy_projection(spark, sf_dir):
     return quality.privacy_projection(table(spark, sf_dir, "conversations"), {"text"})
 
 
+@query("SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn), '') AS text FROM conversations GROUP BY conv_id")
+def shown_text(spark, sf_dir):
+    return quality.joined_text(quality.privacy_projection(table(spark, sf_dir, "conversations"), {"text"}, include=True), ["conv_id"], ["turn"])
+
+
 @query("SELECT role, count(CASE WHEN trim(text) = '' THEN 1 END) AS skipped, count(CASE WHEN trim(text) <> '' THEN 1 END) AS kept FROM conversations GROUP BY role")
 def drop_empty_transcripts(spark, sf_dir):
     kept, skipped = quality.drop_empty_transcripts(table(spark, sf_dir, "conversations"), "text")
