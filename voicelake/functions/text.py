@@ -10,27 +10,38 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def split_clauses(text: Column, min_words: int = 3) -> Column:
-    """Clauses for synthesis: strong marks always close one, weak marks once it has min_words; a lone short tail joins the clause before."""
+    """Clauses for synthesis: strong marks always close one, weak marks once it has min_words; a lone short tail joins the clause before.
+
+    Only the places of the cuts are carried from word to word, so a long text is not copied at each.
+    """
     tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda t: t != "")
-    seed = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"))
 
-    def step(a: Column, token: Column) -> Column:
-        grown = F.concat(a["open"], F.array(token))
+    def mark(token: Column) -> Column:
         last = F.right(F.regexp_replace(token, r"[\"')\]]+$", ""), F.lit(1))
-        closes = last.isin(".", "!", "?") | (last.isin(",", ";", ":", "—") & (F.size(grown) >= min_words))
-        return F.struct(
-            F.when(closes, F.concat(a["done"], F.array(F.array_join(grown, " ")))).otherwise(a["done"]).alias("done"),
-            F.when(closes, F.array().cast("array<string>")).otherwise(grown).alias("open"),
-        )
-
-    def finish(a: Column) -> Column:
-        tail, n = F.array_join(a["open"], " "), F.size(a["done"])
-        lone = (F.size(a["open"]) == 1) & (F.octet_length(tail) <= 2) & (n > 0)
-        merged = F.concat(F.slice(a["done"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat_ws(" ", F.get(a["done"], n - 1), tail)))
-        return F.when(F.size(a["open"]) == 0, a["done"]).when(lone, merged).otherwise(F.concat(a["done"], F.array(tail)))
-
-    return F.aggregate(tokens, seed, step, finish)
+        return F.when(last.isin(".", "!", "?"), 2).when(last.isin(",", ";", ":", "—"), 1).otherwise(0)
+
+    def step(a: Column, kind: Column) -> Column:
+        n, at = a["n"] + 1, a["at"] + 1
+        closes = (kind == 2) | ((kind == 1) & (n >= min_words))
+        return F.struct(F.when(closes, 0).otherwise(n).alias("n"), at.alias("at"), F.when(closes, F.concat(a["cuts"], F.array(at))).otherwise(a["cuts"]).alias("cuts"))
+
+    def clauses(words: Column, cuts: Column) -> Column:
+        start = lambda i: F.coalesce(F.get(cuts, i - 1), F.lit(0))
+        done = F.transform(cuts, lambda end, i: F.array_join(F.slice(words, start(i) + 1, end - start(i)), " "))
+        n, left = F.size(cuts), F.size(words) - start(F.size(cuts))
+        tail = F.array_join(F.slice(words, start(n) + 1, left), " ")
+        lone = (left == 1) & (F.octet_length(tail) <= 2) & (n > 0)
+        merged = _bound(done, lambda d: F.concat(F.slice(d, F.lit(1), n - 1), F.array(F.concat_ws(" ", F.get(d, n - 1), tail))))
+        return F.when(left == 0, done).when(lone, merged).otherwise(F.concat(done, F.array(tail)))
+
+    seed = F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
+    return _bound(tokens, lambda words: _bound(F.aggregate(F.transform(words, mark), seed, step, lambda a: a["cuts"]), lambda cuts: clauses(words, cuts)))
 
 
 def clause_plan(text: Column, chunked: bool = True, min_words: int = 3) -> Column:

@@ -23,12 +23,9 @@ def nearest(spark, sf_dir):
     return nearest_rank(table(spark, sf_dir, "lineitem"), "l_quantity", 0.95, ["l_suppkey"])
 
 
-@query("SELECT l_orderkey, round(coalesce(CAST(sum(CASE WHEN l_linenumber > 1 THEN CAST(l_extendedprice AS DECIMAL(18, 2)) ELSE 0 END) AS DOUBLE) / nullif(sum(CASE WHEN l_linenumber > 1 THEN l_quantity ELSE 0 END), 0) / 7.0001237::DOUBLE, 0), 3) AS session_rtf FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / sum(l_quantity * (1 + l_tax)), 3) AS session_rtf FROM lineitem GROUP BY l_orderkey")
 def rtf(spark, sf_dir):
-    """Orders of one line have no input."""
-    later = lambda c: F.when(F.col("l_linenumber") > 1, c).otherwise(0)
-    seconds = later(F.col("l_extendedprice").cast("decimal(18,2)"))
-    return rtf_of(table(spark, sf_dir, "lineitem"), ["l_orderkey"], seconds, 7.0001237 * later(F.col("l_quantity")))
+    return rtf_of(table(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_quantity") * (1 + F.col("l_tax")))
 
 
 @query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) SELECT o_custkey, round(max(o_totalprice) FILTER (k = 1), 4) AS cold, round(median(o_totalprice) FILTER (k > 1), 4) AS warm_median FROM k GROUP BY o_custkey""")

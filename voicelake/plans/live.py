@@ -1,5 +1,6 @@
 """Streaming queries: tables are read as file streams, run to their end and read back."""
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -128,6 +129,50 @@ def stream_timeouts(spark, sf_dir):
     return done.select("request_id", dated("sent"), dated("answered"), "status")
 
 
+#: What the recogniser says for the steps of a level, and the translator's word for each.
+HEARD = ["boats", "came,", "home", "before", "the", "storm.", "they", "wrote"]
+MEANT = ["barcos", "vieram,", "casa", "antes", "da", "chuva.", "eles", "disseram"]
+LOUD, FULL, WORDS = 0.095, 0.325, 9
+
+
+def _recogniser():
+    """Words by the levels of the first samples; nothing is heard of quiet chunks, and overdriven ones fail."""
+
+    def hear(samples):
+        x = np.abs(samples.astype(np.float64))
+        if len(x) and x.max() > FULL:
+            raise ValueError("overdriven")
+        return ("" if not len(x) or x.max() < LOUD else " ".join(HEARD[int(v * 40) % 8] for v in x[:WORDS])), float(len(x))
+
+    return hear
+
+
+def _translator():
+    words = dict(zip(HEARD, MEANT, strict=True))
+    return lambda text: (" ".join(words[w] for w in text.split(" ")), float(len(text)))
+
+
+def _speaker():
+    """A level a letter."""
+    return lambda text: ([ord(c) / 128 for c in text], float(len(text)))
+
+
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_SPEECH = CLAUSES.replace("FROM conversations", "FROM spoken")
+
+
+@query(rf"""WITH chunks AS (SELECT label AS conv_id, vec_id AS turn, list_transform(embedding, lambda v: abs(v::DOUBLE)) AS x FROM embeddings),
+heard AS (SELECT conv_id, turn, list_transform(x[1:{WORDS}], lambda v: {_LIST(MEANT)}[floor(v * 40)::BIGINT % 8 + 1]) AS ws FROM chunks WHERE list_max(x) BETWEEN {LOUD} AND {FULL}),
+spoken AS (SELECT conv_id, turn, array_to_string(ws, ' ') AS text FROM heard), {_SPEECH}
+SELECT conv_id AS label, turn AS vec_id, array_to_string(c, ' ') AS translated_text, len(c)::BIGINT AS clauses, list_sum(list_transform(c, lambda p: len(p)))::BIGINT AS n_samples, 0::BIGINT AS failed_clauses, 'success' AS status, NULL::VARCHAR AS code FROM clauses
+UNION ALL SELECT conv_id, turn, NULL, 0, NULL, 0, 'failed', 'INFERENCE_FAILED' FROM chunks WHERE list_max(x) > {FULL}""")
+def speech_cascade(spark, sf_dir):
+    """Chunks of samples through recognition, translation and synthesis, samples again: models that compute, on arrays."""
+    chunks = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
+    done = translate_cascade(chunks, ["label", "vec_id"], "embedding", _recogniser, _translator, _speaker, audio="array<float>")
+    return done.select("label", "vec_id", "translated_text", "clauses", F.when(F.col("samples").isNotNull(), F.size("samples")).cast("long").alias("n_samples"), "failed_clauses", "status", "code")
+
+
 LEXICON = {"the": "o", "and": "e", "with": "com"}
 
 

@@ -123,11 +123,9 @@ def join_segments(spark, sf_dir):
     return T.join_segments(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
 
 
-@query("WITH w AS (SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN string_split(text, ' ') END AS ws FROM documents) SELECT doc_id, unnest(range(0, len(ws)))::INT AS word_idx, unnest(ws) AS word FROM w WHERE ws IS NOT NULL")
+@query("WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents) SELECT doc_id, unnest(range(0, len(ws)))::INT AS word_idx, unnest(ws) AS word FROM w")
 def explode_words(spark, sf_dir):
-    """Some documents have no word list."""
-    words = F.when(F.col("doc_id") % 7 > 0, F.split("text", " "))
-    return T.explode_words(table(spark, sf_dir, "documents"), ["doc_id"], words)
+    return T.explode_words(table(spark, sf_dir, "documents"), ["doc_id"], F.split("text", " "))
 
 
 @query("SELECT conv_id, sum(least(greatest(octet_length(encode(text)) * 50, 50), 5000))::BIGINT AS speech_ms, sum(24 * least(greatest(octet_length(encode(text)) * 50, 50), 5000))::BIGINT AS samples FROM conversations GROUP BY conv_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: The columns of a public speech dataset.
 SPEECH_COLUMNS = ("id", "num_samples", "audio", "transcription", "raw_transcription", "gender")
 SENSITIVE = ("audio", "samples", "text", "output_text", "transcription", "raw_transcription")
 
