@@ -11,11 +11,10 @@ Subtree totals come from contraction. Each round rakes the leaves, whose
 totals are final and go to their parents, then compresses chains: a node with
 one child leaves when its priority of the round is above its parent's and its
 child's, so no two neighbours leave together; its child moves up, and its
-weight goes to its parent. A node
-keeps its number of children and the XOR of their ids, which is the child's id
-once one is left. The tree shrinks by a part each round until its root is
-left. Re-expansion gives a compressed node what it held and its child's total,
-by pointer doubling over the removed nodes.
+weight goes to its parent. A node keeps its number of children and the XOR of
+their ids, which is the child's id once one is left. The tree shrinks by a part
+each round until its root is left. Re-expansion gives a compressed node what it
+held and its child's total, by pointer doubling over the removed nodes.
 
 Defined results: rows with a null conversation id belong to no conversation;
 null turns come first, equal turns go by role, then by a digest of role and
