@@ -48,6 +48,8 @@ BANDS, ROWS, BITS = 32, 5, 512
 SAMPLES = BANDS * ROWS
 #: Shingles a side of a block, at least and at most; between, blocks are a few for each shuffle partition.
 BLOCK = (10_000, 2_000_000)
+#: Parts that the partners of one head are dealt to.
+PARTS = 32
 #: Estimated similarity that a candidate must reach: seven standard deviations below 0.8.
 LEAST_ESTIMATE = 0.55
 #: Sets that are linked differ by at most one class of this ratio, a little over 1 / 0.8.
@@ -124,15 +126,25 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "members"])
 
 
-def _ratio_holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose full sets have 100 * intersection >= 80 * union."""
+def _held_to_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (one, part, role): a head's sets, then those of its partners; gives the pairs whose sets are linked."""
+    at, heads = None, []
     for batch in batches:
-        held = []
-        for one, two in zip(batch.column("one_set"), batch.column("two_set"), strict=True):
-            a, b = one.values.to_numpy(), two.values.to_numpy()
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            held.append(100 * shared >= 80 * (len(a) + len(b) - shared))
-        yield batch.select(["one", "two"]).filter(pa.array(held, pa.bool_()))
+        one, two = [], []
+        for head, part, role, node, members in zip(*(batch.column(c) for c in ("one", "part", "role", "id", "members")), strict=True):
+            key, own = (head.as_py(), part.as_py()), members.values.to_numpy()
+            if key != at:
+                at, heads = key, []
+            if role.as_py() == 0:
+                heads.append(own)
+                continue
+            for other in heads:
+                shared = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * shared >= 80 * (len(own) + len(other) - shared):
+                    one.append(key[0])
+                    two.append(node.as_py())
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["one", "two"])
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -149,9 +161,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: S
     ids = scratch.table(likely.select(F.explode(F.array("one", "two")).alias("id")).distinct(), f"ids-{name}")
     texts = matching(_narrow(docs).withColumnRenamed("doc_id", "id"), ids, "id", scratch).select("id", "text")
     sets = scratch.table(texts.mapInArrow(lambda batches: _sets(batches, width), "id long, members array<bigint>"), f"sets-{name}")
-    one, two = sets.select(F.col("id").alias("one"), F.col("members").alias("one_set")), sets.select(F.col("id").alias("two"), F.col("members").alias("two_set"))
-    checked = likely.join(one, "one").join(two, "two").select("one", "two", "one_set", "two_set").mapInArrow(_ratio_holds, "one long, two long")
-    return scratch.table(checked, f"links-{name}")
+    # a head's sets go once to each part that its partners are dealt to
+    dealt = likely.withColumn("part", F.pmod(F.xxhash64("two"), F.lit(PARTS)))
+    rows = dealt.select("one", "part").distinct().select("one", "part", F.lit(0).alias("role"), F.col("one").alias("id")).unionByName(dealt.select("one", "part", F.lit(1).alias("role"), F.col("two").alias("id")))
+    laid = rows.join(sets, "id").repartition("one", "part").sortWithinPartitions("one", "part", "role")
+    return scratch.table(laid.mapInArrow(_held_to_heads, "one long, two long").distinct(), f"links-{name}")
 
 
 def _differing(a: str, b: str) -> Column:
