@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from voicelake.operators.scan import block_key, running
+from voicelake.workspace import fresh
+
 
 @dataclass(frozen=True)
 class SegmentConfig:
@@ -57,6 +60,56 @@ def segment_by(levels: DataFrame, keys: list[str], start: Column, keep: Column,
     )
 
 
+def _blocked(levels: DataFrame, keys: list[str], cfg: SegmentConfig, span: int) -> tuple[DataFrame, DataFrame]:
+    """Frames with their epochs, and the epochs that have an onset, where no task holds more than ``span`` frames of a stream.
+
+    All that a block takes from its past is the length of the quiet run that it begins in, and how many epochs have ended.
+    Both follow from one row a block: its rows, its last loud one, those before its first, and the runs it completes itself.
+    An epoch's parts in several blocks are added up from the part on that has the onset.
+    """
+    inside = Window.partitionBy("_block").orderBy("frame_idx")
+    upto, before = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    loud, opens, zero = F.col("rms") >= cfg.keep, F.col("rms") >= cfg.start, F.lit(0)
+    # both uses of these rows take the same columns, so that one exchange serves both
+    placed = levels.select("frame_idx", "rms", block_key(keys, F.floor(F.col("frame_idx") / span)).alias("_block"))
+    placed = placed.withColumn("_n", F.row_number().over(inside)).withColumn("_loud", F.max(F.when(loud, F.col("_n"))).over(upto))
+    own = ~loud & (F.col("_n") - F.col("_loud") == cfg.end_quiet)
+    ends = placed.groupBy("_block").agg(F.count(F.lit(1)).alias("rows"), F.max("_loud").alias("loud"), F.count_if(F.col("_loud").isNull()).alias("lead"), F.count_if(own).alias("closers"))
+    streams = [F.col(f"_block.k{n}") for n in range(len(keys))]
+    past = Window.partitionBy(*streams).orderBy("_block.at").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_begun", F.coalesce(F.sum("rows").over(past), zero))
+    quiet = F.col("_begun") - F.coalesce(F.max(F.col("_begun") + F.col("loud")).over(past), zero)
+    ends = ends.withColumn("_due", cfg.end_quiet - quiet)  # the row of the block that completes the run it begins in
+    completed = F.col("closers") + F.col("_due").between(F.lit(1), F.col("lead")).cast("int")
+    carried = ends.select("_block", "_due", F.coalesce(F.sum(completed).over(past), zero).alias("_base"))
+
+    closer = F.when(F.col("_loud").isNull(), F.col("_n") == F.col("_due")).otherwise(own)
+    frames = placed.join(carried, "_block").withColumn("_closer", closer.cast("int")).withColumn("_epoch", F.col("_base") + F.coalesce(F.sum("_closer").over(before), zero))
+    frames = frames.withColumn("_opened", F.max(F.when(opens, F.col("_epoch"))).over(upto))
+    parts = frames.groupBy("_block", "_epoch").agg(
+        F.min(F.when(opens, F.col("frame_idx"))).alias("onset"), F.max("frame_idx").alias("end_frame"), F.max("_closer").alias("closed"),
+        F.count_if(loud).alias("loud"), F.count_if(loud & (F.col("_opened") == F.col("_epoch"))).alias("opened"),
+    )
+    own_keys = [s.alias(k) for s, k in zip(streams, keys, strict=True)]
+    parts = parts.select(*own_keys, F.col("_block.at").alias("_at"), "_epoch", "onset", "end_frame", "closed", "loud", "opened")
+    parts = parts.withColumn("_from", F.min(F.when(F.col("onset").isNotNull(), F.col("_at"))).over(Window.partitionBy(*keys, "_epoch")))
+    voiced = F.when(F.col("_at") == F.col("_from"), F.col("opened")).when(F.col("_at") > F.col("_from"), F.col("loud")).otherwise(zero)
+    spans = parts.groupBy(*keys, "_epoch").agg(F.min("onset").alias("onset"), F.max("end_frame").alias("end_frame"), F.max("closed").alias("closed"), F.sum(voiced).alias("voiced_frames"))
+    return frames.select(*own_keys, "_epoch", "frame_idx", "rms"), spans.filter("onset IS NOT NULL")
+
+
+def _segment_blocked(levels: DataFrame, keys: list[str], cfg: SegmentConfig, on_end: str, span: int) -> DataFrame:
+    spans = _blocked(levels, keys, cfg, span)[1]
+    place = fresh(levels.sparkSession, "spans")
+    spans.write.parquet(place)  # a row an epoch, read twice below
+    kept = (F.col("voiced_frames") >= cfg.min_voiced) & (F.lit(on_end == "emit") | (F.col("closed") == 1))
+    spans = levels.sparkSession.read.schema(spans.schema).parquet(place).withColumn("_kept", kept)
+    measures = {"_last": ("max", F.col("end_frame"), True), "utterance_id": ("count", F.when(F.col("_kept"), 1), False)}
+    placed = running(spans, keys, ["_epoch"], F.floor(F.col("end_frame") / span), measures).filter("_kept")
+    start = F.col("onset") - F.least(F.lit(cfg.pre_roll).cast("long"), F.col("onset") - F.coalesce(F.col("_last") + 1, F.lit(0)))
+    return placed.select(*keys, F.col("utterance_id").cast("long").alias("utterance_id"), start.cast("long").alias("start_frame"), F.col("end_frame").cast("long").alias("end_frame"), "voiced_frames", (F.col("closed") == 0).alias("forced_cutoff"))
+
+
 class Machine:
     """The state of one stream between frames."""
 
@@ -103,13 +156,19 @@ def _row_fields() -> list[str]:
     return [c.split(" ")[0] for c in OUT.split(", ")]
 
 
-def segment_utterances(levels: DataFrame, cfg: SegmentConfig, keys: list[str], on_end: str = "emit") -> DataFrame:
+def segment_utterances(levels: DataFrame, cfg: SegmentConfig, keys: list[str], on_end: str = "emit", span: int | None = None) -> DataFrame:
     """keys, frame_idx, rms -> utterances. Epochs under the cap take the closed form; only those that may reach it are folded.
 
     Each epoch ends idle, so epochs meet in their pre-roll alone: successive long ones are folded together, and what
-    follows them starts after their last cut.
+    follows them starts after their last cut. A null level is silence.
+
+    Windows by stream are a task a stream. With ``span`` a task holds so many frames of a stream, whatever its length, and
+    one row a block (with a cap also one an epoch) passes the windows by stream; where start < keep, it has no effect.
     """
     lit = F.lit
+    levels = levels.withColumn("rms", F.coalesce("rms", F.lit(0.0)))
+    if span and cfg.start >= cfg.keep and not cfg.max_frames:
+        return _segment_blocked(levels, keys, cfg, on_end, span)
     if cfg.start >= cfg.keep and not cfg.max_frames:
         return segment_by(levels, keys, lit(cfg.start), lit(cfg.keep), lit(cfg.end_quiet), lit(cfg.min_voiced), lit(cfg.pre_roll), on_end)
     kinds = dict(levels.dtypes)
@@ -127,12 +186,16 @@ def segment_utterances(levels: DataFrame, cfg: SegmentConfig, keys: list[str], o
 
         return levels.groupBy(*keys).applyInPandas(fold, f"{of_keys}, {OUT}")
 
-    frames = _epochs(levels, keys, lit(cfg.start), lit(cfg.keep), lit(cfg.end_quiet)).withColumn("_last", F.max("frame_idx").over(Window.partitionBy(*keys, "_epoch")))
-    frames = frames.withColumn("_long", F.coalesce(F.col("_last") - F.col("_onset") + 1 + cfg.pre_roll >= cfg.max_frames, F.lit(False)))
-    spans = frames.groupBy(*keys, "_epoch").agg(
-        F.min("_onset").alias("onset"), F.max("frame_idx").alias("end_frame"), F.max("_closer").alias("closed"), F.first("_long").alias("_long"),
-        F.count(F.when((F.col("frame_idx") >= F.col("_onset")) & (F.col("rms") >= cfg.keep), 1)).alias("voiced_frames"),
-    ).filter("onset IS NOT NULL")
+    if span:
+        frames, spans = _blocked(levels, keys, cfg, span)
+        spans = spans.withColumn("_long", F.col("end_frame") - F.col("onset") + 1 + cfg.pre_roll >= cfg.max_frames)
+    else:
+        frames = _epochs(levels, keys, lit(cfg.start), lit(cfg.keep), lit(cfg.end_quiet)).withColumn("_last", F.max("frame_idx").over(Window.partitionBy(*keys, "_epoch")))
+        frames = frames.withColumn("_long", F.coalesce(F.col("_last") - F.col("_onset") + 1 + cfg.pre_roll >= cfg.max_frames, F.lit(False)))
+        spans = frames.groupBy(*keys, "_epoch").agg(
+            F.min("_onset").alias("onset"), F.max("frame_idx").alias("end_frame"), F.max("_closer").alias("closed"), F.first("_long").alias("_long"),
+            F.count(F.when((F.col("frame_idx") >= F.col("_onset")) & (F.col("rms") >= cfg.keep), 1)).alias("voiced_frames"),
+        ).filter("onset IS NOT NULL")
     order = Window.partitionBy(*keys).orderBy("_epoch")
     spans = spans.withColumn("_run", F.sum((~F.col("_long")).cast("int")).over(order)).withColumn("_reset", F.coalesce(F.lag("end_frame").over(order) + 1, F.lit(0)))
 
@@ -154,7 +217,7 @@ def segment_utterances(levels: DataFrame, cfg: SegmentConfig, keys: list[str], o
         return pd.DataFrame(rows, columns=[*keys, "_epoch", "start_frame", "end_frame", "voiced_frames", "forced_cutoff", "_after"]).astype({c: "Int64" for c in ("start_frame", "end_frame", "voiced_frames", "_after")} | {"forced_cutoff": "boolean"})
 
     long_spans = spans.filter("_long").select(*keys, "_epoch", "_run", "_reset")
-    long_frames = frames.filter("_long").select(*keys, "_epoch", "frame_idx", "rms").join(long_spans, [*keys, "_epoch"])
+    long_frames = (frames if span else frames.filter("_long")).select(*keys, "_epoch", "frame_idx", "rms").join(long_spans, [*keys, "_epoch"])
     folded = long_frames.groupBy(*keys, "_run").applyInPandas(fold_run, f"{of_keys}, _epoch long, start_frame long, end_frame long, voiced_frames long, forced_cutoff boolean, _after long")
     cuts = folded.groupBy(*keys, "_epoch").agg(F.max("_after").alias("_after"))
     placed = spans.join(cuts, [*keys, "_epoch"], "left").withColumn("_reset", F.coalesce(F.lag(F.coalesce("_after", F.col("end_frame") + 1)).over(order), F.lit(0)))

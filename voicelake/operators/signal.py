@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voicelake.operators.scan import running
 
-def frame_audio(chunks: DataFrame, keys: list[str], order: str, samples: str, frame_len: int, tail: str = "hold") -> DataFrame:
+
+def frame_audio(chunks: DataFrame, keys: list[str], order: str, samples: str, frame_len: int, tail: str = "hold", block: int | None = None) -> DataFrame:
     """Chunks of any length re-cut to fixed frames; the carry crosses chunk edges through offsets, not through state.
 
     A chunk gives at most its frames' fragments; fragments of a frame meet again by key and frame.
+    With ``block`` so many numbers of chunks of a recording share a task; else a recording is one task.
     """
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = chunks.withColumn("_at", F.coalesce(F.sum(F.size(samples)).over(upto), F.lit(0)).cast("long")).filter(F.size(samples) > 0)
+    if block:
+        placed = running(chunks, keys, [order], F.floor(F.col(order) / block), {"_at": ("sum", F.size(samples), True)})
+    else:
+        placed = chunks.withColumn("_at", F.sum(F.size(samples)).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
+    placed = placed.withColumn("_at", F.coalesce("_at", F.lit(0)).cast("long")).filter(F.size(samples) > 0)
     touched = F.explode(F.sequence(F.floor(F.col("_at") / frame_len), F.floor((F.col("_at") + F.size(samples) - 1) / frame_len)))
     cut = placed.withColumn("frame_idx", touched)
     low = F.greatest(F.col("frame_idx") * frame_len - F.col("_at"), F.lit(0))

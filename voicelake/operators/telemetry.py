@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voicelake.operators.scan import running
 from voicelake.workspace import fresh
 
 
@@ -154,32 +155,46 @@ def process_tree_usage(samples: DataFrame, by: list[str], tick: str, rss: str, c
     return ticks.groupBy(*by).agg(F.max("_rss").alias("peak_rss"), F.avg("_cpu").alias("cpu_avg"), F.max("_cpu").alias("cpu_peak"), F.count(F.lit(1)).alias("ticks"))
 
 
-def occupancy(events: DataFrame, by: list[str], order: list[str], delta: Column, capacity: int, rate: int) -> DataFrame:
-    level = F.sum(delta).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    fill = F.col("current") / capacity if capacity else F.lit(0.0)
-    placed = events.withColumn("current", level).withColumn("fill", fill)
+def occupancy(events: DataFrame, by: list[str], order: list[str], delta: Column, capacity: int, rate: int, block: Column | None = None) -> DataFrame:
+    """Each event with the level after it; a ``block`` of the order (see ``scan.running``) spreads one long key over tasks."""
+    if block is None:
+        placed = events.withColumn("current", F.sum(delta).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        placed = running(events, by, order, block, {"current": ("sum", delta, False)})
+    placed = placed.withColumn("fill", F.col("current") / capacity if capacity else F.lit(0.0))
     return placed.withColumn("low", F.col("fill") < 0.1).withColumn("high", F.col("fill") > 0.9).withColumn("latency_ms", F.lit(capacity / rate * 1000) * F.col("fill"))
 
 
-def backpressure_episodes(levels: DataFrame, by: list[str], order: list[str], level: str, high: float, low: float) -> DataFrame:
-    """On at or above ``high``, off at or below ``low``, held between; one row a spell."""
-    series = Window.partitionBy(*by).orderBy(*order)
-    upto = series.rowsBetween(Window.unboundedPreceding, 0)
+def backpressure_episodes(levels: DataFrame, by: list[str], order: list[str], level: str, high: float, low: float, block: Column | None = None) -> DataFrame:
+    """On at or above ``high``, off at or below ``low``, held between; one row a spell. For ``block`` see ``scan.running``.
+
+    A spell starts with a mark on whose last mark was off, so marks alone number the spells.
+    """
     mark = F.when(F.col(level) >= high, 1).when(F.col(level) <= low, 0)
-    on = levels.withColumn("_on", F.coalesce(F.last(mark, ignorenulls=True).over(upto), F.lit(0)))
-    spells = on.withColumn("_start", ((F.col("_on") == 1) & (F.coalesce(F.lag("_on").over(series), F.lit(0)) == 0)).cast("int")).withColumn("episode", F.sum("_start").over(upto))
+    if block is None:
+        series = Window.partitionBy(*by).orderBy(*order)
+        upto, before = series.rowsBetween(Window.unboundedPreceding, 0), series.rowsBetween(Window.unboundedPreceding, -1)
+        on = levels.withColumn("_on", F.last(mark, ignorenulls=True).over(upto)).withColumn("_was", F.last(mark, ignorenulls=True).over(before))
+    else:
+        on = running(levels, by, order, block, {"_on": ("last", mark, False), "_was": ("last", mark, True)})
+    on = on.withColumn("_start", ((F.col("_on") == 1) & (F.coalesce("_was", F.lit(0)) == 0)).cast("int"))
+    spells = on.withColumn("episode", F.sum("_start").over(upto)) if block is None else running(on.filter("_on = 1"), by, order, block, {"episode": ("sum", F.col("_start"), False)})
     return spells.filter("_on = 1").groupBy(*by, "episode").agg(F.min(order[-1]).alias("first"), F.max(order[-1]).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-def in_flight(spans: DataFrame, by: list[str], key: str, start: str, end: str, limit: int) -> DataFrame:
+def in_flight(spans: DataFrame, by: list[str], key: str, start: str, end: str, limit: int, block: Column | None = None) -> DataFrame:
     """Each request with the number open when it is sent (itself included; ends come first at equal times, starts go by key) and whether the limit would reject it.
 
-    A span without an end stays open.
+    A span without an end stays open. ``block`` is of the column ``at``, the time of a start or an end (see ``scan.running``).
     """
     begin = spans.select(*by, F.col(key), F.col(start).alias("at"), F.lit(1).alias("d"))
     both = begin.unionByName(spans.filter(F.col(end).isNotNull()).select(*by, F.col(key), F.col(end).alias("at"), F.lit(-1).alias("d")))
-    level = F.sum("d").over(Window.partitionBy(*by).orderBy("at", "d", key).rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("concurrency", level).filter("d = 1").select(*by, key, "at", "concurrency", (F.col("concurrency") > max(1, limit)).alias("would_reject"))
+    order = ["at", "d", key]
+    if block is None:
+        both = both.withColumn("concurrency", F.sum("d").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        both = running(both, by, order, block, {"concurrency": ("sum", F.col("d"), False)})
+    return both.filter("d = 1").select(*by, key, "at", "concurrency", (F.col("concurrency") > max(1, limit)).alias("would_reject"))
 
 
 def restart_budget(crashes: DataFrame, by: list[str], order: list[str], most: int = 3, on_timeout: bool = True) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from voicelake.operators.scan import running
 from voicelake.operators.segment import SegmentConfig, gather, segment_facts, segment_utterances
 from voicelake.operators.segment import sweep_segmentation as sweep
 from voicelake.plans.registry import query, table
@@ -91,3 +92,16 @@ CAPPED = f"""WITH RECURSIVE {LEVELS}, machine(stream_id, f, first, idle, voiced,
 @query(CAPPED)
 def capped_segments(spark, sf_dir):
     return segment_utterances(levels(spark, sf_dir).drop("event_id"), SegmentConfig(60.0, 30.0, 2, 2, 3, 12), ["stream_id"])
+
+
+@query(
+    "WITH levels AS (SELECT 0 AS stream_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS frame_idx, value AS rms FROM events), "
+    + machine_sql("stream_id", "levels", "60", "30", "3", "2", "2")
+    + " SELECT * FROM utterances"
+)
+def one_stream_segments(spark, sf_dir):
+    """All events as one stream: numbered by blocks of an hour, segmented by blocks of frames, so that no task holds the stream."""
+    events = table(spark, sf_dir, "events").select(F.lit(0).alias("stream_id"), "ts", "event_id", F.col("value").alias("rms"))
+    numbered = running(events, ["stream_id"], ["ts", "event_id"], F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000), {"n": ("count", F.lit(1), False)})
+    frames = numbered.select("stream_id", (F.col("n") - 1).alias("frame_idx"), "rms")
+    return segment_utterances(frames, CFG, ["stream_id"], span=4096)

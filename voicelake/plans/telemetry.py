@@ -163,3 +163,21 @@ def slo_per_minute(spark, sf_dir):
 @query("SELECT user_id, event_type, min(event_id) AS event_id, count(*) AS copies FROM events GROUP BY user_id, event_type")
 def dedupe_chunks(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"), F.count(F.lit(1)).alias("copies"))
+
+
+def _hour():
+    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+
+
+@query("SELECT event_id, sum(CASE WHEN event_type IN ('click', 'view') THEN 5 ELSE -3 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS current FROM events")
+def one_buffer_occupancy(spark, sf_dir):
+    """One buffer for all events, in blocks of an hour."""
+    delta = F.when(F.col("event_type").isin("click", "view"), 5).otherwise(-3)
+    return T.occupancy(table(spark, sf_dir, "events"), [], ["ts", "event_id"], delta, 100, 48000, _hour()).select("event_id", "current")
+
+
+@query("""WITH m AS (SELECT *, CASE WHEN value >= 80 THEN 1 WHEN value <= 20 THEN 0 END AS mark FROM events), o AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS s FROM m),
+p AS (SELECT *, CASE WHEN s = 1 AND coalesce(lag(s) OVER (ORDER BY ts, event_id), 0) = 0 THEN 1 ELSE 0 END AS b FROM o), q AS (SELECT *, sum(b) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS episode FROM p)
+SELECT episode::BIGINT AS episode, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM q WHERE s = 1 GROUP BY episode""")
+def one_buffer_episodes(spark, sf_dir):
+    return T.backpressure_episodes(table(spark, sf_dir, "events"), [], ["ts", "event_id"], "value", 80, 20, _hour())
