@@ -122,6 +122,22 @@ def test_deadlines(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 
+def test_open_requests_share_states(spark, tmp_path):
+    """2000 requests, answers first in every second: as many states as groups, and a row a request."""
+    t = lambda s: datetime(2024, 1, 1, tzinfo=UTC) + timedelta(seconds=s)
+    answers = [(k, "answered", t(k % 7 + (3 if k % 3 else 30))) for k in range(2000)]
+    sent = [(k, "sent", t(k % 7)) for k in range(2000)]
+    for k, rows in enumerate([answers[::2] + sent[1::2], answers[1::2] + sent[::2], [(None, "tick", t(1000))]]):
+        spark.createDataFrame(rows, "request_id long, kind string, at timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+    source = spark.readStream.schema("request_id long, kind string, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    query = live.correlate_stream(source, 10_000, 60_000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress]
+    assert 0 < max(held) <= live.GROUPS and held[-1] == 0
+    got = {(r["request_id"], r["status"], (r["answered"] - r["sent"]).total_seconds() if r["answered"] else None) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(k, "ok", 3.0) if k % 3 else (k, "timeout", None) for k in range(2000)}
+
+
 def test_counters_of_many_batches(spark, tmp_path):
     """More batches than a query keeps reports of: late rows and transfers all count."""
     schema = "k int, ts timestamp, requested long, moved long"

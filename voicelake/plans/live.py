@@ -25,6 +25,20 @@ def _run(df, mode: str):
     return spark.read.schema(df.schema).parquet(f"{place}/out")
 
 
+def _run_parts(parts: list, place: str, made):
+    """Runs a stream over a folder that the parts are written to one after another, each of as many files as its tasks make.
+
+    The query goes on from its checkpoint after each part, so that a part is a batch however many files it has.
+    """
+    spark = parts[0].sparkSession
+    out = fresh(spark, "stream")
+    for part in parts:
+        part.write.mode("append").parquet(place)
+        df = made(spark.readStream.schema(part.schema).parquet(place))
+        df.writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{out}/out")
+
+
 def _stream(spark, sf_dir: str, name: str):
     static = table(spark, sf_dir, name)
     rows = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern, since a stream's plain path has to be a folder
@@ -118,13 +132,9 @@ def stream_timeouts(spark, sf_dir):
     messages = sent.unionByName(got)
     low, high = messages.agg(F.min("at"), F.max("at")).first()
     third = (high - low) / 3
-    for k in range(3):
-        part = messages.filter((F.col("at") >= F.lit(low + k * third)) & ((F.col("at") < F.lit(low + (k + 1) * third)) if k < 2 else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(place)
+    parts = [messages.filter((F.col("at") >= F.lit(low + k * third)) & ((F.col("at") < F.lit(low + (k + 1) * third)) if k < 2 else F.lit(True))) for k in range(3)]
     tick = spark.range(1).select(F.lit(None).cast("long").alias("request_id"), F.lit("tick").alias("kind"), (F.lit(high) + F.expr("INTERVAL 100 DAYS")).alias("at"))
-    tick.coalesce(1).write.mode("append").parquet(place)
-    source = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(place)
-    done = _run(live.correlate_stream(source, 30 * day, day), "append")
+    done = _run_parts([*parts, tick], place, lambda source: live.correlate_stream(source, 30 * day, day))
     dated = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return done.select("request_id", dated("sent"), dated("answered"), "status")
 

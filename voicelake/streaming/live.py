@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQueryListener
 
-from voicelake.operators.segment import SegmentConfig, keyed_states, segment_stream
+from voicelake.operators.segment import SegmentConfig, segment_stream
 
 
 def slo_windows(events: DataFrame, at: str = "ts", width: str = "1 minute", late: str = "2 minutes") -> DataFrame:
@@ -27,63 +28,62 @@ def dedupe_chunks(chunks: DataFrame, keys: list[str], at: str, late: str) -> Dat
     return chunks.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-class _Deadlines(StatefulProcessor):
-    """A request's time, and its first answer inside the deadline; an event-time timer gives one row and forgets both."""
+#: Groups that requests are dealt to by default.
+GROUPS = 512
 
-    def __init__(self, key: str, deadline_ms: int, late_ms: int):
-        self.key, self.deadline, self.late = key, deadline_ms, late_ms
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("request", "sent long, answered long, early array<long>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] is None or pd.isna(key[0]):
-            return  # ticks only move the watermark
-        known = self.state.exists()
-        sent, answered, early = self.state.get() if known else (None, None, [])
-        before, early = sent, list(early or [])
-        for batch in rows:
-            for kind, at in zip(batch["kind"], batch["at_ms"].tolist(), strict=True):
-                if kind == "sent":
-                    sent = at if sent is None else min(sent, at)
-                else:
-                    early.append(at)
-        if sent is not None:
-            inside = [a for a in early if sent <= a <= sent + self.deadline]
-            answered = min([*inside, *([answered] if answered is not None else [])], default=None)
-            early = []
-            if sent != before:
-                for timer in list(self.handle.listTimers()) if known else ():
-                    self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-                self.handle.registerTimer(sent + self.deadline + 1)
-        elif not known:
-            # an answer before its request waits for it as long as rows may be late
-            self.handle.registerTimer(min(early) + self.late + 1)
-        self.state.update((sent, answered, early))
-        yield pd.DataFrame(columns=[self.key, "sent", "answered", "status"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        sent, answered, _ = self.state.get()
-        self.state.clear()
-        rows = [] if sent is None else [[key[0], sent, answered, "timeout" if answered is None else "ok"]]
-        yield pd.DataFrame(rows, columns=[self.key, "sent", "answered", "status"]).astype({"sent": "Int64", "answered": "Int64"})
-
-    def close(self) -> None:
-        pass
+def _deadlines(key: str, deadline: int, late: int):
+    """The open requests of one group and the answers that wait for theirs; rows come when the watermark has passed their deadline.
 
+    A batch is merged into both as a whole, so the number of calls and of state entries does not grow with that of requests.
+    """
 
-def correlate_stream(messages: DataFrame, deadline_ms: int, late_ms: int, key: str = "request_id") -> DataFrame:
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if group[0] < 0:
+            return  # ticks only move the watermark
+        #: request -> (sent, first answer or None), request -> times of answers
+        requests, early = (pickle.loads(x) for x in state.get) if state.exists else ({}, {})
+        for batch in batches:
+            for name, kind, at in zip(batch[key].tolist(), batch["kind"].tolist(), batch["at_ms"].tolist(), strict=True):
+                if kind != "sent":
+                    early.setdefault(name, []).append(at)
+                elif name not in requests or at < requests[name][0]:
+                    requests[name] = (at, requests[name][1] if name in requests else None)
+        for name in [name for name in early if name in requests]:
+            sent, answered = requests[name]
+            answers = early.pop(name) if answered is None else [*early.pop(name), answered]
+            requests[name] = (sent, min((a for a in answers if sent <= a <= sent + deadline), default=None))
+        now = state.getCurrentWatermarkMs()
+        done = [name for name, (sent, _) in requests.items() if sent + deadline < now]
+        rows = [(name, *requests.pop(name)) for name in done]
+        # an answer before its request waits for it as long as rows may be late
+        early = {name: left for name, ats in early.items() if (left := [a for a in ats if a + late >= now])}
+        if requests or early:
+            state.update((pickle.dumps(requests), pickle.dumps(early)))
+            due = min([*(sent + deadline for sent, _ in requests.values()), *(a + late for ats in early.values() for a in ats)])
+            state.setTimeoutTimestamp(max(due, now) + 1)
+        elif state.exists:
+            state.remove()
+        if rows:
+            names, sent, answered = zip(*rows, strict=True)
+            status = ["timeout" if a is None else "ok" for a in answered]
+            yield pd.DataFrame({key: names, "sent": sent, "answered": pd.array(answered, "Int64"), "status": status})
+
+    return step
+
+
+def correlate_stream(messages: DataFrame, deadline_ms: int, late_ms: int, key: str = "request_id", groups: int = GROUPS) -> DataFrame:
     """(key, kind sent or answered, at) -> one row a request: sent, the first answer inside its deadline, ok or timeout.
 
     A row comes when the watermark, ``late_ms`` behind the newest row, has passed the deadline: no earlier answer can come
     then, later ones are ignored, and the state is gone. A row with a null key is a tick: it belongs to no request and only
     moves the watermark, so a source that ends closes its last requests by a tick. An answer without a request gives no row.
+    Requests are dealt to ``groups`` by hash; a group's open requests are one state entry, held by a task while it is served.
     """
-    keyed_states(messages.sparkSession)
-    rows = messages.withWatermark("at", f"{late_ms} milliseconds").select(key, "kind", "at", F.unix_millis("at").alias("at_ms"))
+    group = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(groups)))
+    rows = messages.withWatermark("at", f"{late_ms} milliseconds").select(group.cast("long").alias("_group"), key, "kind", "at", F.unix_millis("at").alias("at_ms"))
     schema = f"{key} {dict(messages.dtypes)[key]}, sent long, answered long, status string"
-    found = rows.groupBy(key).transformWithStateInPandas(_Deadlines(key, deadline_ms, late_ms), schema, "Append", "EventTime")
+    found = rows.groupBy("_group").applyInPandasWithState(_deadlines(key, deadline_ms, late_ms), schema, "requests binary, early binary", "append", "EventTimeTimeout")
     return found.select(key, F.timestamp_millis("sent").alias("sent"), F.timestamp_millis("answered").alias("answered"), "status")
 
 
