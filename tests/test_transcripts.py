@@ -137,3 +137,21 @@ def test_record_files(spark, tmp_path):
     chunks = tables.read_chunk_stream(spark, str(tmp_path / "in"), "k long, v double", 1)
     tables.write_stream(chunks, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 9
+
+
+def test_shared_grams():
+    """Against counters, over few letters and over thousands of any plane, whose numbers do not fit as they are."""
+    import random
+
+    from voicelake.operators.quality import shared_grams
+
+    rng = random.Random(1)
+    for trial in range(40):
+        letters = "ab c" if trial % 2 else "".join(chr(rng.randrange(0x10000, 0x20000)) for _ in range(3000)) + " "
+        text = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(40)))  # noqa: B023, E731
+        a = [text() for _ in range(7)]
+        b = [x if rng.random() < 0.3 else text() for x in a]
+        for unit, longest, parts in (("word", 4, str.split), ("character", 6, lambda x: list(x.replace(" ", "")))):
+            want = [[sum((Counter(tuple(parts(x)[k : k + n]) for k in range(len(parts(x)) - n + 1)) & Counter(tuple(parts(y)[k : k + n]) for k in range(len(parts(y)) - n + 1))).values()) for n in range(1, longest + 1)] for x, y in zip(a, b, strict=True)]
+            assert shared_grams(a, b, unit, longest).tolist() == want
+    assert shared_grams([], [], "word", 4).shape == (0, 4) and shared_grams([""], [""], "character", 6).tolist() == [[0] * 6]

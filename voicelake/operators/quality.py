@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,41 +37,100 @@ def word_error_rate(pairs: DataFrame, reference: str, hypothesis: str, by: list[
 BLEU_N, CHRF_N, BETA = 4, 6, 2.0
 
 
-def _grams(text: str, unit: str, longest: int) -> Column:
-    """(n, gram) of all n-grams up to a length; characters are taken without blanks."""
-    parts = F.split(text, " ") if unit == "word" else F.regexp_extract_all(F.replace(F.col(text), F.lit(" "), F.lit("")), F.lit("(?s)."), F.lit(0))
-    parts = F.filter(parts, lambda x: x != "")
-    of = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(w, i, n), " ").alias("gram")))
-    none = F.array().cast("array<struct<n:int,gram:string>>")
-    every = lambda w: F.flatten(F.array(*[F.when(F.size(w) >= n, of(w, n)).otherwise(none) for n in range(1, longest + 1)]))
-    # as a lambda's argument the parts are made once a text, not once a gram
-    return F.flatten(F.transform(F.array(parts), every))
+#: Texts of about so many bytes are matched at a time.
+MATCH_BYTES = 1 << 20
+
 
+def _parts(texts: list[str], unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """The words or characters of texts, without blanks, as numbers, and the text that each is of."""
+    if unit == "word":
+        parts = [[w for w in text.split(" ") if w] for text in texts]
+        known: dict[str, int] = {}
+        codes = np.array([known.setdefault(w, len(known)) for ws in parts for w in ws], np.int64)
+        return codes, np.repeat(np.arange(len(texts)), [len(ws) for ws in parts])
+    texts = [text.replace(" ", "") for text in texts]
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    used = np.zeros(0x110000, bool)
+    used[points] = True
+    return (np.cumsum(used) - 1)[points], np.repeat(np.arange(len(texts)), [len(text) for text in texts])
 
-def _matches(pairs: DataFrame, keys: list[str], by: str, reference: str, hypothesis: str, unit: str, longest: int) -> DataFrame:
-    """by, n -> n-grams of the hypotheses, of the references, and shared ones, each at most as often as in the reference."""
-    side = lambda text, h: pairs.select(*keys, by, F.inline(_grams(text, unit, longest)), F.lit(h).alias("h"))
-    counted = side(hypothesis, 1).unionByName(side(reference, 0)).groupBy(*keys, by, "n", "gram").agg(F.sum("h").alias("h"), F.sum(1 - F.col("h")).alias("r"))
-    return counted.groupBy(by, "n").agg(F.sum("h").alias("h"), F.sum("r").alias("r"), F.sum(F.least("h", "r")).alias("m"))
 
+def shared_grams(reference: list[str], hypothesis: list[str], unit: str, longest: int) -> np.ndarray:
+    """Pairs x lengths: n-grams that both texts of a pair have, each as often as in the one that has it less often.
 
-def translation_quality(pairs: DataFrame, keys: list[str], by: str, reference: str, hypothesis: str) -> DataFrame:
+    The grams of a text are exact numbers, made longer by a part a length; those of all pairs are sorted together.
+    """
+    pairs = len(reference)
+    codes, text = _parts([*reference, *hypothesis], unit)
+    found, kinds = np.zeros((pairs, longest), np.int64), int(codes.max(initial=0)) + 1
+    place, grams, size = np.arange(len(codes)), codes, kinds
+    for n in range(1, longest + 1):
+        if n > 1:
+            inside = text[place] == text[np.minimum(place + n - 1, len(text) - 1)]
+            inside &= place + n - 1 < len(text)
+            place, grams = place[inside], grams[inside]
+            if size * kinds * max(pairs, 1) >= 1 << 62:
+                grams = np.unique(grams, return_inverse=True)[1]
+                size = int(grams.max(initial=0)) + 1
+            grams, size = grams * kinds + codes[place + n - 1], size * kinds
+        if size * max(pairs, 1) >= 1 << 62:
+            grams = np.unique(grams, return_inverse=True)[1]
+            size = int(grams.max(initial=0)) + 1
+        of = text[place]
+        ours, theirs = (np.unique(t * size + g, return_counts=True) for t, g in ((of[of < pairs], grams[of < pairs]), (of[of >= pairs] - pairs, grams[of >= pairs])))
+        if len(ours[0]) and len(theirs[0]):
+            at = np.minimum(np.searchsorted(theirs[0], ours[0]), len(theirs[0]) - 1)
+            both = theirs[0][at] == ours[0]
+            found[:, n - 1] = np.bincount(ours[0][both] // size, np.minimum(ours[1][both], theirs[1][at[both]]), pairs)
+    return found
+
+
+def _matches(pairs: DataFrame, by: str, reference: str, hypothesis: str) -> DataFrame:
+    """by, unit, n -> n-grams of the hypotheses, of the references, and shared ones, each at most as often as in the reference.
+
+    Grams are matched where their pair lies; only sums a group are exchanged.
+    """
+    units = (("word", BLEU_N), ("character", CHRF_N))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            rows = max(1, int(whole.num_rows * MATCH_BYTES / max(whole.nbytes, 1)))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                a, b = ([x or "" for x in batch.column(k).to_pylist()] for k in (1, 2))
+                columns = []
+                for unit, longest in units:
+                    sizes = [np.array([len(t.replace(" ", "")) if unit == "character" else sum(w != "" for w in t.split(" ")) for t in texts], np.int64) for texts in (b, a)]
+                    m = shared_grams(a, b, unit, longest)
+                    columns += [x for n in range(longest) for x in (*(np.maximum(s - n, 0) for s in sizes), m[:, n])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=names)
+
+    parts = [(unit, n) for unit, longest in units for n in range(1, longest + 1)]
+    names = ["by", *[f"{c}_{unit}_{n}" for unit, n in parts for c in "hrm"]]
+    narrow = pairs.select(F.col(by).alias("by"), F.col(reference).cast("string"), F.col(hypothesis).cast("string"))
+    counted = narrow.mapInArrow(run, f"by {dict(pairs.dtypes)[by]}, {', '.join(f'{c} long' for c in names[1:])}")
+    sums = counted.groupBy("by").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    rows = F.array(*[F.struct(F.lit(unit).alias("unit"), F.lit(n).alias("n"), *[F.col(f"{c}_{unit}_{n}").alias(c) for c in "hrm"]) for unit, n in parts])
+    return sums.select(F.col("by").alias(by), F.inline(rows)).filter("h + r > 0")
+
+
+def translation_quality(pairs: DataFrame, by: str, reference: str, hypothesis: str) -> DataFrame:
     """Corpus BLEU (clipped n-grams up to BLEU_N, brevity penalty) and chrF (character n-grams up to CHRF_N) of each group.
 
-    A group without any n-gram of some length has BLEU 0; lengths that neither side has do not count in chrF.
+    A group without any n-gram of some length has BLEU 0; lengths that neither side has do not count in chrF; groups
+    without a word are left out.
     """
-    words = _matches(pairs, keys, by, reference, hypothesis, "word", BLEU_N)
-    first = lambda c: F.max(F.when(F.col("n") == 1, F.col(c)))
-    bleu = words.groupBy(by).agg(
-        first("h").alias("hyp_words"), first("r").alias("ref_words"), F.exp(F.sum(F.log(F.try_divide("m", "h"))) / BLEU_N).alias("precision"), F.count_if(F.col("m") > 0).alias("found")
-    )
+    word, letter = F.col("unit") == "word", F.col("unit") == "character"
+    first = lambda c: F.max(F.when(word & (F.col("n") == 1), F.col(c)))
+    share = lambda c: F.avg(F.when(letter, F.coalesce(F.try_divide("m", c), F.lit(0.0))))
+    found = _matches(pairs, by, reference, hypothesis).groupBy(by).agg(
+        first("h").alias("hyp_words"), first("r").alias("ref_words"), F.exp(F.sum(F.when(word, F.log(F.try_divide("m", "h")))) / BLEU_N).alias("precision"), F.count_if(word & (F.col("m") > 0)).alias("found"),
+        share("h").alias("p"), share("r").alias("q"),
+    )
     penalty = F.least(F.lit(1.0), F.exp(1 - F.try_divide("ref_words", "hyp_words")))
-    bleu = bleu.select(by, "hyp_words", "ref_words", F.when(F.col("found") == BLEU_N, F.col("precision") * penalty).otherwise(0.0).alias("bleu"))
-    letters = _matches(pairs, keys, by, reference, hypothesis, "character", CHRF_N)
-    share = lambda c: F.avg(F.coalesce(F.try_divide("m", c), F.lit(0.0)))
-    chrf = letters.groupBy(by).agg(share("h").alias("p"), share("r").alias("q"))
-    chrf = chrf.select(by, F.coalesce(F.try_divide((1 + BETA**2) * F.col("p") * F.col("q"), BETA**2 * F.col("p") + F.col("q")), F.lit(0.0)).alias("chrf"))
-    return bleu.join(chrf, by, "left")
+    bleu = F.when(F.col("found") == BLEU_N, F.col("precision") * penalty).otherwise(0.0)
+    chrf = F.coalesce(F.try_divide((1 + BETA**2) * F.col("p") * F.col("q"), BETA**2 * F.col("p") + F.col("q")), F.lit(0.0))
+    return found.select(by, "hyp_words", "ref_words", bleu.alias("bleu"), chrf.alias("chrf"))
 
 
 def privacy_projection(df: DataFrame, sensitive: set[str], include: bool = False) -> DataFrame:
