@@ -87,3 +87,19 @@ def test_sweep_is_one_exchange_of_levels(spark):
     assert got == sorted(map(str, spark.createDataFrame(want, found.schema).collect()))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and "Generate" not in plan
+
+
+def test_long_epochs_go_through_one_pass(spark):
+    """Runs of long epochs over the bounds of batches; no table is made a run."""
+    rng = random.Random(9)
+    rows = [(s, k, rng.choice([0.0, 0.4, 0.6, 0.9, 0.9])) for s in (1, 2) for k in range(400)]
+    cfg = SegmentConfig(0.5, 0.3, 2, 2, 3, 12)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        found = segment_utterances(spark.createDataFrame(rows, "stream_id long, frame_idx long, rms double"), cfg, ["stream_id"])
+        got = collected(found)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert got == {s: plain([x for k, _, x in rows if k == s], cfg) for s in (1, 2)}
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -199,26 +199,54 @@ def segment_utterances(levels: DataFrame, cfg: SegmentConfig, keys: list[str], o
     order = Window.partitionBy(*keys).orderBy("_epoch")
     spans = spans.withColumn("_run", F.sum((~F.col("_long")).cast("int")).over(order)).withColumn("_reset", F.coalesce(F.lag("end_frame").over(order) + 1, F.lit(0)))
 
-    def fold_run(group: pd.DataFrame) -> pd.DataFrame:
-        """The epochs of one run -> their utterances, and each epoch's next free frame."""
-        group, rows = group.sort_values("frame_idx"), []
-        own, machine, reset = [group[k].iloc[0] for k in keys], Machine(cfg), int(group["_reset"].iloc[0])
-        for epoch, part in group.groupby("_epoch", sort=True):
-            machine.idle = int(part["frame_idx"].iloc[0]) - reset
-            for frame, level in zip(part["frame_idx"], part["rms"], strict=True):
-                speaking, found = machine.first >= 0, machine.push(int(frame), float(level))
+    plain, types = [f"k{n}" for n in range(len(keys))], dict(levels.dtypes)
+    out_schema = f"{', '.join(f'{p} {types[k]}' for p, k in zip(plain, keys, strict=True))}, _epoch long, start_frame long, end_frame long, voiced_frames long, forced_cutoff boolean, _after long"
+
+    def fold_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The epochs of each run, frame by frame -> their utterances, and each epoch's next free frame; a run may go over batches."""
+        run = epoch = own = machine = out_types = None
+        last = reset = 0
+        rows = []
+
+        def closed() -> None:
+            if machine.first >= 0 and on_end == "emit" and (found := machine.flush(last)):
+                rows.append([*own, epoch, *found[1:], None])
+            rows.append([*own, epoch, None, None, None, None, reset])
+
+        def batch_of() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(out_types)], names=[*plain, "_epoch", "start_frame", "end_frame", "voiced_frames", "forced_cutoff", "_after"])
+            rows.clear()
+            return made
+
+        for batch in batches:
+            out_types = out_types or [*(batch.column(p).type for p in plain), *[pa.int64()] * 4, pa.bool_(), pa.int64()]
+            columns = [batch.column(c).to_pylist() for c in (*plain, "_run", "_epoch", "frame_idx", "rms", "_reset")]
+            for *key, of_run, of_epoch, frame, level, begun in zip(*columns, strict=True):
+                if key != own or of_run != run or of_epoch != epoch:
+                    if own is not None:
+                        closed()
+                    if key != own or of_run != run:
+                        own, run, machine, reset = key, of_run, Machine(cfg), begun
+                    epoch, machine.idle = of_epoch, frame - reset
+                speaking, found = machine.first >= 0, machine.push(frame, level)
                 if found:
                     rows.append([*own, epoch, *found[1:], None])
                 if machine.first < 0 and (speaking or found):
-                    reset = int(frame) + 1
-            if machine.first >= 0 and on_end == "emit" and (found := machine.flush(int(part["frame_idx"].iloc[-1]))):
-                rows.append([*own, epoch, *found[1:], None])
-            rows.append([*own, epoch, None, None, None, None, reset])
-        return pd.DataFrame(rows, columns=[*keys, "_epoch", "start_frame", "end_frame", "voiced_frames", "forced_cutoff", "_after"]).astype({c: "Int64" for c in ("start_frame", "end_frame", "voiced_frames", "_after")} | {"forced_cutoff": "boolean"})
+                    reset = frame + 1
+                last = frame
+            if rows:
+                yield batch_of()
+        if own is not None:
+            closed()
+            yield batch_of()
 
     long_spans = spans.filter("_long").select(*keys, "_epoch", "_run", "_reset")
     long_frames = (frames if span else frames.filter("_long")).select(*keys, "_epoch", "frame_idx", "rms").join(long_spans, [*keys, "_epoch"])
-    folded = long_frames.groupBy(*keys, "_run").applyInPandas(fold_run, f"{of_keys}, _epoch long, start_frame long, end_frame long, voiced_frames long, forced_cutoff boolean, _after long")
+    # a run's frames come in order through one task, sorted by the exchange, so a task makes no table a run
+    numbers = [F.col(c).cast("long").alias(c) for c in ("_run", "_epoch", "frame_idx")]
+    dealt = long_frames.select(*[F.col(k).alias(p) for p, k in zip(plain, keys, strict=True)], *numbers, F.col("rms").cast("double").alias("rms"), F.col("_reset").cast("long").alias("_reset"))
+    dealt = dealt.repartition(*plain, "_run").sortWithinPartitions(*plain, "_run", "_epoch", "frame_idx")
+    folded = dealt.mapInArrow(fold_runs, out_schema).toDF(*keys, "_epoch", "start_frame", "end_frame", "voiced_frames", "forced_cutoff", "_after")
     cuts = folded.groupBy(*keys, "_epoch").agg(F.max("_after").alias("_after"))
     placed = spans.join(cuts, [*keys, "_epoch"], "left").withColumn("_reset", F.coalesce(F.lag(F.coalesce("_after", F.col("end_frame") + 1)).over(order), F.lit(0)))
     short = placed.filter(f"NOT _long AND voiced_frames >= {cfg.min_voiced}" + ("" if on_end == "emit" else " AND closed = 1"))
