@@ -85,6 +85,19 @@ def test_any_order_of_a_long_stream(spark, tmp_path):
     assert shifted == plain(streams[1]) and {r["late"] for r in got} == {0}
 
 
+def test_many_streams_share_states(spark, tmp_path):
+    """900 short streams and one long one with its odd frames first: a state a group and a block of held frames, not one a stream and a frame."""
+    rng = random.Random(11)
+    streams = {(s,): [rng.choice([0.0, 0.4, 0.6, 0.9]) for _ in range(8000 if s == 7 else 12)] for s in range(900)}
+    batches = [[(s, k, x) for (s,), levels in streams.items() for k, x in enumerate(levels) if k % 2 == odd] for odd in (1, 0)]
+    query, got = run(spark, [batches[0], batches[1] + batches[0][:50]], "stream_id long, frame_idx long, rms double", tmp_path)
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) < 900
+    found = {}
+    for r in sorted(map(tuple, got)):
+        found.setdefault((r[0],), []).append(r[1:6])
+    assert found == {s: want for s, levels in streams.items() if (want := plain(levels))}
+
+
 def test_a_silent_stream_is_flushed(spark, tmp_path):
     """A frame is missing for good: after the silence the held rows follow, and the open utterance ends."""
     levels = [0.9] * 4 + [0.0] * 4 + [0.9] * 3

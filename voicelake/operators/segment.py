@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -301,11 +302,18 @@ def sweep_segmentation(levels: DataFrame, configs: dict[int, SegmentConfig], key
     return dealt.mapInArrow(run, schema).toDF("cfg_id", *keys, *_row_fields())
 
 
+#: Groups that streams are dealt to; early rows that a stream keeps beside its machine; numbers whose early rows are one entry of the map.
+GROUPS, NEAR, HELD = 512, 256, 4096
+#: Rows of a stream that are Python values at a time.
+SLICE = 1 << 16
+
+
 class _Segmenter(StatefulProcessor):
-    """One key's machine, and a map of the rows that came before their turn.
+    """The machines of one group of streams, and a map of the rows that came before their turn.
 
-    The map lives in the state store, a number an entry, so a batch touches the rows that it brings and those that it
-    sets free, however many are held.
+    All machines of a group are one state entry, with up to NEAR early rows each. Where a stream has more, they are entries
+    of a map, HELD numbers each, so a batch touches the blocks that it brings rows of and those that it sets free, however
+    many are held.
     """
 
     def __init__(self, cfg: SegmentConfig, keys: list[str], order: str, value: str, frame: int | None, idle_ms: int | None, first: int | str):
@@ -313,78 +321,142 @@ class _Segmenter(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("machine", "first long, idle long, voiced long, quiet long, count long, at long, due long, late long, held long, residual array<double>")
-        self.held = handle.getMapState("held", "number long", "item array<double>")
-
-    def _load(self, first: int) -> tuple:
-        if self.state.exists():
-            *machine, at, due, late, held, residual = self.state.get()
-            return Machine(self.cfg, tuple(machine)), at, due, late, held, list(residual)
-        return Machine(self.cfg), first if self.frame is None else 0, first, 0, 0, []
-
-    def _take(self, machine: Machine, at: int, residual: list, item, found: list) -> tuple[int, list]:
-        levels = item
-        if self.frame is not None:
-            samples = np.concatenate((residual, item))
+        self.state = handle.getValueState("machines", "streams binary, timer long")
+        self.held = handle.getMapState("held", "stream binary, block long", "rows binary")
+
+    def _load(self) -> tuple[dict, int | None]:
+        """stream -> machine, at, due, late, residual, early rows by number, blocks that hold the others, silent from; and the group's timer."""
+        if not self.state.exists():
+            return {}, None
+        streams, timer = self.state.get()
+        return pickle.loads(streams), timer
+
+    def _rows(self, stream: tuple, block: int) -> dict:
+        """number -> item of a block that holds rows."""
+        numbers, items = pickle.loads(self.held.getValue((pickle.dumps(stream), block))[0])
+        return dict(zip(numbers.tolist(), items.tolist() if self.frame is None else items, strict=True))
+
+    def _hold(self, stream: tuple, block: int, known: set, rows: dict) -> None:
+        if rows:
+            packed = np.array(list(rows), np.int64), np.array(list(rows.values()), float) if self.frame is None else list(rows.values())
+            self.held.updateValue((pickle.dumps(stream), block), (pickle.dumps(packed),))
+            known.add(block)
+        elif block in known:
+            self.held.removeKey((pickle.dumps(stream), block))
+            known.discard(block)
+
+    def _take(self, machine: Machine, at: int, residual: list, items: list, found: list) -> tuple[int, list]:
+        """Items in their order through the machine."""
+        levels = items if self.frame is None else []
+        if self.frame is not None and items:
+            samples = np.concatenate((residual, *items))
             whole = len(samples) // self.frame
-            levels = np.sqrt(np.mean(samples[: whole * self.frame].reshape(whole, self.frame) ** 2, axis=1)) if whole else []
+            levels = np.sqrt(np.mean(samples[: whole * self.frame].reshape(whole, self.frame) ** 2, axis=1)).tolist() if whole else []
             residual = samples[whole * self.frame :].tolist()
         for level in levels:
-            found.append(machine.push(at, float(level)))
+            if utterance := machine.push(at, level):
+                found.append(utterance)
             at += 1
         return at, residual
 
-    def _frame_of(self, key: tuple, found: list, late: int) -> pd.DataFrame:
-        return pd.DataFrame([[*key, *x, late] for x in found if x], columns=[*self.keys, *_row_fields(), "late"])
+    def _pass(self, stream: tuple, kept: tuple | None, first: int, numbers: list, items: list) -> tuple[tuple, list]:
+        """One stream's new rows, by number: takes what is due, holds what is early; what has passed or is held counts as late."""
+        state, at, due, late, residual, near, known, _ = kept or (None, first if self.frame is None else 0, first, 0, [], {}, set(), 0)
+        machine, found = Machine(self.cfg, state), []
+        for number, item in zip(numbers, items, strict=True):
+            if number < due or number in near:
+                late += 1
+            else:
+                near[number] = item
+        if not known:
+            ready = []
+            while due in near:
+                ready.append(near.pop(due))
+                due += 1
+            at, residual = self._take(machine, at, residual, ready, found)
+        if known or len(near) > NEAR:
+            touched, done = {}, set()
+            for number in sorted(near):
+                touched.setdefault(number // HELD, []).append(number)
+            todo = list(reversed(touched))
+            while todo or due // HELD in known - done:
+                block = due // HELD if due // HELD in known - done else todo.pop()
+                if block in done:
+                    continue
+                done.add(block)
+                rows = self._rows(stream, block) if block in known else {}
+                for number in touched.get(block, ()):
+                    if number in rows:
+                        late += 1
+                    else:
+                        rows[number] = near[number]
+                ready = []
+                while due in rows:
+                    ready.append(rows.pop(due))
+                    due += 1
+                at, residual = self._take(machine, at, residual, ready, found)
+                self._hold(stream, block, known, rows)
+            near = {}
+        return (machine.state(), at, due, late, residual, near, known, 0), found
+
+    def _frame_of(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*self.keys, *_row_fields(), "late"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        """Takes what is due in order; what is early is held, what has passed or is held already counts as late."""
-        pending, found, loaded = {}, [], None
-        for batch in rows:
-            if loaded is None and len(batch):
-                loaded = self._load(self.first if isinstance(self.first, int) else int(batch[self.first].iloc[0]))
-                machine, at, due, late, held, residual = loaded
-            for number, item in zip(batch[self.order].tolist(), batch[self.value], strict=True):
-                if number < due or number in pending or (held and self.held.containsKey((number,))):
-                    late += 1
-                else:
-                    pending[number] = [float(item)] if self.frame is None else np.asarray(item, float)
-        if loaded is None:
+        batches = [batch for batch in rows if len(batch)]
+        if not batches:
             return
-        while True:
-            if due in pending:
-                item = pending.pop(due)
-            elif held and self.held.containsKey((due,)):
-                item, held = self.held.getValue((due,))[0], held - 1
-                self.held.removeKey((due,))
-            else:
-                break
-            at, residual = self._take(machine, at, residual, item, found)
-            due += 1
-        for number, item in pending.items():
-            self.held.updateValue((number,), ([float(x) for x in item],))
-        self.state.update((*machine.state(), at, due, late, held + len(pending), residual))
-        if self.idle_ms:
-            self._wait(timerValues)
-        yield self._frame_of(key, found, late)
-
-    def _wait(self, timers) -> None:
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
+        (streams, timer), out, new = self._load(), [], pd.concat(batches, ignore_index=True)
+        numbers, items, codes = new[self.order].to_numpy(np.int64), new[self.value].to_numpy(float if self.frame is None else object), np.zeros(len(new), np.int64)
+        for c in self.keys:
+            ranks, names = pd.factorize(new[c])
+            codes = pd.factorize(codes * (len(names) + 1) + ranks)[0]
+        order = np.lexsort((numbers, codes))
+        ends = [*(np.flatnonzero(np.diff(codes[order])) + 1).tolist(), len(order)]
+        silent, start = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms if self.idle_ms else 0, 0
+        starts = np.minimum.reduceat(order, [0, *ends[:-1]])  # the row of each stream that came first
+        own_keys = [[None] * len(ends) if key[0] // GROUPS >> n & 1 else new[c].iloc[starts].tolist() for n, c in enumerate(self.keys)]
+        firsts = new[self.first].iloc[starts].tolist() if isinstance(self.first, str) else [self.first] * len(ends)
+        for end, first, *stream in zip(ends, firsts, *own_keys, strict=True):
+            stream, kept, ended = tuple(stream), None, []
+            for at in range(start, end, SLICE):  # by number, so parts give what the whole does
+                own = order[at : min(at + SLICE, end)]
+                values = items[own].tolist() if self.frame is None else [np.asarray(x, float) for x in items[own]]
+                kept, found = self._pass(stream, kept or streams.get(stream), int(first), numbers[own].tolist(), values)
+                ended += found
+            start, streams[stream] = end, (*kept[:-1], silent)
+            out += [[*stream, *utterance, kept[3]] for utterance in ended]
+        self._keep(streams, timer)
+        yield self._frame_of(out)
+
+    def _keep(self, streams: dict, timer: int | None) -> None:
+        """Stores the group's streams; the timer is that of the stream that has been silent longest."""
+        wait = min((kept[-1] for kept in streams.values() if kept[-1]), default=None)
+        if wait != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wait is not None:
+                self.handle.registerTimer(wait)
+        self.state.update((pickle.dumps(streams), wait))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The stream is silent: what is held follows without the missing rows, and the open utterance ends."""
-        machine, at, due, late, held, residual = self._load(0)
-        found = []
-        for number, item in sorted((k[0], v[0]) for k, v in self.held.iterator()) if held else ():
-            at, residual = self._take(machine, at, residual, item, found)
-            due = number + 1
-        if held:
-            self.held.clear()
-        found.append(machine.flush(at - 1))
-        self.state.update((*machine.state(), at, due, late, 0, residual))
-        yield self._frame_of(key, found, late)
+        """Some streams are silent: what they hold follows without the missing rows, and the open utterance ends."""
+        (streams, _), out, now = self._load(), [], expiredTimerInfo.getExpiryTimeInMs()
+        for stream, (state, at, due, late, residual, near, known, silent) in streams.items():
+            if not silent or silent > now:
+                continue
+            machine, found = Machine(self.cfg, state), []
+            for block in [None, *sorted(known)]:
+                rows = dict(near) if block is None else self._rows(stream, block)
+                at, residual = self._take(machine, at, residual, [rows[k] for k in sorted(rows)], found)
+                due = max(rows, default=due - 1) + 1
+                if block is not None:
+                    self._hold(stream, block, known, {})
+            found.append(machine.flush(at - 1))
+            streams[stream] = (machine.state(), at, due, late, residual, {}, known, 0)
+            out += [[*stream, *x, late] for x in found if x]
+        self._keep(streams, None)
+        yield self._frame_of(out)
 
     def close(self) -> None:
         pass
@@ -404,13 +476,15 @@ def segment_stream(rows: DataFrame, cfg: SegmentConfig, key: str | list[str] = "
     Numbers begin with ``first``, or with what the column of that name says. Early rows are held, as many as there are; a
     number that has passed, or is held, is late or a copy and dropped (``late`` counts those so far). A missing row holds
     back all that follow: for ever, or with ``idle_ms`` until its stream has been silent so long, when all held rows are
-    taken and the tail is flushed.
+    taken and the tail is flushed. Streams are dealt to GROUPS by hash; a group's machines are one state entry.
     """
     keyed_states(rows.sparkSession)
     keys, kinds = [key] if isinstance(key, str) else list(key), dict(rows.dtypes)
     processor = _Segmenter(cfg, keys, order, value, frame, idle_ms, first)
     schema = f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, {OUT}, late long"
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if idle_ms else "None")
+    nulls = sum((F.col(k).isNull().cast("int") * 2**n for n, k in enumerate(keys)), F.lit(0))  # nulls would change the type of a column in pandas
+    group = (nulls * GROUPS + F.pmod(F.xxhash64(*keys), F.lit(GROUPS))).cast("long")
+    return rows.withColumn("_group", group).groupBy("_group").transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 def gather(utterances: DataFrame, chunks: DataFrame, key: str, block: int = 256) -> DataFrame:
