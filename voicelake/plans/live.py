@@ -1,10 +1,10 @@
 """Streaming queries: tables are read as file streams, run to their end and read back."""
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voicelake.operators.inference import translate_cascade
+from voicelake.operators.scan import running
 from voicelake.operators.segment import segment_stream
 from voicelake.plans.registry import query, table
 from voicelake.plans.segments import CFG, LEVELS, SEGMENTS, levels, machine_sql
@@ -94,13 +94,10 @@ _LONG = "levels AS (SELECT user_id % 4 AS stream_id, row_number() OVER (PARTITIO
 @query(f"WITH {_LONG}, {machine_sql('stream_id', 'levels', '60', '30', '3', '2', '2')} SELECT *, 0::BIGINT AS late FROM utterances WHERE NOT forced_cutoff")
 def stream_long_segments(spark, sf_dir):
     """Four streams of all events; the odd frames come first, and the even ones set them free."""
-    place, order = fresh(spark, "levels"), Window.partitionBy("stream_id").orderBy("ts", "event_id")
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("stream_id"), "ts", "event_id", F.col("value").alias("rms"))
-    rows = rows.withColumn("frame_idx", (F.row_number().over(order) - 1).cast("long")).select("stream_id", "frame_idx", "rms")
-    for odd in (1, 0):
-        rows.filter(F.col("frame_idx") % 2 == odd).coalesce(1).write.mode("append").parquet(place)
-    source = spark.readStream.schema("stream_id long, frame_idx long, rms double").option("maxFilesPerTrigger", 1).parquet(place)
-    return _run(segment_stream(source, CFG), "append")
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    rows = running(rows, ["stream_id"], ["ts", "event_id"], hour, {"n": ("count", F.lit(1), False)}).select("stream_id", (F.col("n") - 1).cast("long").alias("frame_idx"), "rms")
+    return _run_parts([rows.filter(F.col("frame_idx") % 2 == odd) for odd in (1, 0)], fresh(spark, "levels"), lambda source: segment_stream(source, CFG))
 
 
 _LEGS = f"""WITH {LEVELS}, legs AS (SELECT stream_id, 'outgoing' AS direction, frame_idx, rms FROM levels UNION ALL SELECT stream_id, 'incoming', frame_idx, 100 - rms FROM levels),
