@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from voicelake.llm import quality
+from voicelake.llm.text import words
 
 
 def test_junk_of_a_large_vocabulary_is_rejected(spark):
@@ -13,3 +16,29 @@ def test_junk_of_a_large_vocabulary_is_rejected(spark):
     kept = {r["doc_id"] for r in quality.quality_report(docs, marks).filter("kept").collect()}
     good = {i for i, _ in rows if i % 10}
     assert not kept - good and len(good - kept) <= 0.03 * len(good)
+
+
+def test_the_threshold_is_that_of_all_trusted_documents(spark):
+    """Scores without the own features by hand for every trusted document, more than any sample held; equal words and one-word texts among them."""
+    from math import log
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" if i % 9 else f"q{rng.randrange(4000)}" for _ in range(rng.randrange(1, 12)))) for i in range(3000)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 11 > 0)) for i, _ in rows], "doc_id long, quality int")
+    raw, mine = quality._listed(quality.cell_counts(docs, marks))
+    cells = {r["doc_id"]: r["f"] for r in docs.select("doc_id", quality.features(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).alias("f")).collect()}
+    assert sum(mine) == sum(len(f) for i, f in cells.items() if i % 11)
+    scores = []
+    for i, f in cells.items():
+        if i % 11:
+            total = 0.0
+            for own, all_raw, all_mine, prior in quality._kinds(raw, mine):
+                here = [c for c in f if c in own]
+                for c in here:
+                    common = raw[c] / all_raw
+                    total += log((mine[c] - f.count(c) + prior * common) / (all_mine - len(here) + prior) / common)
+            scores.append(total / len(f))
+    scores.sort()
+    at = (len(scores) - 1) * quality.FALSE_REJECT
+    want = scores[int(at)] + (at - int(at)) * (scores[int(at) + 1] - scores[int(at)])
+    assert want < quality.THRESHOLD and abs(quality.calibrated(docs, marks, mine, raw) - want) < 1e-5
