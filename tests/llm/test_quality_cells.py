@@ -42,3 +42,15 @@ def test_the_threshold_is_that_of_all_trusted_documents(spark):
     at = (len(scores) - 1) * quality.FALSE_REJECT
     want = scores[int(at)] + (at - int(at)) * (scores[int(at) + 1] - scores[int(at)])
     assert want < quality.THRESHOLD and abs(quality.calibrated(docs, marks, mine, raw) - want) < 1e-5
+
+
+def test_plans_name_the_tables_and_no_row_gets_a_copy(spark, edge, labels, monkeypatch):
+    """The driver keeps the text of every plan; the tables of cells as literals made it megabytes."""
+    plans, table = [], quality.Scratch.table
+    monkeypatch.setattr(quality.Scratch, "table", lambda self, df, name: plans.append(df._jdf.queryExecution()) or table(self, df, name))
+    out = quality.quality_filter(edge, labels)._jdf.queryExecution()
+    assert len(plans) == 2
+    for plan in (*plans, out):
+        best = plan.optimizedPlan().toString()
+        assert len(plan.toString()) < 200_000 and not any(f" AS {name}#" in best for name in ("_counted", "_common", "_table"))
+    assert plans[1].optimizedPlan().toString().count("scalar-subquery#") >= 2 and "scalar-subquery#" in out.optimizedPlan().toString()
