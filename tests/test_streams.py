@@ -306,3 +306,26 @@ def test_batches_and_blanks(spark):
 
     rows = apply_engine(spark.createDataFrame([("a",), (None,), ("bad",)], "v string"), "s", Model, "v").select("v", "s.status", "s.output").collect()
     assert {tuple(r) for r in rows} == {("a", "success", "aa"), (None, "skipped", None), ("bad", "failed", None)}
+
+
+def test_models_get_small_parts_of_a_batch_and_the_heard_text_goes_on_once(spark):
+    """All workers of a task hold a part at a time; the recognised text is not also kept in the stage's outcome."""
+    from pyspark.sql import functions as F
+
+    from voicelake.operators import inference
+
+    class Parts:
+        def batch(self, values):
+            return [(str(sum(map(len, values))), 0.0)] * len(values)
+
+    texts = spark.range(0, 8000, 1, 1).select("id", F.repeat(F.lit("word "), 100).alias("text"))
+    seen = inference.apply_engine(texts, "parts", Parts, "text").select(F.col("parts.output").cast("long").alias("size"))
+    assert seen.count() == 8000 and seen.agg(F.max("size")).first()[0] <= 1 << 20
+    passed, apply = [], inference.apply_engine
+    try:
+        inference.apply_engine = lambda df, *a, **k: passed.append(df.schema) or apply(df, *a, **k)
+        same = lambda: lambda text: (text, 1.0)
+        done = inference.translate_cascade(texts.limit(3), ["id"], "text", same, same, same)
+    finally:
+        inference.apply_engine = apply
+    assert passed[1]["stt"].dataType.names == ["status", "code", "message"] and done.count() == 3

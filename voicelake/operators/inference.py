@@ -97,13 +97,13 @@ def results(model, column: pa.Array, kind: pa.DataType) -> pa.StructArray:
     return pa.StructArray.from_arrays([text(status), made, text(code), text(message), pa.array(took, pa.float64())], names=["status", "output", "code", "message", "stage_ms"])
 
 
-def apply_engine(df: DataFrame, stage: str, factory: Callable[[], Callable], column: str, out: str | None = None, model_id: str | None = None, output: str = "string", batch_bytes: int = 16 << 20) -> DataFrame:
+def apply_engine(df: DataFrame, stage: str, factory: Callable[[], Callable], column: str, out: str | None = None, model_id: str | None = None, output: str = "string", batch_bytes: int = 1 << 20) -> DataFrame:
     """Adds the struct ``out`` (default: the stage's name): status, output, code, message, stage_ms.
 
     factory() -> model; model(value) -> (output, ms), or model.batch(values) -> one (output, ms) or exception each. Values
     and outputs may be of any type, samples too (``output`` is the type). NotImplementedError gives code
-    UNSUPPORTED_CAPABILITY, anything else INFERENCE_FAILED; the job goes on. A batch holds about ``batch_bytes`` at most. A
-    worker keeps a model by stage and ``model_id``, by default a digest of the factory.
+    UNSUPPORTED_CAPABILITY, anything else INFERENCE_FAILED; the job goes on. A batch holds about ``batch_bytes`` at most, since
+    each stage is a worker of its own and all of a task's workers hold one at a time. A worker keeps a model by stage and ``model_id``, by default a digest of the factory.
     """
     out, names = out or stage, df.columns
     name = f"{stage}/{model_id or hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()}"
@@ -181,7 +181,8 @@ def translate_direct(df: DataFrame, keys: list[str], column: str, translate, tts
 def translate_cascade(df: DataFrame, keys: list[str], column: str, stt, translate, tts, chunked: bool = True, audio: str | None = None) -> DataFrame:
     """Recognition, translation, clauses, synthesis; blanks are skipped after either text stage, and what fails keeps a row."""
     heard = apply_engine(df, "stt", stt, column)
-    done = apply_engine(heard.select(*keys, "stt", _said("stt").alias("_heard")), "translation", translate, "_heard")
+    outcome = F.struct("stt.status", "stt.code", "stt.message")  # the text goes on once, as what was heard
+    done = apply_engine(heard.select(*keys, outcome.alias("stt"), _said("stt").alias("_heard")), "translation", translate, "_heard")
     return _spoken(done, keys, "translation", ["stt", "translation"], tts, chunked, audio)
 
 
